@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the batch.
 CHUNK_BYTES = 4 << 20
@@ -134,3 +135,14 @@ def word_spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
     start = np.flatnonzero(word & (~before | first[:n]))
     end = np.flatnonzero(word & (~after | first[1:])) + 1
     return start, end, np.searchsorted(off, start, "right") - 1
+
+
+def fold(doc_id, parts: int):
+    """crc32 of the id as text, modulo parts; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+def token_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans with a hash of each."""
+    start, end, doc = word_spans(data, off, is_word)
+    return start, end, doc, SpanHash(data)(start, end) if len(start) else np.zeros(0, np.uint64)

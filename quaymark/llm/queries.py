@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash, warc
+from . import decontam, language, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op3_warc_transactions": warc.query,
     "op4_simhash": simhash.query,
+    "op6_quality": quality.query,
+    "op8_language": language.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE}
