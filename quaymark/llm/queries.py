@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, language, quality, simhash, toxicity, warc
+from . import decontam, language, quality, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_quality": quality.query,
     "op8_language": language.query,
     "op9_toxicity": toxicity.query,
+    "op10_embeddings": vectors.query,
 }
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE}
