@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, language, quality, simhash, toxicity, vectors, warc
+from . import decontam, language, packing, quality, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op3_warc_transactions": warc.query,
     "op4_simhash": simhash.query,
     "op6_quality": quality.query,
+    "op7_packing": packing.query,
     "op8_language": language.query,
     "op9_toxicity": toxicity.query,
     "op10_embeddings": vectors.query,
