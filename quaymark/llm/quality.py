@@ -166,5 +166,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(features, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that a model fitted on all labelled ones scores 0.5 or more; columns as they are."""
+    model = fit(featurise(docs), labels)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, at):
+            x = statistics(*text_view(chunk.column(at))).astype(np.float32).astype(float)
+            yield chunk.filter(pa.array(shared.value.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

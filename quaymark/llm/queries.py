@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, language, packing, quality, simhash, toxicity, vectors, warc
+import corpus_pipeline
+
+from . import decontam, language, packing, pii, quality, simhash, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_decontamination": decontam.query,
     "op3_warc_transactions": warc.query,
     "op4_simhash": simhash.query,
@@ -13,5 +16,6 @@ QUERIES = {
     "op8_language": language.query,
     "op9_toxicity": toxicity.query,
     "op10_embeddings": vectors.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE}
