@@ -2,5 +2,580 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaymark.functions import payloads, urls
+from quaymark.operators import events as ev
+from quaymark.operators import metrics, sampling
+from quaymark.sources import feeds
+from quaymark.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# URLs of pages, some rewritten so that ports, addresses, endpoints, parameters and nulls occur
+_URL = """CASE page_id % 6 WHEN 0 THEN url || '/v1/completions?a=1&b=2' WHEN 1 THEN 'http://10.0.0.7:8443/predict?x=' || CAST(page_id AS VARCHAR(20))
+ WHEN 2 THEN 'https://g00gle.com/p_' || CAST(page_id AS VARCHAR(20)) || '?a=1&' WHEN 3 THEN NULL WHEN 4 THEN 'https://a.b.tion.example.tk:8080/inference/embeddings_x-y?a=1&b#f' ELSE url END"""
+_PAGES = f"WITH v AS (SELECT page_id, {_URL} AS u0 FROM pages), p AS (SELECT page_id, coalesce(u0, '') AS u FROM v), q AS (SELECT page_id, u, regexp_extract(u, '^[a-zA-Z]+://([^/]+)', 1) AS netloc, regexp_extract(u, '^[a-zA-Z]+://[^/]+([^?#]*)', 1) AS path, regexp_extract(u, '[?]([^#]*)', 1) AS query FROM p), f AS (SELECT *, regexp_replace(netloc, ':[0-9]+$', '') AS host FROM q)"
+_N = lambda x, c: f"CAST(length({x}) - length(replace({x}, '{c}', '')) AS BIGINT)"
+_FEATURES = f"""length(u) AS url_length, length(netloc) AS domain_length, length(path) AS path_length, {_N("u", ".")} AS num_dots, {_N("u", "-")} AS num_hyphens, {_N("u", "_")} AS num_underscores, {_N("u", "/")} AS num_slashes,
+ CAST(regexp_matches(host, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AS INT) AS has_ip, CAST(starts_with(u, 'https://') AS INT) AS is_https, CAST(regexp_matches(netloc, ':[0-9]+$') AS INT) AS has_port, {_N("query", "&")} + CAST(query <> '' AS BIGINT) AS num_params"""
+
+
+def pages(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.expr(_URL).alias("u"))
+
+
+@query("url_features", f"{_PAGES} SELECT page_id, {_FEATURES} FROM f")
+def url_features(t):
+    return pages(t).select("page_id", *[c.alias(k) for k, c in urls.features(F.col("u")).items()])
+
+
+@query("url_summary", f"{_PAGES}, g AS (SELECT page_id, {_FEATURES} FROM f) SELECT is_https, has_ip, count(*) AS n, round(avg(url_length), 6) AS avg_length, sum(num_params) AS params, CAST(sum(has_port) AS BIGINT) AS ports FROM g GROUP BY is_https, has_ip")
+def url_summary(t):
+    return url_features(t).groupBy("is_https", "has_ip").agg(F.count("*").alias("n"), F.round(F.avg("url_length"), 6).alias("avg_length"), F.sum("num_params").alias("params"), F.sum("has_port").alias("ports"))
+
+
+@query("url_features_legacy", f"""{_PAGES}, l AS (SELECT page_id, u, regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS n, regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS q FROM p)
+ SELECT page_id, length(n) AS domain_length, CAST(regexp_matches(n, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS INT) AS has_ip, CAST(starts_with(lower(u), 'https:') AS INT) AS is_https, CAST(regexp_matches(regexp_extract(n, ':([0-9]+)$', 1), '[1-9]') AS INT) AS has_port,
+ CASE WHEN q = '' THEN 0 ELSE len(string_split(q, '&')) END AS num_params FROM l""")
+def url_features_legacy(t):
+    return pages(t).select("page_id", *[c.alias(k) for k, c in urls.legacy_features(F.col("u")).items()])
+
+
+@query("ai_endpoints", f"{_PAGES} SELECT page_id, CAST(regexp_matches(u, '{'|'.join(urls.AI_WIDE)}') AS INT) AS wide, CAST(regexp_matches(u, '{'|'.join(urls.AI_NARROW)}') AS INT) AS narrow FROM p")
+def ai_endpoints(t):
+    return pages(t).select("page_id", urls.ai_endpoint(F.col("u")).alias("wide"), urls.ai_endpoint(F.col("u"), urls.AI_NARROW).alias("narrow"))
+
+
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
+
+@query("url_checks", f"""{_PAGES}, s AS (SELECT *, CAST(translate(host, '01', 'ol') IN ({_IN(urls.BRANDS)}) AND host NOT IN ({_IN(urls.BRANDS)}) AS INT) AS homograph FROM f)
+ SELECT page_id, greatest(len(string_split(host, '.')) - 2, 0) AS subdomains, homograph, CAST(homograph = 1 OR list_last(string_split(host, '.')) IN ({_IN(urls.TLDS)}) OR regexp_matches(host, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') OR host IN ({_IN(urls.SHORTENERS)}) AS INT) AS suspicious,
+ CASE WHEN trim(u) = '' THEN 'empty' WHEN length(u) > 2048 THEN 'too_large' WHEN NOT regexp_matches(u, '^https?://[^/?#]+') THEN 'malformed' ELSE 'ok' END AS error FROM s""")
+def url_checks(t):
+    host = urls.parts(F.col("u"))["host"]
+    return pages(t).select("page_id", urls.subdomains(host).alias("subdomains"), urls.homograph(host).alias("homograph"), urls.suspicious(host).alias("suspicious"), urls.error_kind(F.col("u")).alias("error"))
+
+
+@query("url_variants", """WITH h AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/]+)', 1), ':[0-9]+$', '') AS host, regexp_replace(url, '^[a-zA-Z]+://[^/]+', '') AS rest FROM pages)
+ SELECT page_id, 'homograph' AS variant, replace(replace(url, 'o', '0'), 'l', '1') AS variant_url FROM h UNION ALL SELECT page_id, 'prefix', 'https://secure-' || host || rest FROM h UNION ALL SELECT page_id, 'suffix', 'https://' || host || '.phishing.com' || rest FROM h
+ UNION ALL SELECT page_id, 'tld', replace(url, '.com', '-com.net') FROM h UNION ALL SELECT page_id, 'encoded', replace(replace(url, '/', '%2F'), ':', '%3A') FROM h""")
+def url_variants(t):
+    return urls.variants(t.pages.select("page_id", "url")).drop("url")
+
+
+_START, _END = "2024-01-05 00:00:00", "2024-01-20 23:59:59"
+
+
+@query("normalize_feed", f"""SELECT 'https://' || split_part(split_part(url, '://', 2), '/', 1) || '/' AS url, 'crawl feed' AS target, true AS verified, coalesce(TRY_CAST(CASE WHEN page_id % 3 = 0 THEN 'garbage' WHEN page_id % 3 = 1 THEN '2024-01-0' || CAST(page_id % 9 + 1 AS VARCHAR) || ' 10:00:00' END AS TIMESTAMP), TIMESTAMP '{_START}') AS "timestamp",
+ 0 AS is_phishing, 0e0 AS tokens_prompt, 0e0 AS tokens_completion, coalesce(CASE WHEN page_id % 4 > 0 THEN CAST(page_id AS DOUBLE) END, 0e0) AS latency_ms, 'crawl_feed' AS source FROM pages""")
+def normalize_feed(t):
+    stamp = F.expr("CASE WHEN page_id % 3 = 0 THEN 'garbage' WHEN page_id % 3 = 1 THEN concat('2024-01-0', CAST(page_id % 9 + 1 AS STRING), ' 10:00:00') END")
+    raw = t.pages.select(F.expr("split_part(split_part(url, '://', 2), '/', 1)").alias("Domain "), stamp.alias(" DateAdded"), F.expr("CASE WHEN page_id % 4 > 0 THEN CAST(page_id AS STRING) ELSE 'n/a' END").alias("latency_MS"))
+    return feeds.normalize(raw, "crawl_feed", _START, default_label=0, domain_column="domain")
+
+
+_PAYLOAD = "'{\"text\":{\"n\":{' || CASE WHEN conv_id % 2 = 0 THEN '\"q\":\"select } from weights; drop\"' ELSE '' END || '}},\"k\":' || CAST(turn AS VARCHAR(9)) || '}'"
+_HAS = lambda col, words: " + ".join(f"CAST(contains(lower({col}), '{w}') AS BIGINT)" for w in words)
+
+
+@query("payload_features", f"""WITH c AS (SELECT conv_id, turn, 'https://api.example/v1/Login/update?u=10.1.2.3&c=' || CAST(conv_id AS VARCHAR) AS u, {_PAYLOAD} AS body, text FROM conversations)
+ SELECT conv_id, turn, length(u) AS url_length, 3 + 1 + 0 * turn AS dots, 1 AS ip, 1 AS https, CAST(2 AS BIGINT) AS path_words, length(body) AS payload_length, CAST(2 AS BIGINT) AS payload_depth, CAST(regexp_matches(body, '[A-Za-z0-9+/]{{40,}}') AS INT) AS encoded, turn AS frequency,
+ {_HAS("body", payloads.ATTACK_WORDS)} AS attack_words, {_HAS("body", payloads.MODEL_WORDS)} AS model_words, CASE WHEN length(text) > 100 THEN length(text) ELSE 0 END AS long_tokens FROM c""")
+def payload_features(t):
+    url = F.concat(F.lit("https://api.example/v1/Login/update?u=10.1.2.3&c="), F.col("conv_id").cast("string"))
+    f = payloads.request_features(url, F.expr(_PAYLOAD.replace('\\"', '"')), F.col("text"), F.col("turn"))
+    return t.conversations.select("conv_id", "turn", *[c.alias(k) for k, c in f.items()])
+
+
+_LOST = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END"
+_SPACE = lambda k, m: f"make_timestamp(epoch_us(TIMESTAMP '{_START}') + CAST(floor(CAST((epoch_us(TIMESTAMP '{_END}') - epoch_us(TIMESTAMP '{_START}')) * {k} AS DOUBLE) / greatest({m} - 1, 1)) AS BIGINT))"
+
+
+@query("timestamp_repair", f"""WITH e AS (SELECT event_id, {_LOST} AS ts FROM events), l AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS m FROM e WHERE ts IS NULL)
+ SELECT event_id, ts FROM e WHERE ts IS NOT NULL UNION ALL SELECT event_id, {_SPACE("k", "m")} FROM l""")
+def timestamp_repair(t):
+    e = t.events.select("event_id", F.expr(_LOST).cast("timestamp").alias("ts"))
+    return sampling.repair_timestamps(e, "ts", "event_id", _START, _END).select("event_id", "ts")
+
+
+@query("window_filter", f"SELECT count(*) FILTER (ts BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}') AS kept, count(*) FILTER (NOT ts BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}') AS dropped FROM events")
+def window_filter(t):
+    e = t.events.select(F.col("ts").cast("timestamp").alias("ts"))
+    kept = sampling.in_window(e, "ts", _START, _END).agg(F.count("*").alias("kept"))
+    return kept.crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).select("kept", (F.col("n") - F.col("kept")).alias("dropped"))
+
+
+_BOUNDS = {"train": ("2024-01-01 00:00:00", "2024-01-18 23:59:59"), "val": ("2024-01-19 00:00:00", "2024-01-24 23:59:59"), "test": ("2024-01-24 12:00:00", "2024-01-29 23:59:59")}
+_SPLITS = " UNION ALL ".join(f"SELECT event_id, '{k}' AS split FROM events WHERE ts BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'" for k, (a, b) in _BOUNDS.items())
+
+
+@query("split_by_time", _SPLITS)
+def split_by_time(t):
+    return sampling.split_by_time(t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", _BOUNDS).select("event_id", "split")
+
+
+@query("dataset_stats", f"WITH s AS ({_SPLITS}) SELECT split, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END), 6) AS share FROM s JOIN events USING (event_id) GROUP BY split")
+def dataset_stats(t):
+    e = sampling.split_by_time(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", _BOUNDS)
+    return e.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "error").cast("double")), 6).alias("share"))
+
+
+_STRAT = """WITH r AS (SELECT doc_id, toxic, (doc_id * 7919 + 11) % 1000003 AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels), q AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY k) - 1 AS i FROM r)"""
+
+
+def keyed_labels(t):
+    return t.labels.withColumn("k", F.pmod(F.col("doc_id") * 7919 + 11, F.lit(1000003)))
+
+
+@query("split_stratified", f"{_STRAT} SELECT doc_id, toxic, CASE WHEN i < floor(n * 0.7e0) THEN 'train' WHEN i < floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split FROM q")
+def split_stratified(t):
+    return sampling.split_stratified(keyed_labels(t), "toxic", "k").select("doc_id", "toxic", "split")
+
+
+@query("stratified_folds", f"{_STRAT} SELECT doc_id, CAST(i % 5 AS INT) AS fold FROM q")
+def stratified_folds(t):
+    return sampling.folds(keyed_labels(t), "toxic", "k").select("doc_id", "fold")
+
+
+@query("sample_cap", "SELECT doc_id FROM labels ORDER BY (doc_id * 7919 + 11) % 1000003 LIMIT 100")
+def sample_cap(t):
+    return sampling.capped(keyed_labels(t), F.col("k"), 100).select("doc_id")
+
+
+_PICK = lambda xs, k: f"list_extract([{_IN(xs)}], CAST(({k}) % {len(xs)} + 1 AS INT))"
+
+
+@query("benign_generator", f"""SELECT id, CASE WHEN id * 37 % 100 >= 15 THEN 'https://' ELSE 'http://' END || {_PICK(feeds.BENIGN_HOSTS, "id * 5")} || {_PICK(feeds.BENIGN_PATHS, "id * 7")} AS url, 0 AS is_phishing, CAST(50 + id * 131 % 550 AS DOUBLE) AS prompt_tokens, CAST(20 + id * 97 % 380 AS DOUBLE) AS completion_tokens, CAST(40 + id * 71 % 170 AS DOUBLE) AS latency_ms,
+ {_SPACE("id", "n")} AS "timestamp" FROM (SELECT unnest(range(n)) AS id, n FROM (SELECT count(*) FILTER (event_type = 'error') AS n FROM events))""")
+def benign_generator(t):
+    return feeds.benign(t.spark, t.events.where("event_type = 'error'").count(), _START, _END)
+
+
+@query("mock_feed", f"""SELECT id, 'https://' || {_PICK(feeds.MOCK_HOSTS, "id * 7 + 3")} || {_PICK(feeds.MOCK_PATHS, "id * 11 + 5")} || '?campaign=open_feed' || CAST(id AS VARCHAR) AS url, 'open feed' AS target, 1 AS is_phishing, {_SPACE("id", "120")} AS "timestamp" FROM (SELECT unnest(range(120)) AS id)""")
+def mock_feed(t):
+    return feeds.mock(t.spark, "open_feed", _START, _END)
+
+
+@query("union_feeds", f"WITH a AS (SELECT url, 1 AS is_phishing, NULL::DOUBLE AS prompt_tokens FROM pages UNION ALL SELECT 'https://' || {_PICK(feeds.MOCK_HOSTS, 'id * 7 + 3')}, 0, CAST(id AS DOUBLE) FROM (SELECT unnest(range(50)) AS id)) SELECT is_phishing, count(*) AS n, sum(coalesce(prompt_tokens, 0)) AS tokens FROM a GROUP BY is_phishing")
+def union_feeds(t):
+    made = t.spark.range(50).select(F.concat(F.lit("https://"), feeds.pick(feeds.MOCK_HOSTS, F.col("id") * 7 + 3)).alias("url"), F.lit(0).alias("is_phishing"), F.col("id").cast("double").alias("prompt_tokens"))
+    return feeds.union([t.pages.select("url", F.lit(1).alias("is_phishing")), made]).groupBy("is_phishing").agg(F.count("*").alias("n"), F.sum(F.coalesce("prompt_tokens", F.lit(0.0))).alias("tokens"))
+
+
+@query("oversample", """WITH d AS (SELECT l.doc_id, toxic, CAST(n_chars AS DOUBLE) AS f FROM labels l JOIN documents USING (doc_id)), p AS (SELECT f, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM d WHERE toxic = 1), c AS (SELECT count(*) FILTER (toxic = 1) AS n, count(*) FILTER (toxic = 0) AS m FROM d),
+ g AS (SELECT id * 7919 + 13 AS a, id * 104729 + 7 AS b, id * 31 % 100 / 1e2 AS u, n FROM (SELECT unnest(range(m - n)) AS id, n FROM c)) SELECT toxic, round(f, 6) AS n_chars FROM d UNION ALL SELECT 1, round(x.f + u * (y.f - x.f), 6) FROM g JOIN p x ON x.i = a % n JOIN p y ON y.i = b % n""")
+def oversample(t):
+    d = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return sampling.oversample(d, "toxic", "doc_id", ["n_chars"]).select("toxic", F.round("n_chars", 6).alias("n_chars"))
+
+
+@query("replay_expand", "WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), r AS (SELECT unnest(range(1000)) AS position) SELECT position, item_id FROM r JOIN b ON position % n = i")
+def replay_expand(t):
+    return sampling.replay(t.benchmark.select("item_id"), "item_id", 1000)
+
+
+@query("replay_waves", "WITH r AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT i // 32 AS wave, count(*) AS n, round(max(value), 6) AS slowest FROM r GROUP BY wave")
+def replay_waves(t):
+    r = sampling.ranked(t.events.select("event_id", "value"), "event_id", name="i")
+    return r.groupBy(F.floor(F.col("i") / 32).alias("wave")).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("slowest"))
+
+
+# scores of labelled documents that are arithmetic on the id
+_S = "s AS (SELECT doc_id, toxic AS y, (doc_id * 7919 % 1000) / 1e3 AS p, (doc_id * 104729 % 1000) / 1e3 AS q FROM labels)"
+_RATE = "coalesce({0} / nullif({1}, 0), 0)"
+_C = "CAST({0} AS DOUBLE)"
+
+
+def scored(t) -> DataFrame:
+    return t.labels.select("doc_id", F.col("toxic").alias("y"), (F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 1e3).alias("p"), (F.pmod(F.col("doc_id") * 104729, F.lit(1000)) / 1e3).alias("q"))
+
+
+_RATES = """round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+ round(coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0), 6) AS fpr, round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc"""
+_COUNTS = "count(*) FILTER (y = 0 AND NOT hit) AS tn, count(*) FILTER (y = 0 AND hit) AS fp, count(*) FILTER (y = 1 AND NOT hit) AS fn, count(*) FILTER (y = 1 AND hit) AS tp"
+
+
+@query("classification_metrics", f"WITH {_S}, c AS (SELECT {_COUNTS} FROM (SELECT y, p >= 0.5 AS hit FROM s)) SELECT *, {_RATES} FROM c")
+def classification_metrics(t):
+    return metrics.rates(metrics.confusion(scored(t)))
+
+
+_SCAN = f"WITH {_S}, g AS (SELECT CAST(0.01 AS DOUBLE) + i * ((CAST(0.99 AS DOUBLE) - CAST(0.01 AS DOUBLE)) / 98) AS threshold FROM (SELECT unnest(range(99)) AS i)), c AS (SELECT threshold, {_COUNTS} FROM (SELECT threshold, y, p >= threshold AS hit FROM s, g) GROUP BY threshold), m AS (SELECT *, {_RATES} FROM c)"
+
+
+@query("threshold_scan", f"{_SCAN} SELECT * FROM m")
+def threshold_scan(t):
+    return metrics.threshold_scan(scored(t))
+
+
+@query("best_threshold", f"{_SCAN} SELECT * FROM m ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(t):
+    return metrics.best_threshold(scored(t))
+
+
+_CURVE = f"WITH {_S}, c AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM s GROUP BY p), r AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp, sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg FROM c)"
+
+
+@query("roc_points", f"{_CURVE}, n AS (SELECT *, lead(pos) OVER (ORDER BY p DESC) AS np, lead(neg) OVER (ORDER BY p DESC) AS nn FROM r) SELECT p AS threshold, round(CAST(fp AS DOUBLE) / all_neg, 6) AS fpr, round(CAST(tp AS DOUBLE) / all_pos, 6) AS tpr FROM n WHERE np IS NULL OR np <> pos OR nn <> neg UNION ALL SELECT NULL, 0e0, 0e0")
+def roc_points(t):
+    return metrics.roc_points(scored(t))
+
+
+@query("score_areas", f"{_CURVE} SELECT round(sum(pos * (CAST(all_neg - fp AS DOUBLE) + neg / 2e0)) / max(CAST(all_pos AS DOUBLE) * all_neg), 6) AS roc_auc, round(sum(CAST(tp AS DOUBLE) / (tp + fp) * pos) / max(all_pos), 6) AS average_precision FROM r")
+def score_areas(t):
+    return metrics.areas(scored(t))
+
+
+@query("per_class_report", f"""WITH {_S}, c AS (SELECT {_COUNTS} FROM (SELECT y, p >= 0.5 AS hit FROM s)), b AS (SELECT 1 AS label, tp, fp, fn, tp + fn AS support FROM c UNION ALL SELECT 0, tn, fn, fp, tn + fp FROM c)
+ SELECT label, support, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM b""")
+def per_class_report(t):
+    return metrics.per_class(scored(t))
+
+
+@query("average_f1", f"""WITH {_S}, c AS (SELECT {_COUNTS} FROM (SELECT y, p >= 0.5 AS hit FROM s)), b AS (SELECT round(2e0 * tp / (2 * tp + fp + fn), 6) AS f1, tp + fn AS n FROM c UNION ALL SELECT round(2e0 * tn / (2 * tn + fp + fn), 6), tn + fp FROM c) SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * n) / sum(n), 6) AS weighted_f1 FROM b""")
+def average_f1(t):
+    return metrics.per_class(scored(t)).agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"))
+
+
+_ODD = f"WITH {_S}, o AS (SELECT count(*) FILTER (a AND NOT d) AS b, count(*) FILTER (NOT a AND d) AS c FROM (SELECT (p >= 0.5) = (y = 1) AS a, (q >= 0.5) = (y = 1) AS d FROM s))"
+
+
+@query("mcnemar", f"{_ODD} SELECT b, c, round(coalesce(pow(abs(b - c) - 1, 2) / nullif(CAST(b + c AS DOUBLE), 0), 0), 6) AS chi2 FROM o")
+def mcnemar(t):
+    return metrics.mcnemar(scored(t))
+
+
+@query("cohen_kappa", "WITH t AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) / CAST(count(*) AS DOUBLE) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels) SELECT n AS pairs, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM t")
+def cohen_kappa(t):
+    return metrics.kappa(t.labels, "quality", "toxic")
+
+
+@query("shadow_agreement", f"WITH {_S} SELECT (p >= 0.5) AS live, (q >= 0.5) AS shadow, count(*) AS n FROM s GROUP BY ALL")
+def shadow_agreement(t):
+    s = scored(t)
+    both = s.select("doc_id", (F.col("p") >= 0.5).alias("live")).join(s.select("doc_id", (F.col("q") >= 0.5).alias("shadow")), "doc_id")
+    return both.groupBy("live", "shadow").agg(F.count("*").alias("n"))
+
+
+@query("holm_adjustment", "WITH v AS (SELECT p_partkey % 20 AS test, min(p_retailprice) / 1e5 AS p FROM part GROUP BY test), r AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS n FROM v) SELECT test, round(least(p * (n - i + 1), 1), 6) AS adjusted FROM r")
+def holm_adjustment(t):
+    from pyspark.sql import Window
+
+    v = t.part.groupBy(F.pmod("p_partkey", F.lit(20)).alias("test")).agg((F.min("p_retailprice") / 1e5).alias("p"))
+    r = v.withColumn("i", F.row_number().over(Window.orderBy("p", "test"))).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row a test
+    return r.select("test", F.round(F.least(F.col("p") * (F.col("n") - F.col("i") + 1), F.lit(1.0)), 6).alias("adjusted"))
+
+
+@query("paired_statistics", f"WITH {_S}, d AS (SELECT p - q AS d FROM s), r AS (SELECT d, abs(d) AS a, rank() OVER (ORDER BY round(abs(d), 9)) AS k, count(*) OVER (PARTITION BY round(abs(d), 9)) AS m FROM d WHERE abs(d) > 1e-9), w AS (SELECT sum(CASE WHEN d > 0 THEN k + (m - 1) / 2e0 END) AS w FROM r) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(avg(d) / stddev_samp(d), 6) AS cohen_d, round(stddev_samp(d) / sqrt(count(*)), 6) AS sem, round(any_value(w), 4) AS wilcoxon FROM d, w")
+def paired_statistics(t):
+    d = scored(t).select((F.col("p") - F.col("q")).alias("d"))
+    ties = d.where("abs(d) > 1e-9").groupBy(F.round(F.abs("d"), 9).alias("a")).agg(F.count("*").alias("m"), F.count_if(F.col("d") > 0).alias("up"))
+    from pyspark.sql import Window
+
+    below = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)  # distinct sizes of differences
+    ranks = ties.select("up", "m", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("k"))
+    w = ranks.agg(F.sum(F.col("up") * (F.col("k") + (F.col("m") + 1) / 2.0)).alias("w"))
+    m, s, n = F.avg("d"), F.stddev_samp("d"), F.count("*")
+    return d.agg(n.alias("n"), F.round(m, 6).alias("mean"), F.round(m / (s / F.sqrt(n)), 4).alias("t"), F.round(m / s, 6).alias("cohen_d"), F.round(s / F.sqrt(n), 6).alias("sem")).crossJoin(F.broadcast(w.select(F.round("w", 4).alias("wilcoxon"))))
+
+
+_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_CELLS = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) AS corr FROM z" for i, a in enumerate([*_COLS, "one"]) for b in [*_COLS, "one"][i:])
+
+
+@query("pearson_matrix", f"WITH z AS (SELECT {', '.join(_COLS)}, 1e0 AS one FROM lineitem) {_CELLS}")
+def pearson_matrix(t):
+    return metrics.pearson(t.lineitem.select(*_COLS, F.lit(1.0).alias("one")), [*_COLS, "one"])
+
+
+@query("information_gain", "WITH b AS (SELECT l.toxic AS y, d.lang AS f FROM labels l JOIN documents d USING (doc_id)), t AS (SELECT count(*) AS n FROM b), hy AS (SELECT -sum(c / n * log2(c / n)) AS h FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM b GROUP BY y), t), hf AS (SELECT sum(m / n * h) AS h FROM (SELECT f, sum(c) AS m, -sum(c / m1 * log2(c / m1)) AS h FROM (SELECT f, CAST(count(*) AS DOUBLE) AS c, sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY f) AS m1 FROM b GROUP BY f, y) GROUP BY f), t) SELECT round(hy.h - hf.h, 6) AS gain FROM hy, hf")
+def information_gain(t):
+    b = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
+    cells = b.groupBy("lang", "toxic").agg(F.count("*").alias("n"))
+    whole = ev.entropy(b.select("toxic").withColumn("g", F.lit(1)), ["g"], "toxic").select("entropy")
+    share = cells.groupBy("lang").agg(F.sum("n").alias("m"))
+    own = cells.join(share, "lang").agg((F.sum(-F.col("n") * F.log2(F.col("n") / F.col("m"))) / F.sum("n")).alias("h"))
+    exact = cells.groupBy("toxic").agg(F.sum("n").alias("n")).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("w"))
+    del whole
+    return own.crossJoin(F.broadcast(exact)).select(F.round(F.col("w") - F.col("h"), 6).alias("gain"))
+
+
+@query("benford", "WITH d AS (SELECT CAST(left(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), 1) AS INT) AS digit FROM lineitem), c AS (SELECT digit, count(*) AS n, sum(count(*)) OVER () AS t FROM d WHERE digit > 0 GROUP BY digit) SELECT digit, n, round(n / CAST(t AS DOUBLE) - log10(1 + 1e0 / digit), 6) AS excess FROM c")
+def benford(t):
+    d = t.lineitem.select(F.left(F.floor("l_extendedprice").cast("string"), F.lit(1)).cast("int").alias("digit")).where("digit > 0")
+    c = d.groupBy("digit").agg(F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("digit", "n", F.round(F.col("n") / F.col("t") - F.log10(1 + 1 / F.col("digit")), 6).alias("excess"))
+
+
+_PCT = "count(value) AS n, round(avg(value), 6) AS avg, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max"
+
+
+@query("latency_summary", f"SELECT event_type, {_PCT} FROM events GROUP BY event_type")
+def latency_summary(t):
+    return metrics.percentiles(t.events, "value", "event_type")
+
+
+@query("latency_histogram", "SELECT CAST((value >= 10)::INT + (value >= 25)::INT + (value >= 50)::INT + (value >= 75)::INT + (value >= 100)::INT + (value >= 200)::INT + (value >= 500)::INT AS INT) AS bucket, count(*) AS n FROM events GROUP BY bucket")
+def latency_histogram(t):
+    bucket = sum(((F.col("value") >= x).cast("int") for x in (25, 50, 75, 100, 200, 500)), (F.col("value") >= 10).cast("int"))
+    return t.events.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("class_weights", "SELECT toxic, round(sum(count(*)) OVER () / (2e0 * count(*)), 6) AS weight FROM labels GROUP BY toxic")
+def class_weights(t):
+    c = t.labels.groupBy("toxic").agg(F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t"), F.count("*").alias("k")))).select("toxic", F.round(F.col("t") / (F.col("k") * F.col("n")), 6).alias("weight"))
+
+
+@query("linear_score", "WITH m AS (SELECT avg(value) AS a, stddev_pop(value) AS s FROM events) SELECT event_id, round((value - a) / coalesce(nullif(s, 0), 1), 6) AS z, round(1 / (1 + exp(-(0.8e0 * (value - a) / coalesce(nullif(s, 0), 1) - 0.5e0))), 6) AS probability, CAST(1 / (1 + exp(-(0.8e0 * (value - a) / coalesce(nullif(s, 0), 1) - 0.5e0))) >= 0.5e0 AS INT) AS decision FROM events, m")
+def linear_score(t):
+    m = t.events.agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("s"))
+    z = (F.col("value") - F.col("a")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0))
+    p = 1 / (1 + F.exp(-(0.8 * z - 0.5)))
+    return t.events.crossJoin(F.broadcast(m)).select("event_id", F.round(z, 6).alias("z"), F.round(p, 6).alias("probability"), (p >= 0.5).cast("int").alias("decision"))
+
+
+FAMILIES = {"length": ["url_length", "domain_length", "path_length"], "punctuation": ["num_dots", "num_hyphens", "num_underscores", "num_slashes"], "protocol": ["has_ip", "is_https", "has_port"], "usage": ["num_params"]}
+_ABLATED = " UNION ALL ".join(f"SELECT 'minus_{k}' AS experiment, count(*) AS n_rows, CAST({11 - len(v)} AS BIGINT) AS n_features FROM pages" for k, v in FAMILIES.items())
+
+
+@query("ablation_columns", _ABLATED)
+def ablation_columns(t):
+    f = url_features(t).drop("page_id")
+    out = None
+    for k, v in FAMILIES.items():
+        left = f.drop(*v)
+        row = left.agg(F.lit(f"minus_{k}").alias("experiment"), F.count("*").alias("n_rows"), F.lit(len(left.columns)).cast("long").alias("n_features"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("request_rates", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS n_1m, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW) AS n_5m FROM events")
+def request_rates(t):
+    return ev.rates(t.events)
+
+
+@query("inter_arrival", "WITH g AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap_us, event_type, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, coalesce(gap_us, -1) AS gap_us, coalesce(CAST(gap_us <= 600000000 AND before <> event_type AS INT), 0) AS churn FROM g")
+def inter_arrival(t):
+    return ev.gaps(t.events).na.fill(-1, ["gap_us"])
+
+
+@query("sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def sessions(t):
+    return ev.sessions(t.events)
+
+
+@query("query_diversity", "WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id, day) AS t FROM c) SELECT user_id, CAST(day AS VARCHAR) AS day, abs(round(log2(max(t)) - sum(n * log2(n)) / max(t), 6)) AS entropy FROM t GROUP BY user_id, day")
+def query_diversity(t):
+    return ev.entropy(t.events.withColumn("day", F.to_date("ts").cast("string")), ["user_id", "day"], "event_type")
+
+
+@query("cost_rollup", "SELECT coalesce(user_id, -1) AS user_id, coalesce(CAST(CAST(ts AS DATE) AS VARCHAR), 'all') AS day, round(sum(value / 1000 * 0.01e0 + CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 * 0.03e0), 8) AS cost, count(*) AS n FROM events GROUP BY ROLLUP (user_id, CAST(ts AS DATE))")
+def cost_rollup(t):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return t.events.withColumn("day", F.to_date("ts")).rollup("user_id", "day").agg(F.round(F.sum(payloads.cost(F.col("value"), k)), 8).alias("cost"), F.count("*").alias("n")).select(F.coalesce("user_id", F.lit(-1)).alias("user_id"), F.coalesce(F.col("day").cast("string"), F.lit("all")).alias("day"), "cost", "n")
+
+
+@query("hourly_bursts", "WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT user_id, avg(n) AS m, stddev_pop(n) AS s FROM h GROUP BY user_id) SELECT user_id, hour, n FROM h JOIN b USING (user_id) WHERE n > m + 3 * s + 1e-9")
+def hourly_bursts(t):
+    return ev.bursts(t.events)
+
+
+@query("usage_thresholds", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY event_type")
+def usage_thresholds(t):
+    p = t.events.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95), F.lit(0.975))).alias("p"))
+    return p.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p5", "p95", "p975"))])
+
+
+_TUMBLE = "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY start"
+_SLIDE = "SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(CAST(i AS INT)) AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(5)) AS i) GROUP BY ALL"
+
+
+@query("tumbling_p95", _TUMBLE)
+def tumbling_p95(t):
+    return ev.tumbling(t.events)
+
+
+@query("sliding_rates", _SLIDE)
+def sliding_rates(t):
+    return ev.sliding(t.events)
+
+
+@query("p95_alerts", f"WITH w AS (SELECT epoch(start) // 300 AS slot FROM ({_TUMBLE}) WHERE p95 > 20), r AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS g FROM w) SELECT make_timestamp(CAST(min(slot) * 300 * 1000000 AS BIGINT)) AS start, count(*) AS n FROM r GROUP BY g HAVING count(*) >= 3")
+def p95_alerts(t):
+    return ev.consecutive(ev.tumbling(t.events), "p95 > 20")
+
+
+@query("decision_rate_drift", "WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) AS rate FROM events GROUP BY day), w AS (SELECT *, avg(rate) OVER x AS m, stddev_samp(rate) OVER x AS s FROM d WINDOW x AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) SELECT CAST(day AS VARCHAR) AS day, round(rate, 6) AS rate, round(m, 6) AS mean_7d, coalesce(CAST(abs(rate - m) > 3 * s AS INT), 0) AS alert FROM w")
+def decision_rate_drift(t):
+    return ev.daily_rate(t.events).withColumn("day", F.col("day").cast("string"))
+
+
+@query("median_drift", "SELECT date_trunc('hour', ts) AS hour, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY hour HAVING quantile_cont(value, 0.5) < 20")
+def median_drift(t):
+    return t.events.groupBy(F.date_trunc("hour", F.col("ts")).alias("hour")).agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median")).where("median < 20")
+
+
+@query("label_rollup", "SELECT coalesce(lang, 'all') AS lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY CUBE (lang, quality, toxic)")
+def label_rollup(t):
+    return t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").cube("lang", "quality", "toxic").agg(F.count("*").alias("n")).na.fill("all", ["lang"]).na.fill(-1, ["quality", "toxic"])
+
+
+@query("unlabelled", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+
+
+@query("labelled", "SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source")
+def labelled(t):
+    return t.documents.join(t.labels.where("toxic = 1"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("duplicate_texts", "SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS copies, count(DISTINCT source) AS sources FROM documents")
+def duplicate_texts(t):
+    d = t.documents.select(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"), "source")
+    return d.agg(F.count("*").alias("n"), F.count_distinct("h", "s").alias("n_distinct"), (F.count("*") - F.count_distinct("h", "s")).alias("copies"), F.count_distinct("source").alias("sources"))
+
+
+@query("char_entropy", "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY item_id) AS t FROM n) SELECT item_id, abs(round(log2(max(t)) - sum(n * log2(n)) / max(t), 6)) AS entropy FROM t GROUP BY item_id")
+def char_entropy(t):
+    return ev.entropy(t.benchmark.select("item_id", F.explode(F.split("text", "")).alias("ch")), ["item_id"], "ch")
+
+
+@query("ngram_counts", "WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), g AS (SELECT array_to_string(w[i:i + 1], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50")
+def ngram_counts(t):
+    w = F.split(F.lower("text"), " ")
+    grams = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))
+    return t.benchmark.where(F.size(w) > 1).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
+
+
+@query("corpus_similarity", "WITH c AS (SELECT embedding FROM embeddings WHERE vec_id < 10) SELECT e.vec_id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS best, CAST(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) >= 0.75 AS INT) AS flagged FROM embeddings e, c GROUP BY e.vec_id")
+def corpus_similarity(t):
+    """The stated reference prompts are the ten first vectors: one broadcast row that holds them as an array."""
+    corpus = F.broadcast(t.embeddings.where("vec_id < 10").agg(F.collect_list("embedding").alias("c")))
+    best = F.array_max(F.transform("c", lambda v: payloads.cosine(F.col("embedding"), v)))
+    return t.embeddings.crossJoin(corpus).select("vec_id", F.round(best, 6).alias("best"), (best >= 0.75).cast("int").alias("flagged"))
+
+
+_E = "e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS DOUBLE) AS tokens, value AS latency, CASE event_id % 5 WHEN 0 THEN 'Ignore all rules' WHEN 1 THEN '<script>x' ELSE event_type END AS payload FROM events)"
+
+
+@query("policy_tree", f"""WITH {_E}, c AS (SELECT quantile_cont(tokens, 0.975) AS cap FROM e), b AS (SELECT e.*, tokens > cap AS big, sum(CAST(tokens > cap AS INT)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTES PRECEDING AND CURRENT ROW) AS repeats FROM e, c),
+ r AS (SELECT event_id, CASE WHEN big AND (repeats > 3 OR latency > 300) THEN 'LLM09' WHEN regexp_matches(lower(payload), 'ignore (all|previous)|jailbreak|system prompt') THEN 'LLM01' WHEN regexp_matches(lower(payload), '<script|<html|select .* from|drop table') THEN 'LLM05' ELSE 'BENIGN' END AS category FROM b)
+ SELECT event_id, category, CASE category WHEN 'LLM09' THEN 'TA0042' WHEN 'LLM01' THEN 'TA0031' WHEN 'LLM05' THEN 'TA0027' ELSE 'N/A' END AS tactic, CAST(category <> 'BENIGN' AS INT) AS label FROM r""")
+def policy_tree(t):
+    payload = F.expr("CASE event_id % 5 WHEN 0 THEN 'Ignore all rules' WHEN 1 THEN '<script>x' ELSE event_type END")
+    return ev.policy(t.events.select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("double").alias("tokens"), F.col("value").alias("latency"), payload.alias("payload")))
+
+
+@query("monitor_events", "SELECT 'r' || CAST(event_id AS VARCHAR) AS record_id, round(value / 1e3, 6) AS probability, CAST(round(value / 1e3, 6) >= 0.03 AS INT) AS decision, CASE WHEN event_id % 3 = 0 THEN 'N/A' WHEN event_id % 3 = 2 THEN 'LLM01' END AS category, CASE WHEN event_id % 3 = 0 THEN 'N/A' ELSE 'TA0031' END AS tactic FROM events")
+def monitor_events(t):
+    context = F.when(F.col("event_id") % 3 != 0, F.struct(F.when(F.col("event_id") % 3 == 2, "LLM01").alias("category"), F.lit("TA0031").alias("tactic")))
+    return jobs.monitor(t.events.select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("record_id"), F.round(F.col("value") / 1e3, 6).alias("probability"), context.alias("context")))
+
+
+@query("anonymised", "SELECT page_id, sha256(split_part(split_part(url, '://', 2), '/', 1)) AS host, left(url, strpos(url, '://') - 1) AS scheme FROM pages")
+def anonymised(t):
+    return t.pages.select("page_id", F.sha2(F.expr("split_part(split_part(url, '://', 2), '/', 1)"), 256).alias("host"), F.expr("substring_index(url, '://', 1)").alias("scheme"))
+
+
+@query("record_violations", f"""WITH v AS (SELECT page_id, {_URL} AS u, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS ts, (page_id % 13) / 1e1 AS c FROM pages)
+ SELECT page_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(coalesce(u, ''), '^https?://') THEN 'url' END, CASE WHEN ts IS NULL OR year(ts) < 2000 THEN 'timestamp' END, CASE WHEN NOT c BETWEEN 0 AND 1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS broken FROM v""")
+def record_violations(t):
+    ts = F.expr("CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END")
+    return t.pages.select("page_id", F.array_join(payloads.violations(F.expr(_URL), ts, F.col("page_id") % 13 / 10), ",").alias("broken"))
+
+
+@query("ensemble_weights", f"WITH {_S}, l AS (SELECT 'p' AS model, sum(abs(p - y)) AS loss FROM s UNION ALL SELECT 'q', sum(abs(q - y)) FROM s), w AS (SELECT model, exp(-0.01 * (loss - min(loss) OVER ())) AS w FROM l) SELECT model, round(0.95e0 * w / sum(w) OVER () + 0.025e0, 6) AS weight FROM w")
+def ensemble_weights(t):
+    """exp(-eta loss), made to sum to 1 and mixed with an even share of 0.05."""
+    loss = scored(t).select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.abs(F.col(m) - F.col("y")).alias("d")) for m in "pq"])).alias("x")).groupBy("x.model").agg(F.sum("x.d").alias("loss"))
+    best = F.broadcast(loss.agg(F.min("loss").alias("b")))
+    w = loss.crossJoin(best).select("model", F.exp(-0.01 * (F.col("loss") - F.col("b"))).alias("w"))
+    return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("s"), F.count("*").alias("k")))).select("model", F.round(0.95 * F.col("w") / F.col("s") + 0.05 / F.col("k"), 6).alias("weight"))
+
+
+@query("text_statistics")
+def text_statistics(t):
+    """Compression needs Python, so no SQL: tested against zlib."""
+    return t.benchmark.select("item_id", F.round(payloads.compression_ratio("text"), 6).alias("compression"), F.round(payloads.imperative_share(F.col("text")), 6).alias("imperatives"))
+
+
+@query("stream_tumbling", _TUMBLE)
+def stream_tumbling(t):
+    return jobs.run(jobs.tumbling(jobs.events(t.spark, f"{t.folder}/events.parquet")), "complete")
+
+
+@query("stream_sliding", _SLIDE)
+def stream_sliding(t):
+    return jobs.run(jobs.sliding(jobs.events(t.spark, f"{t.folder}/events.parquet")), "complete")
+
+
+@query("stream_sessions")
+def stream_sessions(t):
+    """Closed sessions only, so no SQL: tested against the batch query."""
+    return jobs.run(jobs.sessions(jobs.events(t.spark, f"{t.folder}/events.parquet")), "append")
+
+
+@query("stream_distinct", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def stream_distinct(t):
+    return jobs.run(jobs.distinct(jobs.events(t.spark, f"{t.folder}/events.parquet")), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def labelled_urls(t: Tables) -> DataFrame:
+    """URL features of generated mock (1) and benign (0) rows with a chronological 70/30 split."""
+    bad = feeds.mock(t.spark, "open_feed", _START, _END, 400).select("url", F.lit(1).alias("y"), "id")
+    good = t.pages.select("url", F.lit(0).alias("y"), F.col("page_id").alias("id"))
+    f = urls.features(F.col("url"))
+    return bad.unionByName(good).select("y", F.when(F.pmod("id", F.lit(10)) < 7, "train").otherwise("test").alias("split"), *[c.alias(k) for k, c in f.items()])
+
+
+@query("logistic_metrics")
+def logistic_metrics(t):
+    """A fitted model, so no SQL: tested by held-out accuracy."""
+    from quaymark.operators import learning
+
+    return learning.evaluate(learning.logistic(sum(FAMILIES.values(), [])), labelled_urls(t), "logistic")
+
+
+@query("forest_metrics")
+def forest_metrics(t):
+    """A fitted model, so no SQL: tested by held-out accuracy."""
+    from quaymark.operators import learning
+
+    return learning.evaluate(learning.forest(sum(FAMILIES.values(), [])), labelled_urls(t), "forest")
+
+
+@query("model_ablations")
+def model_ablations(t):
+    """Fitted models, so no SQL: tested by held-out accuracy."""
+    from quaymark.operators import learning
+
+    return learning.ablations(labelled_urls(t), sum(FAMILIES.values(), []), FAMILIES)
