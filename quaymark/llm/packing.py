@@ -27,7 +27,7 @@ from .common import chunks, cut, ship, table
 
 CAPACITY, END = 4096, 1
 #: Branches that the search may visit before it returns its best plan, fillings kept of a branch, words a worker remembers.
-NODES, WIDTH, REMEMBERED = 20000, 4, 400_000
+NODES, WIDTH, REMEMBERED = 20000, 4, 200_000
 _PLAIN = "".join(chr(c) for c in range(0x180) if c != 0x130) + "‘’“”–—…€•"
 _LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
