@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, language, packing, pii, quality, simhash, toxicity, vectors, warc
+from . import decontam, language, packing, pii, quality, simhash, suffix, toxicity, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_decontamination": decontam.query,
     "op3_warc_transactions": warc.query,
     "op4_simhash": simhash.query,
+    "op5_suffix_dedup": suffix.query,
     "op6_quality": quality.query,
     "op7_packing": packing.query,
     "op8_language": language.query,
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_embeddings": vectors.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE, "op5_suffix_dedup": suffix.ORACLE}
