@@ -10,7 +10,7 @@ listed; an empty benchmark marks nothing; empty documents give no rows; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,30 +99,34 @@ def _scan(chunk: pa.RecordBatch, text: int, windows: WindowSet) -> tuple[np.ndar
     return start, end, doc, np.cumsum(hits)[:-1] > 0, items
 
 
-def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[WindowSet]:
+def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, block_bytes: int) -> list[Callable[[], WindowSet]]:
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = -(-total // block_bytes) or 1
-    for b in range(count):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b) if count > 1 else rows
-        yield WindowSet([(r["i"], r["t"]) for r in part.collect()], n)
+    part = lambda b: rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b) if count > 1 else rows
+    return [lambda b=b: WindowSet([(r["i"], r["t"]) for r in part(b).collect()], n) for b in range(count)]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, last: Callable | None = None) -> DataFrame:
     """docs with ``dc_words`` (long), ``dc_spans`` (hit words: start and end byte) and ``dc_items`` (strings) added.
 
     A benchmark of over ``block_bytes`` is broadcast and scanned block by block, each pass written to shared storage.
+    ``last`` may turn (columns, spans) of the last pass into the columns of docs to return, within the same pass.
     """
     spark = docs.sparkSession
     ship(spark)
-    clash = [c for c in docs.columns if c.lower().startswith("dc_")]
-    docs = docs.drop(*clash)
-    at = docs.columns.index(text_col)
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("dc_")])
+    at, own_names = docs.columns.index(text_col), docs.columns
     out, names = docs, [*docs.columns, "dc_words", "dc_spans", "dc_items"]
-    for k, windows in enumerate(_blocks(benchmark, n, item_col, item_text, block_bytes)):
-        shared = spark.sparkContext.broadcast(windows)
+    schema = T.StructType([*docs.schema.fields, T.StructField("dc_words", T.LongType()), T.StructField("dc_spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))), T.StructField("dc_items", T.ArrayType(T.StringType()))])
+    blocks = _blocks(benchmark, n, item_col, item_text, block_bytes)
+    for k, windows in enumerate(blocks):
+        shared, finish = spark.sparkContext.broadcast(windows()), last if k == len(blocks) - 1 else None
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, k=k, finish=finish) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches, at):
                 _, off = text_view(chunk.column(at))
                 start, end, doc, hit, items = _scan(chunk, at, shared.value)
@@ -138,13 +142,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
                     spans = [sorted({(x["s"], x["e"]) for x in (*a, *b)}) for a, b in zip(spans, old_s, strict=True)]
                     spans = [[{"s": s, "e": e} for s, e in x] for x in spans]
                     own = [sorted({*a, *b}) for a, b in zip(own, old_i, strict=True)]
-                more = [pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(own, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*base, *more], names=names)
+                if finish:
+                    yield pa.RecordBatch.from_arrays(finish(base, spans), names=own_names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*base, pa.array(words, pa.int64()), pa.array(spans, _SPANS), pa.array(own, pa.list_(pa.string()))], names=names)
 
-        schema = T.StructType([*docs.schema.fields, T.StructField("dc_words", T.LongType()), T.StructField("dc_spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))), T.StructField("dc_items", T.ArrayType(T.StringType()))])
         if k:
             out = cut(out)
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(scan, docs.schema if finish else schema)
     return out
 
 
@@ -170,26 +175,22 @@ def _strip(text: str, spans: list[dict]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "span") -> DataFrame:
     """docs without benchmark text: ``span`` cuts the hit words (with what separates them), ``document`` drops the rows."""
-    columns, n_columns = docs.columns, len(docs.columns)
-    marked = mark(docs, benchmark, n)
-    if mode == "document":
-        return marked.where(F.size("dc_spans") == 0).select(*columns)
-    at = columns.index("text")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(batch.num_columns - 2)
-            hit = np.flatnonzero(np.diff(spans.offsets.to_numpy()) > 0)
-            col = batch.column(at)
-            if len(hit):
-                texts = col.to_pylist()
-                for i in hit.tolist():
-                    texts[i] = _strip(texts[i], spans[i].as_py())
-                col = pa.array(texts, pa.string())
-            cols = [col if i == at else batch.column(i) for i in range(n_columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return marked.mapInArrow(clean, docs.schema)
+    at = [c for c in docs.columns if not c.lower().startswith("dc_")].index("text")
+
+    def drop(columns: list, spans: list) -> list:
+        clean = pa.array([not x for x in spans], pa.bool_())
+        return [c.filter(clean) for c in columns]
+
+    def strip(columns: list, spans: list) -> list:
+        hit = [i for i, x in enumerate(spans) if x]
+        if not hit:
+            return columns
+        texts = columns[at].to_pylist()
+        for i in hit:
+            texts[i] = _strip(texts[i], spans[i])
+        return [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(columns)]
+
+    return mark(docs, benchmark, n, last={"document": drop, "span": strip}[mode])
 
 
 def query(spark, sf_dir):
