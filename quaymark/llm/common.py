@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the batch.
 CHUNK_BYTES = 1 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -23,7 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets local Python workers import this package wherever the driver was started from."""
+    """Lets local Python workers import this package wherever the driver was started from, and hands them texts in
+    batches of fewer rows than the default, if that is what the session has."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
@@ -69,6 +75,9 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTE
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # idle workers keep nothing
+    if _trim is not None:
+        _trim(0)
 
 
 def lower_table() -> np.ndarray:
