@@ -51,7 +51,7 @@ def test_crowd_is_whole(spark):
     df = spark.createDataFrame(nodes, "id long, f0 long, f1 long")
     from quaymark.llm.components import components
 
-    found = [{(r["node"], r["root"]) for r in components(x[0].unionAll(x[1])).collect()} for c in (4, 10**6) for x in [neardup.links(df, radius=20, close=20, crowd=c)]]
+    found = [{(r["node"], r["root"]) for r in components(x[0].select("u", "v").unionAll(x[1])).collect()} for c in (4, 10**6) for x in [neardup.links(df, radius=20, close=20, crowd=c)]]
     assert found[0] == found[1] and len({r for _, r in found[0]}) == 1
 
 
