@@ -1,20 +1,20 @@
-"""SimHash near-duplicates by similarity: wide fingerprints, sampled blocks, verified Hamming distance and shingles.
-
-Documents are near copies at a similarity (shared among all distinct five-word shingles) of 0.8 or more. Such pairs differ
-in about a tenth of the 128 bits of a fingerprint of three-word shingles: too many for blocks that every such pair must
-share. So each of ``TABLES`` blocks takes ``BITS`` sampled bits; a pair that differs in a share p of its bits shares one
-of them with probability 1 - (1 - (1 - p)^BITS)^TABLES, 0.98 for p = 1/10. Pairs that share a block and differ in at most
-``SURE`` bits are linked. Of the others within ``RADIUS`` bits, those that these links have not already put in one group are
-held against each other by their ``SKETCH`` smallest five-word shingle hashes, which is exact for texts that have no more,
-and else allows for the sketch's error.
-
-A block group of over ``CROWD`` fingerprints isn't paired: its members are compared with a few pivots of the group, within
-``CLOSE`` bits, and only those near none of them with all others; that gives the components of all pairs that close. A
-member near several pivots is linked to one, and those pivots to each other, once a group.
-
-Defined results: texts of fewer words are one shingle; null, empty and wordless texts are alike; equal fingerprints are one
-node; of repeated rows one stays; a null doc_id stays only where its group has no other; empty tables give no rows; all
-columns pass through, whatever their names.
+"""Near-duplicates by exact similarity: prefix-filtered five-word shingles, each link verified on the whole sets.
+
+Documents are near copies at a similarity (shared among all distinct five-word shingles) of 0.8 or more; one document of
+each connected group of them stays. No pair is lost and no link is guessed, whatever the size of a group:
+
+- Sets are sorted by one order of all shingles. A set of n shingles that is t-similar to another shares at least
+  ceil(t n) of them, so the first that both have is among its first n - ceil(t n) + 1. Those are its keys, and any two
+  near copies share a key. Shingles that are frequent in a sample come last in the order, so that common passages are
+  seldom keys; the sample decides what the work costs, never what is found.
+- Members of a key are first compared with two pivots of it, then, where the links found leave a key's members in several
+  groups, with further pivots that differ from key to key, and last all pairs of different groups that share enough keys
+  to reach t. Pairs of one group need no link more.
+- Each link is an exact intersection of the two sets of 64-bit shingle hashes.
+
+Defined results: texts of fewer words are one shingle; null, empty and wordless texts are alike; equal sets (of equal size
+and 64-bit digest) are one node; of repeated rows one stays; a null doc_id stays only where its group has no other; empty
+tables give no rows; all columns pass through but those named nd_*.
 """
 
 from __future__ import annotations
@@ -24,68 +24,102 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, mix, ship, text_view
+from .common import chunks, cut, lower_table, mix, ship, text_view, token_hashes
 from .components import components
-from .simhash import _hashes
-
-SHINGLE, PRINT, TABLES, BITS, RADIUS, CLOSE, SURE, CROWD, PIVOTS = 5, 3, 48, 24, 24, 16, 10, 16, 4
-SIMILARITY, SKETCH = 0.8, 192
-
-
-def wide(data: np.ndarray, off: np.ndarray, shingle: int = PRINT) -> np.ndarray:
-    """(texts, 2) signed longs: the 128-bit fingerprints."""
-    raw, flat, sizes = data.tobytes(), [], []
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        got = _hashes(raw[a:b], shingle)
-        flat += got
-        sizes.append(len(got))
-    size = np.array(sizes, np.int64)
-    out = np.zeros((len(size), 2), "<u8")
-    some = size > 0
-    if some.any():
-        h = np.array(flat, "<u8")
-        for half, x in enumerate((h, mix(h))):
-            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            over = np.add.reduceat(bits, (np.cumsum(size) - size)[some], axis=0, dtype=np.int32) * 2 > size[some][:, None]
-            out[some, half] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-    return out.view("<i8")
-
-
-def sketch(raw: bytes, shingle: int = SHINGLE, size: int = SKETCH) -> bytes:
-    """The sorted smallest distinct hashes of a text's shingles, 4 bytes each."""
-    return np.unique(np.array(_hashes(raw, shingle), "<u8").astype("<u4"))[:size].tobytes()
-
-
-def alike(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """The similarity that two sketches tell."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)[:size]
-    return float((np.isin(both, x) & np.isin(both, y)).mean())
-
-
-def printed(docs: DataFrame, text_col: str = "text", shingle: int = 0) -> DataFrame:
-    """docs with nd_0 and nd_1, the halves of each text's fingerprint, and with shingle nd_s, its sketch."""
+
+SHINGLE, TABLES, BITS, RADIUS, CLOSE, CROWD, PIVOTS = 5, 48, 24, 24, 16, 16, 4
+SIMILARITY = 0.8
+#: Documents of the sample, and how many of them have a frequent shingle.
+SAMPLE, FREQUENT = 8192, 8
+_WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
+
+
+def shingled(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of each distinct shingle, sorted; each text's number of them and the digest of its set."""
+    _, _, doc, w = token_hashes(lower_table()[data], off, _WORD)
+    count = np.bincount(doc, minlength=len(off) - 1)
+    with np.errstate(over="ignore"):
+        h = w[: max(0, len(w) - shingle + 1)]
+        for j in range(1, shingle):
+            h = mix(h) + w[j : j + len(h)]
+        whole = doc[: len(h)] == doc[len(w) - len(h) :]
+        row, h = [doc[: len(h)][whole]], [mix(h)[whole]]
+        for d in np.flatnonzero((count > 0) & (count < shingle)).tolist():
+            a = int(np.searchsorted(doc, d))
+            x = w[a : a + 1]
+            for j in range(1, count[d]):
+                x = mix(x) + w[a + j : a + j + 1]
+            row.append(np.array([d]))
+            h.append(mix(x ^ np.uint64(count[d])))
+        row, h = np.concatenate(row), np.concatenate(h)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        row, h = row[new], h[new]
+        n = np.bincount(row, minlength=len(off) - 1)
+        digest = np.zeros(len(n), np.uint64)
+        if len(h):
+            digest[n > 0] = np.add.reduceat(mix(h), (np.cumsum(n) - n)[n > 0])
+        return row, h, n, mix(digest + mix(n.astype(np.uint64)))
+
+
+def _least(n, similarity: float):
+    """How many shingles a set of n shares with any that is similar."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def signed(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """docs with nd_0, the digest of each text's set."""
     ship(docs.sparkSession)
-    names, at = [*docs.columns, "nd_0", "nd_1", *["nd_s"] * bool(shingle)], docs.columns.index(text_col)
+    names, at = [*docs.columns, "nd_0"], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, at, 1 << 18):
-            data, off = text_view(chunk.column(at))
-            f = wide(data, off)
-            more = [pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())]
-            if shingle:
-                raw = data.tobytes()
-                more.append(pa.array([sketch(raw[a:b], shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*chunk.columns, *more], names=names)
+            digest = shingled(*text_view(chunk.column(at)), shingle)[3]
+            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(digest.view(np.int64))], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("nd_0", T.LongType())]))
+
+
+def keyed(texts: DataFrame, shingle: int, similarity: float | None = None, last: np.ndarray | None = None) -> DataFrame:
+    """(h, id, n) of a one-column table of texts: the shingles by which a set is found, its digest and its size.
+
+    Without a similarity, all its shingles. The sorted hashes ``last`` come last in the order.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, 0, 1 << 18):
+            row, h, n, digest = shingled(*text_view(chunk.column(0)), shingle)
+            if similarity is not None:
+                late = np.zeros(len(h), bool)
+                if last is not None and len(last):
+                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+                order = np.lexsort((h, late, row))
+                place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+                order = order[place < (n - _least(n, similarity) + 1)[row]]
+                row, h = row[order], h[order]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)[row]), pa.array(n.astype(np.int32)[row])], names=["h", "id", "n"])
+
+    return texts.mapInArrow(run, "h long, id long, n int")
 
-    fields = [T.StructField("nd_0", T.LongType()), T.StructField("nd_1", T.LongType()), *[T.StructField("nd_s", T.BinaryType())] * bool(shingle)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+
+def whole(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, s) of a one-column table of texts: digest and all distinct shingle hashes."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, 0, 1 << 18):
+            _, h, n, digest = shingled(*text_view(chunk.column(0)), shingle)
+            s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), s], names=["id", "s"])
+
+    return texts.mapInArrow(run, "id long, s array<long>")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -108,7 +142,8 @@ def _apart(a: str, b: str):
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, close: int = CLOSE, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the ids of nodes (id, f0, f1): candidates (u, v, d) d bits apart within radius, and from crowds links (u, v)."""
+    """Pairs of the ids of 128-bit fingerprints (id, f0, f1): candidates (u, v, d) d bits apart within radius, and from crowds
+    links (u, v). Sampled blocks and pivots lose pairs, so ``dedup`` doesn't use this; it's here for those who call it."""
     keys = _blocks(nodes)
     groups = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")  # most keys have one fingerprint
     rows = cut(keys.join(groups, "k").join(nodes.select("id", "f0", "f1"), "id").select("k", "c", "id", "f0", "f1"))
@@ -130,40 +165,68 @@ def links(nodes: DataFrame, radius: int = RADIUS, close: int = CLOSE, crowd: int
     return near, stars.unionAll(rest).where("u != v").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
-    """The groups (u, v) to be joined: pairs of different groups (id, g) whose sketches (nodes.s) reach the similarity."""
-    slack = 1.3 * float(np.sqrt(similarity * (1 - similarity) / size))
-    at = lambda c: groups.select(F.col("id").alias(c), F.col("g").alias(f"g{c}"))
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = 4 * size
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [alike(x, y, size) >= similarity - (slack if len(x) == full or len(y) == full else 0) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    apart = pairs.join(at("u"), "u").join(at("v").withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & (F.col("gu") != F.col("gv"))).drop("w")
-    both = apart.join(side("u"), "u").join(side("v"), "v").select("gu", "gv", "su", "sv")
-    return both.mapInArrow(run, "u long, v long")
+def frequent(texts: DataFrame, nodes: int, shingle: int) -> np.ndarray:
+    """The sorted hashes of shingles that many documents of a sample have; the sample's size bounds how many."""
+    if nodes > SAMPLE:
+        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (SAMPLE << 20) // nodes)
+    counts = keyed(texts, shingle).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
+    return np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(np.uint64))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose whole sets are similar."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
+    return both.where(F.col("both") >= similarity * (F.col("nu") + F.col("nv") - F.col("both")) - 1e-9).select("u", "v")
+
+
+def _sized(a: str, b: str, similarity: float):
+    """Whether sets of a and b shingles can be similar."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def _open(rows: DataFrame, linked: DataFrame, salt: int) -> DataFrame:
+    """(h, id, n, g, p) of the keys whose members the links leave in several groups: each one's group, and the key's pivot."""
+    groups, key = components(linked), Window.partitionBy("h")
+    named = rows.join(groups, rows["id"] == groups["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("g"))
+    pivot = F.min_by(F.struct("id", "n", "g"), F.xxhash64("id", "h", F.lit(salt))).over(key)
+    return cut(named.select("*", pivot.alias("p"), F.min("g").over(key).alias("lo"), F.max("g").over(key).alias("hi")).where("lo != hi").drop("lo", "hi"))
+
+
+def similar(docs: DataFrame, nodes: int, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between digests of similar sets, which join all of them that a chain of similar sets joins."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    keys = keyed(texts, shingle, similarity, frequent(texts, nodes, shingle)).repartition("h").dropDuplicates(["h", "id"])
+    key = Window.partitionBy("h")
+    pivots = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(i))).over(key).alias(f"p{i}") for i in range(2)]
+    rows = cut(keys.select("h", "id", "n", F.count("*").over(key).alias("c"), *pivots).where("c > 1"))
+    ids = rows.select(F.col("id").alias("nd_0")).distinct()
+    sets = cut(whole(signed(texts, shingle).dropDuplicates(["nd_0"]).join(ids, "nd_0", "left_semi").select("text"), shingle))
+    ends = lambda x: x.select(F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v")).distinct()
+    first = rows.select("id", "n", F.explode(F.array("p0", "p1")).alias("p")).where((F.col("id") != F.col("p.id")) & _sized("n", "p.n", similarity))
+    links, rows = cut(verified(ends(first), sets, similarity)), rows.select("h", "id", "n")
+    for salt in range(2):
+        left = _open(rows, links, salt)
+        more = left.where((F.col("g") != F.col("p.g")) & _sized("n", "p.n", similarity))
+        links = cut(links.unionAll(verified(ends(more), sets, similarity)))
+    left = _open(left.select("h", "id", "n"), links, 2)
+    other = left.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"))
+    pairs = left.join(other, "h").where((F.col("id") < F.col("v")) & (F.col("g") != F.col("k")) & _sized("n", "m", similarity))
+    shared = pairs.groupBy(F.col("id").alias("u"), "v", "n", "m").agg(F.count("*").alias("c"))  # all that the two share
+    # the shared shingles that aren't keys of both come after the last key of one of the two
+    least = lambda c: F.ceil(similarity * F.col(c) - 1e-9)
+    enough = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9) - F.greatest(least("n"), least("m")) + 1
+    return links.unionAll(verified(shared.where(F.col("c") >= enough).select("u", "v"), sets, similarity))
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id."""
     names = [c for c in docs.columns if not c.lower().startswith("nd_")]
     docs = docs.select(*names)
-    prints = printed(docs.select(id_col, "text"), shingle=shingle).select(F.col(id_col).cast("long").alias("doc"), "nd_0", "nd_1", "nd_s")
-    nodes = prints.groupBy("nd_0", "nd_1").agg(F.min("doc").alias("doc"), F.min("nd_s").alias("s"))
-    nodes = cut(nodes.select(F.col("nd_0").alias("f0"), F.col("nd_1").alias("f1"), "doc", "s", F.monotonically_increasing_id().alias("id")))
-    near, crowded = links(nodes)
-    near = cut(near)
-    sure = cut(components(near.where(F.col("d") <= SURE).select("u", "v").unionAll(crowded)))
-    groups = cut(nodes.select("id").join(sure, nodes["id"] == sure["node"], "left").select("id", F.coalesce("root", "id").alias("g")))
-    more = components(verified(near.where(F.col("d") > SURE).select("u", "v"), nodes, groups, similarity))
-    roots = groups.join(more, groups["g"] == more["node"], "left").select("id", F.coalesce("root", "g").alias("root"))
-    named = nodes.join(roots, "id").select("f0", "f1", "doc", "root")
-    first = F.struct(F.col("doc").isNull().alias("z"), "doc", "f0", "f1")
-    keep = named.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.doc").alias("nd_doc"), F.col("x.f0").alias("nd_0"), F.col("x.f1").alias("nd_1"))
-    full = printed(docs).withColumn("nd_doc", F.col(id_col).cast("long"))
-    one = full.join(keep, (full["nd_0"] == keep["nd_0"]) & (full["nd_1"] == keep["nd_1"]) & full["nd_doc"].eqNullSafe(keep["nd_doc"])).select(*[full[c] for c in names], full["nd_0"], full["nd_1"], full["nd_doc"])
-    return one.dropDuplicates(["nd_0", "nd_1", "nd_doc"]).select(*names)
+    nodes = cut(signed(docs.select(F.col(id_col).cast("long").alias("doc"), "text"), shingle).groupBy("nd_0").agg(F.min("doc").alias("doc")))
+    groups = components(similar(docs, nodes.count(), shingle, similarity))
+    named = nodes.join(groups, nodes["nd_0"] == groups["node"], "left").select("nd_0", "doc", F.coalesce("root", "nd_0").alias("root"))
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "nd_0")).alias("x")).select(F.col("x.doc").alias("nd_doc"), F.col("x.nd_0").alias("nd_0"))
+    full = signed(docs, shingle).withColumn("nd_doc", F.col(id_col).cast("long"))
+    one = full.join(keep, (full["nd_0"] == keep["nd_0"]) & full["nd_doc"].eqNullSafe(keep["nd_doc"])).select(*[full[c] for c in names], full["nd_0"], full["nd_doc"])
+    return one.dropDuplicates(["nd_0", "nd_doc"]).select(*names)
