@@ -63,3 +63,25 @@ def test_replaced_and_appended_passages(spark, rng):
         assert 0.76 < similarity(" ".join(w), " ".join(other)) < 0.8
         docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
     assert kept(spark, docs) == {2 * i for i in range(60)} | set(range(120, 180))
+
+
+def changed(rng, w, k):
+    v = list(w)
+    for i in rng.sample(range(len(v)), k):
+        v[i] = "x" + "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    return v
+
+
+def test_bridged_crowds(spark, rng):
+    """Two crowds joined only by one close pair, neither of which is near both."""
+    docs = []
+    for g in range(4):
+        w, new = words(rng, 400), words(rng, 80)
+        at = lambda k: w[: 100] + new[:k] + w[100 + k :]  # noqa: B023, E731
+        docs += [(1000 * g + i, " ".join(changed(rng, at(0), 1))) for i in range(40)]
+        docs += [(1000 * g + 100 + i, " ".join(changed(rng, at(80), 1))) for i in range(40)]
+        docs += [(1000 * g + 200, " ".join(at(22))), (1000 * g + 201, " ".join(at(58)))]
+    assert expected(docs) == {0, 1000, 2000, 3000}
+    assert kept(spark, docs) == expected(docs)
+    apart = [d for d in docs if d[0] % 1000 != 201]
+    assert kept(spark, apart) == expected(apart) and len(expected(apart)) == 8
