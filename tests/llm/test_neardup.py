@@ -85,3 +85,16 @@ def test_bridged_crowds(spark, rng):
     assert kept(spark, docs) == expected(docs)
     apart = [d for d in docs if d[0] % 1000 != 201]
     assert kept(spark, apart) == expected(apart) and len(expected(apart)) == 8
+
+
+def test_stars_of_any_size(spark, rng):
+    """Copies at 0.80 to 0.84 of one text, far from each other, are linked to it in groups of 3 as of 80."""
+    docs = []
+    for g, size in enumerate((3, 10, 30, 80)):
+        w = words(rng, 400)
+        docs.append((1000 * g, " ".join(w)))
+        for i in range(1, size):
+            at = rng.randrange(0, 350)
+            docs.append((1000 * g + i, " ".join([*w[:at], *words(rng, 38), *w[at + 38 :]])))
+            assert 0.8 <= similarity(docs[-1][1], " ".join(w)) < 0.84
+    assert kept(spark, docs) == expected(docs) == {0, 1000, 2000, 3000}
