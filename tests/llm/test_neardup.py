@@ -98,3 +98,12 @@ def test_stars_of_any_size(spark, rng):
             docs.append((1000 * g + i, " ".join([*w[:at], *words(rng, 38), *w[at + 38 :]])))
             assert 0.8 <= similarity(docs[-1][1], " ".join(w)) < 0.84
     assert kept(spark, docs) == expected(docs) == {0, 1000, 2000, 3000}
+
+
+def test_repeated_lines_are_no_copies(spark, rng):
+    """Documents that share one often repeated line but little else all stay."""
+    line = words(rng, 12)
+    docs = [(i, " ".join([*line * 60, *words(rng, 40), *line])) for i in range(50)]
+    docs += [(100 + i, " ".join([*words(rng, 300)[: 260 + i], *line])) for i in range(3)]
+    assert expected(docs) == {d for d, _ in docs}
+    assert kept(spark, docs) == expected(docs)
