@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 
 def rates(df: DataFrame) -> DataFrame:
     """Events of the same user in the last 1 and 5 minutes, this one included."""
@@ -84,7 +86,7 @@ def policy(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
     df: event_id, user_id, ts, tokens, latency, payload.
     """
-    top = F.broadcast(df.agg(F.percentile("tokens", F.lit(0.975)).alias("cap")))  # one row
+    top = F.broadcast(quantiles(df, "tokens", [0.975]).agg(F.max(F.col("p")[0]).alias("cap")))  # one row
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-600_000_000, 0)
     e = df.crossJoin(top).withColumn("big", (F.col("tokens") > F.col("cap")).cast("int")).withColumn("repeats", F.sum("big").over(w))

@@ -61,9 +61,12 @@ def by_score(df: DataFrame) -> DataFrame:
 
 def roc_points(df: DataFrame) -> DataFrame:
     """threshold, fpr, tpr; points on a straight line between their neighbours are left out. The curve's start has no threshold."""
-    w = Window.orderBy(F.col("p").desc())  # over corner points of distinct scores only
-    s = by_score(df)
-    flat = s.withColumn("prev_pos", F.lag("pos").over(w)).withColumn("prev_neg", F.lag("neg").over(w)).withColumn("next_pos", F.lead("pos").over(w)).withColumn("next_neg", F.lead("neg").over(w))
+    s = by_score(df).withColumn("part", F.floor(F.col("p") * 64).cast("int"))
+    inner, down = Window.partitionBy("part").orderBy(F.col("p").desc()), Window.orderBy(F.col("part").desc())
+    heads = s.groupBy("part").agg(F.max_by("pos", "p").alias("pos"), F.max_by("neg", "p").alias("neg"))  # 65 rows
+    after = heads.select("part", F.lead("pos").over(down).alias("after_pos"), F.lead("neg").over(down).alias("after_neg"))
+    near = s.withColumn("next_pos", F.lead("pos").over(inner)).withColumn("next_neg", F.lead("neg").over(inner)).join(F.broadcast(after), "part")
+    flat = near.withColumn("next_pos", F.coalesce("next_pos", "after_pos")).withColumn("next_neg", F.coalesce("next_neg", "after_neg"))
     corner = F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     points = flat.where(corner).select(F.col("p").alias("threshold"), F.round(ratio(F.col("fp"), F.col("all_neg")), 6).alias("fpr"), F.round(ratio(F.col("tp"), F.col("all_pos")), 6).alias("tpr"))
     return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).unionByName(points)
@@ -113,7 +116,33 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
+    """(*keys, p): the exact interpolated quantiles of each group as an array, null for a group without values.
+
+    Counts per value are dealt into ranges of value; counts of ranges tell which hold the wanted ranks, and only those are
+    sorted, each by itself. Groups are compared as structs, so null keys are groups too.
+    """
+    rows = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(value).cast("double").alias("v"))
+    scale = F.least(F.log2(1 + F.abs("v")) * 64, F.lit(1e6))  # 64 ranges an octave; NaN is the largest
+    part = F.floor(F.when(F.col("v") < 0, -scale).otherwise(scale)).cast("int")
+    counts = rows.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("b", part)
+    group = Window.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy("g", "b").agg(F.sum("n").alias("n")).select("g", "b", "n", before.alias("before"), F.sum("n").over(group).alias("total"))
+    spot = lambda q: F.lit(q) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(*[f(spot(q)) for q in shares for f in (F.floor, F.ceil)]))
+    wanted = sums.withColumn("r", F.explode(ranks)).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n"))).select("g", "b", "before", "total", "r")
+    run = F.sum("n").over(Window.partitionBy("g", "b").orderBy("v"))
+    inner = counts.join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi").select("g", "b", "v", "n", run.alias("run"))
+    hit = inner.join(wanted, ["g", "b"]).where((F.col("r") - F.col("before") < F.col("run")) & (F.col("r") - F.col("before") >= F.col("run") - F.col("n")))
+    found = hit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"), F.first("total").alias("total"))
+    at = lambda q, f: F.element_at("m", f(spot(q)))
+    mid = lambda q: F.when(F.floor(spot(q)) == F.ceil(spot(q)), at(q, F.floor)).otherwise((F.ceil(spot(q)) - spot(q)) * at(q, F.floor) + (spot(q) - F.floor(spot(q))) * at(q, F.ceil))
+    return rows.select("g").distinct().join(found.select("g", F.array(*[mid(q) for q in shares]).alias("p")), "g", "left").select(*[F.col(f"g.{k}") for k in keys], "p")
+
+
 def percentiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("avg"), p.alias("p"), F.round(F.max(value), 6).alias("max"))
+    group = F.struct(F.lit(0).alias("_"), *keys).alias("g")
+    p = quantiles(df, value, [0.5, 0.95, 0.99], *keys).select(group, "p")
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("avg"), F.round(F.max(value), 6).alias("max")).select("*", group).join(p, "g")
     return out.select(*keys, "n", "avg", *[F.round(F.col("p")[i], 6).alias(f"p{k}") for i, k in enumerate((50, 95, 99))], "max")

@@ -410,7 +410,7 @@ def hourly_bursts(t):
 
 @query("usage_thresholds", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY event_type")
 def usage_thresholds(t):
-    p = t.events.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95), F.lit(0.975))).alias("p"))
+    p = metrics.quantiles(t.events, "value", [0.05, 0.95, 0.975], "event_type")
     return p.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p5", "p95", "p975"))])
 
 

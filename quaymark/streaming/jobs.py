@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,29 @@ def events(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFram
     return source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where the session names none."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quaymark-")
+    return f"{home}/stream-{uuid.uuid4().hex}"
+
+
 def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all available input into the shared folder, or memory for a result that is rewritten."""
-    spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Runs the stream over all available input into Parquet in the shared folder and reads that; its state lies there too.
+
+    A result that is rewritten has a folder a batch, of which the last counts.
+    """
+    spark, home, batches = stream.sparkSession, shared(stream.sparkSession), []
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+
+    def rewritten(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{home}/{batch}")
+        batches.append(batch)
+
+    if mode == "append":
+        writer.format("parquet").start(f"{home}/rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{home}/rows")
+    writer.foreachBatch(rewritten).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/{batches[-1]}") if batches else spark.createDataFrame([], stream.schema)
 
 
 def tumbling(stream: DataFrame) -> DataFrame:
