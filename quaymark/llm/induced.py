@@ -4,8 +4,8 @@ Suffixes are of type S if smaller than the next, else L; an S suffix after an L
 order of all L suffixes by one ascending sweep and from them that of all S suffixes by one descending sweep: each suffix
 taken from the queue puts the one before it, as a tuple (first symbol, rank, position), back in. Seeds are sorted the same
 way from any order of theirs, named by the substrings up to the next seed, and, if names repeat, ordered by recursion on
-the text of names. In the last sweeps a common-prefix value goes with each tuple: one more than the least value met
-between the suffixes that brought two neighbours in.
+the text of names. Common-prefix values don't go with the tuples: neighbours are compared directly, symbol by symbol up to
+the cap, unless the suffixes that brought them in already differ in their first symbol.
 
 The text, the types and every order are memory-mapped files; queues hold ``held`` tuples and spill sorted runs to disk.
 """
