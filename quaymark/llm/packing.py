@@ -2,7 +2,7 @@
 
 Documents longer than a sequence are cut into whole sequences and a rest; nothing else is cut. Pieces of equal length are
 alike, so packing is planned on the histogram of lengths, which has at most ``capacity`` entries whatever the corpus:
-around the largest piece left, undominated fillings are enumerated; a branch is left when its waste shows that it cannot
+around the largest piece left, a few undominated fillings are tried (not all: the README names the limits); a branch is left when its waste shows that it cannot
 beat the incumbent, which starts as the best-fit decreasing plan; a filling is used as often as the histogram lets it.
 The plan's slots are then dealt to the pieces by their rank among those of their length, counted in parallel buckets.
 
