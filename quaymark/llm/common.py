@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like ``cut``, but compressed and read by columns."""
+    home = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(home)
+    return df.sparkSession.read.schema(df.schema).parquet(home)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column of ``taken`` is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes and its len+1 offsets into them; null reads as empty."""
     if not pa.types.is_string(column.type):
@@ -114,14 +129,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of one buffer, from prefix sums; equal bytes give equal hashes everywhere."""
+    """64-bit hashes of any spans of one buffer, from prefix sums of its symbols' values; equal spans have equal hashes everywhere."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = _BYTE):
         n = len(data)
         self._pinv = _powers("pinv", _PINV, n + 1)
         with np.errstate(over="ignore"):
             self._sum = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[data] * _powers("p", _P, n + 1)[:n], out=self._sum[1:])
+            np.cumsum(values[data] * _powers("p", _P, n + 1)[:n], out=self._sum[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
