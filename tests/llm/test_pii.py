@@ -25,7 +25,7 @@ def shape(text):
 
 def test_surrogates(spark):
     df = spark.createDataFrame([(*d, "k", 5) for d in DOCS], "doc_id long, text string, kind string, rid int")
-    rows = pii.replace(df).collect()
+    rows = pii.replace(df, "quaymark").collect()
     assert len(rows) == len(DOCS) and rows[0].asDict().keys() >= {"doc_id", "text", "kind", "rid", "n_entities", "entity_kinds"}
     new = {}
     for r in rows:
@@ -56,7 +56,7 @@ def test_same_key_same_surrogates(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     texts = lambda secret: sorted(str(r["text"]) for r in pii.replace(df, secret).collect())
     assert texts("a") == texts("a") != texts("b")
-    assert pii.replace(df.limit(0)).collect() == []
+    assert pii.replace(df.limit(0), "k").collect() == []
 
 
 def test_collisions_are_resolved(spark):
@@ -85,3 +85,40 @@ def test_given_documents(spark, sf_dir):
         keep = python.sub("", old)
         assert r["n_entities"] >= len(python.findall(old)) and (python.sub("", r["text"]) == keep or "secret" in r["entity_kinds"])
     assert len(set(seen.values())) == len(seen) > 5
+
+
+def remainder(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_check_digits_of_accounts(spark):
+    """Valid numbers stay valid, in the country's form; others aren't made valid on purpose."""
+    import random
+
+    rng, real = random.Random(4), []
+    for i in range(1000):
+        body = "".join(rng.choice("0123456789" if i % 2 else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(18))
+        country = rng.choice(["DE", "GB", "FR"])
+        real.append(f"{country}{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}{body}")
+    wrong = [x[:2] + f"{(int(x[2:4]) + 1) % 97:02d}" + x[4:] for x in real[:200]]
+    found = {r["norm"]: r["alias"] for r in pii.surrogates(spark.createDataFrame([("iban", x) for x in real + wrong], "kind string, norm string"), "k").collect()}
+    assert all(remainder(x) == 1 == remainder(found[x]) and found[x][:2] == x[:2] and len(found[x]) == len(x) and found[x] != x for x in real)
+    assert sum(remainder(found[x]) == 1 for x in wrong) < 20
+
+
+def test_names_of_any_form(spark):
+    """Capital letters, apostrophes and mentions without a title follow the titled one of the same document."""
+    docs = [(1, "Mr. O'Brien saw Mr JOHN SMITH; John Smith left, Smithson stayed, and Mr John Smith came."), (2, "John Smith has no title here."), (3, "Mr Smith, Mr Peter Smith")]
+    new = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    got = re.match(r"Mr\. (\w+) saw Mr ([A-Z]+ [A-Z]+); ([A-Z][a-z]+ [A-Z][a-z]+) left, Smithson stayed, and Mr ([A-Z][a-z]+ [A-Z][a-z]+) came\.$", new[1])
+    assert got and got[3] == got[4] and got[2] == got[3].upper() and "Brien" not in new[1] and "Smith " not in new[1]
+    assert new[2] == docs[1][1]
+    one, two = re.match(r"Mr (\w+), Mr \w+ (\w+)$", new[3]).groups()
+    assert one == two == got[3].split()[1]
+
+
+def test_clashing_columns(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'call 736-555-2678' AS text, 2 AS n_entities, 'x' AS entity_kinds, NULL AS t, 3 AS c0, 4 AS `a.b`")
+    row = pii.replace(df, "k").first().asDict()
+    assert [*row] == ["doc_id", "text", "n_entities", "entity_kinds", "t", "c0", "a.b", "n_entities_", "entity_kinds_"]
+    assert row["n_entities"] == 2 and row["n_entities_"] == 1 and row["entity_kinds_"] == "phone" and row["t"] is None and row["a.b"] == 4
