@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, chunks, cut, lower_table, ship, table, text_view, word_spans
+from .common import SpanHash, chunks, cut, fresh, lower_table, ship, table, text_view, word_spans
 
 #: Text bytes of benchmark items that one pass broadcasts; more items are scanned in further passes.
 BLOCK_BYTES = 16 << 20
@@ -111,16 +111,17 @@ _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, last: Callable | None = None) -> DataFrame:
-    """docs with ``dc_words`` (long), ``dc_spans`` (hit words: start and end byte) and ``dc_items`` (strings) added.
+    """docs with ``dc_words`` (long), ``dc_spans`` (hit words: start and end byte) and ``dc_items`` (strings) added, with
+    underscores after these names where docs has such columns.
 
     A benchmark of over ``block_bytes`` is broadcast and scanned block by block, each pass written to shared storage.
     ``last`` may turn (columns, spans) of the last pass into the columns of docs to return, within the same pass.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("dc_")])
-    at, own_names = docs.columns.index(text_col), docs.columns
-    out, names = docs, [*docs.columns, "dc_words", "dc_spans", "dc_items"]
+    at, given = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(given))])  # dots in names don't pass
+    out, own_names, names = docs, docs.columns, [*docs.columns, "dc_words", "dc_spans", "dc_items"]
     schema = T.StructType([*docs.schema.fields, T.StructField("dc_words", T.LongType()), T.StructField("dc_spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))), T.StructField("dc_items", T.ArrayType(T.StringType()))])
     blocks = _blocks(benchmark, n, item_col, item_text, block_bytes)
     for k, windows in enumerate(blocks):
@@ -150,7 +151,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
         if k:
             out = cut(out)
         out = out.mapInArrow(scan, docs.schema if finish else schema)
-    return out
+    return out.toDF(*given) if last else out.toDF(*given, *(fresh(c, given) for c in ("dc_words", "dc_spans", "dc_items")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -175,7 +176,7 @@ def _strip(text: str, spans: list[dict]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "span") -> DataFrame:
     """docs without benchmark text: ``span`` cuts the hit words (with what separates them), ``document`` drops the rows."""
-    at = [c for c in docs.columns if not c.lower().startswith("dc_")].index("text")
+    at = docs.columns.index("text")
 
     def drop(columns: list, spans: list) -> list:
         clean = pa.array([not x for x in spans], pa.bool_())
