@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 
 def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     execution can split, never gathered in one task.
     """
     e = edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where("u is not null and v is not null and u != v").distinct()
-    e, leaves = cut(e), []
+    e, leaves = written(e), []
     while not e.isEmpty():
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
         large = rest.join(near.select(F.col("u").alias("c"), "m"), F.col("v") == F.col("c")).select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        e = cut(small)
+        e = written(small)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))  # of no rows
     for leaf in reversed(leaves):
         of = roots.select(F.col("node").alias("parent"), "root")

@@ -1,40 +1,42 @@
-"""Near-duplicates by exact similarity: prefix-filtered five-word shingles, each link verified on the whole sets.
+"""SimHash near-dedup of whole documents: every link of five-word similarity 0.8 or more, each verified on whole shingle sets.
 
 Documents are near copies at a similarity (shared among all distinct five-word shingles) of 0.8 or more; one document of
 each connected group of them stays. No pair is lost and no link is guessed, whatever the size of a group:
 
-- Sets are sorted by one order of all shingles. A set of n shingles that is t-similar to another shares at least
-  ceil(t n) of them, so the first that both have is among its first n - ceil(t n) + 1. Those are its keys, and any two
-  near copies share a key. Shingles that are frequent in a sample come last in the order, so that common passages are
-  seldom keys; the sample decides what the work costs, never what is found.
-- Members of a key are first compared with two pivots of it, then, where the links found leave a key's members in several
-  groups, with further pivots that differ from key to key, and last all pairs of different groups that share enough keys
-  to reach t. Pairs of one group need no link more.
-- Each link is an exact intersection of the two sets of 64-bit shingle hashes.
+- First links: SimHash fingerprints of the shingle sets are blocked and verified within 2 bits as in ``simhash``, and the
+  sets that share one of their ``LOW`` least shingle hashes are compared with one pivot of that hash. This joins most near
+  copies, crowds included, at a few comparisons a document.
+- The rest: sets are sorted by one order of all shingles. Two similar sets of n and m shingles share at least
+  t / (1 + t) (n + m); so the first that both have is among the first n - ceil(t n) + 1 of either, and the places before
+  it, all unshared, are at most (1 - t) / (1 + t) (n + m) together. Shingles by whose place two documents of different
+  groups may be similar are the only ones that go on: their members meet two pivots, then what is still apart meets.
+  Shingles that are frequent in a sample come last in the order; the sample decides what the work costs, never what is
+  found.
+- Each link is an exact intersection of the two sets of 64-bit shingle hashes. Sets are made again from the texts where
+  they are needed; bit maps of fixed size, which let some others past, keep the rest out of the shuffle.
 
 Defined results: texts of fewer words are one shingle; null, empty and wordless texts are alike; equal sets (of equal size
 and 64-bit digest) are one node; of repeated rows one stays; a null doc_id stays only where its group has no other; empty
-tables give no rows; all columns pass through but those named nd_*.
+tables give no rows; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, lower_table, mix, ship, text_view, token_hashes
+from . import simhash
+from .common import chunks, fresh, lower_table, mix, ship, text_view, token_hashes, written
 from .components import components
 
-SHINGLE, TABLES, BITS, RADIUS, CLOSE, CROWD, PIVOTS = 5, 48, 24, 24, 16, 16, 4
-SIMILARITY = 0.8
-#: Documents of the sample, and how many of them have a frequent shingle.
-SAMPLE, FREQUENT = 8192, 8
+SHINGLE, SIMILARITY, LOW = 5, 0.8, 4
+#: Documents of the sample, and how many of them have a frequent shingle. Bits that number a bit map's places.
+SAMPLE, FREQUENT, PLACES = 16384, 4, 24
 _WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 
 
@@ -73,160 +75,209 @@ def _least(n, similarity: float):
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
-    """docs with nd_0, the digest of each text's set."""
+def _prints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit SimHash fingerprint of each set; zero of none."""
+    out, some = np.zeros(len(n), np.uint64), n > 0
+    if len(h):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        over = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32) * 2 > n[some][:, None]
+        out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _lists(values: np.ndarray, row: np.ndarray, size: int) -> pa.Array:
+    """Values of rows 0 to size, sorted by row, as lists of longs."""
+    ends = np.searchsorted(row, np.arange(size + 1), "left")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """Per row of docs: doc, the digest of its set (id), its size n, SimHash fp, least hashes low, and keys, the shingles by
+    which it is found, in the order in which the sorted hashes ``last`` come last."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, 1, 1 << 18):
+            row, h, n, digest = shingled(*text_view(chunk.column(1)), shingle)
+            late = np.zeros(len(h), bool)
+            if len(last):
+                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+            order, place = np.lexsort((h, late, row)), np.arange(len(h)) - (np.cumsum(n) - n)[row]
+            order, low = order[place < (n - _least(n, similarity) + 1)[row]], place < LOW
+            cols = [chunk.column(0), pa.array(digest.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(_prints(h, n).view(np.int64)), _lists(h[low], row[low], len(n)), _lists(h[order], row[order], len(n))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "id", "n", "fp", "low", "keys"])
+
+    return docs.select(_named(id_col).cast("long"), _named(text_col).cast("string")).mapInArrow(run, "doc long, id long, n int, fp long, low array<long>, keys array<long>")
+
+
+def _named(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def signed(docs: DataFrame, name: str, shingle: int, text_col: str, wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Those rows of docs whose set's digest is wanted, with the digest, called ``name``."""
     ship(docs.sparkSession)
-    names, at = [*docs.columns, "nd_0"], docs.columns.index(text_col)
+    names, at = [*docs.columns, name], docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names) - 1)])  # dots in names don't pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, at, 1 << 18):
             digest = shingled(*text_view(chunk.column(at)), shingle)[3]
-            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(digest.view(np.int64))], names=names)
+            some = pa.array(wanted(digest))
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in (*chunk.columns, pa.array(digest.view(np.int64)))], names=[*chunk.schema.names, "id"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("nd_0", T.LongType())]))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("id", T.LongType())])).toDF(*names)
 
 
-def keyed(texts: DataFrame, shingle: int, similarity: float | None = None, last: np.ndarray | None = None) -> DataFrame:
-    """(h, id, n) of a one-column table of texts: the shingles by which a set is found, its digest and its size.
+def _map(values: Column, rows: DataFrame) -> np.ndarray:
+    """A bit map of 64-bit hashes by their leading bits: of fixed size, so it can be broadcast whatever it stands for."""
+    place = F.shiftrightunsigned(values, 64 - PLACES)
+    words = rows.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got, out = words.toArrow(), np.zeros(1 << (PLACES - 6), np.int64)  # at most that many rows
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
-    Without a similarity, all its shingles. The sorted hashes ``last`` come last in the order.
-    """
-    ship(texts.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, 0, 1 << 18):
-            row, h, n, digest = shingled(*text_view(chunk.column(0)), shingle)
-            if similarity is not None:
-                late = np.zeros(len(h), bool)
-                if last is not None and len(last):
-                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                order = np.lexsort((h, late, row))
-                place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
-                order = order[place < (n - _least(n, similarity) + 1)[row]]
-                row, h = row[order], h[order]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)[row]), pa.array(n.astype(np.int32)[row])], names=["h", "id", "n"])
-
-    return texts.mapInArrow(run, "h long, id long, n int")
-
-
-def whole(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, s) of a one-column table of texts: digest and all distinct shingle hashes."""
-    ship(texts.sparkSession)
+def _places(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+
+def _known(shared) -> np.ndarray:
+    return np.unpackbits(shared.value, bitorder="little").view(bool)
+
+
+def _sent(df: DataFrame, values: Column, rows: DataFrame):
+    """The bit map of rows, broadcast."""
+    return df.sparkSession.sparkContext.broadcast(np.packbits(_map(values, rows), bitorder="little"))
+
+
+def sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): all distinct shingle hashes of each set of a one-column table of texts whose digest may be among ids (id)."""
+    shared = _sent(texts, F.col("id"), ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(shared)
         for chunk in chunks(batches, 0, 1 << 18):
             _, h, n, digest = shingled(*text_view(chunk.column(0)), shingle)
             s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), s], names=["id", "s"])
+            wanted = pa.array(known[_places(digest)])
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)).filter(wanted), s.filter(wanted)], names=["id", "s"])
 
-    return texts.mapInArrow(run, "id long, s array<long>")
+    return texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """(id, k): k numbers the table and holds its bits."""
-    chosen = [np.random.default_rng(100 + t).choice(128, BITS, replace=False) for t in range(TABLES)]
+def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The sorted hashes of shingles that some documents of a sample share; the sample's size bounds how many."""
+    ship(texts.sparkSession)
+    count = texts.count()
+    if count > SAMPLE:
+        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (SAMPLE << 30) // count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
-            bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 16), axis=1, bitorder="little")
-            for t, own in enumerate(chosen):
-                k = bits[:, own].astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64)) | t << BITS
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k)], names=["id", "k"])
-
-    return nodes.select("id", "f0", "f1").mapInArrow(run, "id long, k long")
-
-
-def _apart(a: str, b: str):
-    return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1")))
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, close: int = CLOSE, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the ids of 128-bit fingerprints (id, f0, f1): candidates (u, v, d) d bits apart within radius, and from crowds
-    links (u, v). Sampled blocks and pivots lose pairs, so ``dedup`` doesn't use this; it's here for those who call it."""
-    keys = _blocks(nodes)
-    groups = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")  # most keys have one fingerprint
-    rows = cut(keys.join(groups, "k").join(nodes.select("id", "f0", "f1"), "id").select("k", "c", "id", "f0", "f1"))
-    pivot = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("pid"), F.col("f0").alias("p0"), F.col("f1").alias("p1"))) for i in range(PIVOTS)]
-    pivots = rows.where(F.col("c") > crowd).groupBy("k").agg(F.array(*pivot).alias("pivots"))
-    few = rows.where(F.col("c") <= crowd).select("k", "id", "f0", "f1")
-    other = lambda df: df.select("k", F.col("id").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    near = few.join(other(few), "k").where((F.col("id") < F.col("v")) & (_apart("f", "g") <= radius)).select(F.col("id").alias("u"), "v", _apart("f", "g").alias("d")).distinct()
-    many = rows.where(F.col("c") > crowd).join(pivots, "k")
-    tried = many.select("k", "pivots", "id", "f0", "f1", F.transform("pivots", lambda p: F.bit_count(F.col("f0").bitwiseXOR(p["p0"])) + F.bit_count(F.col("f1").bitwiseXOR(p["p1"])) <= close).alias("near"))
-    tried = tried.withColumn("hit", F.filter("pivots", lambda p, i: F.get("near", i)))
-    own = tried.where(F.size("hit") > 0).select(F.col("id").alias("u"), F.array_min("hit")["pid"].alias("v"))  # one a member and key
-    both = list(combinations(range(PIVOTS), 2))
-    met = tried.groupBy("k").agg(F.first("pivots").alias("p"), *[F.bool_or(F.get("near", F.lit(i)) & F.get("near", F.lit(j))).alias(f"m{n}") for n, (i, j) in enumerate(both)])
-    among = met.select(F.explode(F.array(*[F.when(F.col(f"m{n}"), F.struct(F.col("p")[i]["pid"].alias("u"), F.col("p")[j]["pid"].alias("v"))) for n, (i, j) in enumerate(both)])).alias("x")).where("x is not null").select("x.u", "x.v")
-    stars = own.unionAll(among)
-    loose = tried.where(F.size("hit") == 0)
-    rest = loose.join(other(many), "k").where((F.col("id") != F.col("v")) & (_apart("f", "g") <= close)).select(F.col("id").alias("u"), "v")
-    return near, stars.unionAll(rest).where("u != v").distinct()
-
-
-def frequent(texts: DataFrame, nodes: int, shingle: int) -> np.ndarray:
-    """The sorted hashes of shingles that many documents of a sample have; the sample's size bounds how many."""
-    if nodes > SAMPLE:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (SAMPLE << 20) // nodes)
-    counts = keyed(texts, shingle).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
-    return np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(np.uint64))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose whole sets are similar."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+        for chunk in chunks(batches, 0, 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(shingled(*text_view(chunk.column(0)), shingle)[1].view(np.int64))], names=["h"])
+
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
+    return np.sort(counts.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def verified(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose whole sets are similar. Sets are dealt out by id once and serve both ends."""
+    side = lambda c: of.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
     return both.where(F.col("both") >= similarity * (F.col("nu") + F.col("nv") - F.col("both")) - 1e-9).select("u", "v")
 
 
-def _sized(a: str, b: str, similarity: float):
+def _sized(a: str, b: str, similarity: float) -> Column:
     """Whether sets of a and b shingles can be similar."""
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def _open(rows: DataFrame, linked: DataFrame, salt: int) -> DataFrame:
-    """(h, id, n, g, p) of the keys whose members the links leave in several groups: each one's group, and the key's pivot."""
-    groups, key = components(linked), Window.partitionBy("h")
-    named = rows.join(groups, rows["id"] == groups["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("g"))
-    pivot = F.min_by(F.struct("id", "n", "g"), F.xxhash64("id", "h", F.lit(salt))).over(key)
-    return cut(named.select("*", pivot.alias("p"), F.min("g").over(key).alias("lo"), F.max("g").over(key).alias("hi")).where("lo != hi").drop("lo", "hi"))
-
-
-def similar(docs: DataFrame, nodes: int, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between digests of similar sets, which join all of them that a chain of similar sets joins."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    keys = keyed(texts, shingle, similarity, frequent(texts, nodes, shingle)).repartition("h").dropDuplicates(["h", "id"])
-    key = Window.partitionBy("h")
-    pivots = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(i))).over(key).alias(f"p{i}") for i in range(2)]
-    rows = cut(keys.select("h", "id", "n", F.count("*").over(key).alias("c"), *pivots).where("c > 1"))
-    ids = rows.select(F.col("id").alias("nd_0")).distinct()
-    sets = cut(whole(signed(texts, shingle).dropDuplicates(["nd_0"]).join(ids, "nd_0", "left_semi").select("text"), shingle))
-    ends = lambda x: x.select(F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v")).distinct()
-    first = rows.select("id", "n", F.explode(F.array("p0", "p1")).alias("p")).where((F.col("id") != F.col("p.id")) & _sized("n", "p.n", similarity))
-    links, rows = cut(verified(ends(first), sets, similarity)), rows.select("h", "id", "n")
-    for salt in range(2):
-        left = _open(rows, links, salt)
-        more = left.where((F.col("g") != F.col("p.g")) & _sized("n", "p.n", similarity))
-        links = cut(links.unionAll(verified(ends(more), sets, similarity)))
-    left = _open(left.select("h", "id", "n"), links, 2)
-    other = left.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"))
-    pairs = left.join(other, "h").where((F.col("id") < F.col("v")) & (F.col("g") != F.col("k")) & _sized("n", "m", similarity))
-    shared = pairs.groupBy(F.col("id").alias("u"), "v", "n", "m").agg(F.count("*").alias("c"))  # all that the two share
-    # the shared shingles that aren't keys of both come after the last key of one of the two
-    least = lambda c: F.ceil(similarity * F.col(c) - 1e-9)
-    enough = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9) - F.greatest(least("n"), least("m")) + 1
-    return links.unionAll(verified(shared.where(F.col("c") >= enough).select("u", "v"), sets, similarity))
-
-
-def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest id."""
-    names = [c for c in docs.columns if not c.lower().startswith("nd_")]
-    docs = docs.select(*names)
-    nodes = cut(signed(docs.select(F.col(id_col).cast("long").alias("doc"), "text"), shingle).groupBy("nd_0").agg(F.min("doc").alias("doc")))
-    groups = components(similar(docs, nodes.count(), shingle, similarity))
-    named = nodes.join(groups, nodes["nd_0"] == groups["node"], "left").select("nd_0", "doc", F.coalesce("root", "nd_0").alias("root"))
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "nd_0")).alias("x")).select(F.col("x.doc").alias("nd_doc"), F.col("x.nd_0").alias("nd_0"))
-    full = signed(docs, shingle).withColumn("nd_doc", F.col(id_col).cast("long"))
-    one = full.join(keep, (full["nd_0"] == keep["nd_0"]) & full["nd_doc"].eqNullSafe(keep["nd_doc"])).select(*[full[c] for c in names], full["nd_0"], full["nd_doc"])
-    return one.dropDuplicates(["nd_0", "nd_doc"]).select(*names)
+def _placed(n: str, m: str, at: str, to: str, similarity: float) -> Column:
+    """Whether so many unshared shingles before the first shared one leave sets of n and m similar."""
+    both = F.col(n) + F.col(m)
+    return F.col(at) + F.col(to) <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
+
+
+def _ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
+
+
+def first_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (u, v): ids within 2 bits of SimHash, and ids with one of their least hashes and its pivot."""
+    least = nodes.groupBy("fp").agg(F.min("id").alias("p"))
+    near = simhash.links(least.select("fp"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("p").alias(f"p{c}"))
+    close = near.join(of("u"), "u").join(of("v"), "v").select("pu", "pv").unionAll(nodes.join(least, "fp").select("id", "p"))
+    rows = nodes.select("id", "n", F.explode("low").alias("h"))
+    pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "h")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    met = rows.join(pivots, "h").where(_sized("n", "p.n", similarity))
+    return written(_ends(close, "pu", "pv").unionAll(_ends(met, "id", "p.id")).distinct())
+
+
+def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(h, id, n, g, at) of the keys whose members the links leave in several groups g; at is the key's place in its set."""
+    several = written(nodes.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    shared = _sent(nodes, F.col("h"), several)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(shared)
+        for batch in batches:
+            keys = batch.column(2)
+            h, size = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            at, some = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), np.flatnonzero(known[_places(h)])
+            own = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), *(batch.column(c).take(own) for c in (0, 1)), pa.array(at[some].astype(np.int32))], names=["h", "id", "n", "at"])
+
+    met = nodes.select("id", "n", "keys").mapInArrow(run, "h long, id long, n int, at int").join(several, "h", "left_semi")
+    return _apart(met.select("h", "id", "n", F.col("id").alias("g"), "at"), links)
+
+
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with their groups as links make them, of keys that still have several."""
+    groups = components(links)
+    named = written(rows.join(groups, rows["id"] == groups["node"], "left").select("h", "id", "n", F.coalesce("root", "g").alias("g"), "at"))
+    return written(named.join(named.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("h"), "h"))
+
+
+def similar(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between digests of similar sets, which join all of them that a chain of similar sets joins.
+
+    docs: a one-column table of texts; nodes: (id, n, fp, low, keys) of each distinct set.
+    """
+    ids = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    links = lambda pairs: verified(pairs, sets(docs, ids(pairs), shingle), similarity)
+    found = written(links(first_pairs(nodes, similarity)))
+    rows = _open(nodes, found)
+    apart = lambda n, g, at: (F.col("g") != F.col(g)) & _sized("n", n, similarity) & _placed("n", n, "at", at, similarity)
+    for pivot in (F.struct(F.col("at") / F.col("n"), F.xxhash64("id")), F.xxhash64("id", "h")):  # the member with least before the key; any
+        pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "g", "at"), pivot).alias("p"))
+        pairs = written(_ends(rows.join(pivots, "h").where(apart("p.n", "p.g", "p.at")), "id", "p.id"))
+        if not pairs.isEmpty():
+            found = written(found.unionAll(links(pairs)))
+            rows = _apart(rows, found)
+    other = rows.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"), F.col("at").alias("to"))
+    pairs = written(_ends(rows.join(other, "h").where((F.col("id") < F.col("v")) & apart("m", "k", "to")), "id", "v"))
+    return found if pairs.isEmpty() else found.unionAll(links(pairs))
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest id.
+
+    Rows that a bit map shows to be alone pass where they are; only the others are joined with what stays.
+    """
+    texts = docs.select(_named(text_col).cast("string").alias("text"))
+    rows = described(docs, id_col, text_col, shingle, similarity, frequent(texts, shingle))
+    nodes = written(rows.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp", "low", "keys")]))
+    groups = written(components(similar(texts, nodes.drop("doc", "copies"), shingle, similarity)))
+    named = nodes.select("id", "doc", "copies").join(groups, nodes["id"] == groups["node"], "left").where("node IS NOT NULL OR copies > 1").select("id", "doc", F.coalesce("root", "id").alias("root"))
+    named = written(named)
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "id")).alias("x")).select(F.col("x.doc").alias("kept_doc"), F.col("x.id").alias("kept_id"))
+    shared = _sent(docs, F.col("id"), named)
+    digest, doc = fresh("nd_id", docs.columns), fresh("nd_doc", docs.columns)
+    full = lambda met: signed(docs, digest, shingle, text_col, lambda d: _known(shared)[_places(d)] == met)
+    some = full(True).withColumn(doc, _named(id_col).cast("long"))
+    of = some.join(named.select("id"), some[digest] == named["id"], "left_anti")
+    one = some.join(keep, (some[digest] == keep["kept_id"]) & some[doc].eqNullSafe(keep["kept_doc"]), "left_semi").dropDuplicates([digest, doc])
+    return full(False).drop(digest).unionAll(of.unionAll(one).drop(digest, doc))

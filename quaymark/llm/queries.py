@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontam, language, packing, pii, quality, simhash, suffix, toxicity, vectors, warc
+from . import decontam, language, packing, pii, pipeline, quality, simhash, suffix, toxicity, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -17,6 +15,6 @@ QUERIES = {
     "op8_language": language.query,
     "op9_toxicity": toxicity.query,
     "op10_embeddings": vectors.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op3_warc_transactions": warc.ORACLE, "op5_suffix_dedup": suffix.ORACLE}

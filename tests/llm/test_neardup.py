@@ -107,3 +107,15 @@ def test_repeated_lines_are_no_copies(spark, rng):
     docs += [(100 + i, " ".join([*words(rng, 300)[: 260 + i], *line])) for i in range(3)]
     assert expected(docs) == {d for d, _ in docs}
     assert kept(spark, docs) == expected(docs)
+
+
+def test_all_pairs_of_mixed_documents(spark, rng):
+    """2,000 documents, similarities from 0 to 1 and shared passages: the same rows as by comparing all pairs."""
+    passages, docs = [words(rng, 60) for _ in range(6)], []
+    base = [words(rng, rng.randrange(20, 120)) for _ in range(400)]
+    for i in range(2000):
+        w = list(base[i % 400] if i % 3 else base[i % 7])
+        if i % 5 == 0:
+            w = [*passages[i % 6], *w[: rng.randrange(1, 20)]]
+        docs.append((i, " ".join(changed(rng, w, min(len(w), rng.randrange(0, 3))))))
+    assert kept(spark, docs) == expected(docs)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quaymark.llm import decontam, neardup, packing, pii, quality
@@ -40,27 +41,15 @@ def test_near_copies(spark):
     assert len([r for r in kept if r["doc_id"] is None or r["doc_id"] < 10**7]) - 120 <= 0.05 * copies
 
 
-def test_crowd_is_whole(spark):
-    """Chains in one block group give the components of all pairs."""
-    rng = random.Random(2)
-    prints = {rng.getrandbits(128) for _ in range(40)}
-    base = rng.getrandbits(128)
-    for _ in range(300):
-        prints.add(base ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(0, 14))))
-    nodes = [(i, *(((x >> s) % (1 << 64)) - ((x >> s >> 63 & 1) << 64) for s in (0, 64))) for i, x in enumerate(sorted(prints))]
-    df = spark.createDataFrame(nodes, "id long, f0 long, f1 long")
-    from quaymark.llm.components import components
-
-    found = [{(r["node"], r["root"]) for r in components(x[0].select("u", "v").unionAll(x[1])).collect()} for c in (4, 10**6) for x in [neardup.links(df, radius=20, close=20, crowd=c)]]
-    assert found[0] == found[1] and len({r for _, r in found[0]}) == 1
-
-
 def test_odd_rows(spark):
     docs = [(3, None), (2, ""), (None, " "), (5, "one two"), (5, "one two"), (None, "lonely words here"), (7, "word " * 30000)]
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, nd_0 int, id int")
-    kept = neardup.dedup(df.drop("nd_0")).collect()
+    kept = neardup.dedup(df).collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [2, 5, 7, None]
-    assert neardup.dedup(df.drop("nd_0").limit(0)).collect() == []
+    assert neardup.dedup(df.limit(0)).collect() == []
+    clash = df.withColumnsRenamed({"nd_0": "nd_id", "id": "nd_doc"}).withColumn("a.b", F.lit(3)).withColumn("keys", F.lit(4))
+    rows = neardup.dedup(clash).collect()
+    assert rows[0].asDict().keys() == {*clash.columns} and {tuple(r)[2:] for r in rows} == {(1, 2, 3, 4)}
 
 
 @pytest.fixture(scope="module")
