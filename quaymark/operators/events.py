@@ -94,3 +94,34 @@ def policy(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     rule = F.when((F.col("big") == 1) & ((F.col("repeats") > 3) | (F.col("latency") > 300)), "LLM09").when(low.rlike("ignore (all|previous)|jailbreak|system prompt"), "LLM01").when(low.rlike("<script|<html|select .* from|drop table"), "LLM05").otherwise("BENIGN")
     tactic = F.create_map(*[F.lit(x) for x in ("LLM09", "TA0042", "LLM01", "TA0031", "LLM05", "TA0027", "BENIGN", "N/A")])
     return e.select("event_id", rule.alias("category"), F.element_at(tactic, rule).alias("tactic"), (rule != "BENIGN").cast("int").alias("label"))
+
+
+def strict_cost_attacks(df: DataFrame) -> DataFrame:
+    """The stricter reading of costly use: tokens over the 97.5th percentile within an hour that is a burst of its user."""
+    top = F.broadcast(quantiles(df, "tokens", [0.975]).agg(F.max(F.col("p")[0]).alias("cap")))  # one row
+    hot = bursts(df).select("user_id", "hour")
+    return df.crossJoin(top).where("tokens > cap").withColumn("hour", F.date_trunc("hour", "ts")).join(hot, ["user_id", "hour"], "left_semi").select("event_id", "user_id", "tokens")
+
+
+def benign_guard(df: DataFrame) -> DataFrame:
+    """Whether a request is ordinary: tokens between the 5th and 95th percentile, similarity under 0.75, latency under its 95th.
+
+    df: event_id, tokens, latency, similarity.
+    """
+    t = quantiles(df, "tokens", [0.05, 0.95]).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    q = quantiles(df, "latency", [0.95]).select(F.col("p")[0].alias("slow"))
+    ok = F.col("tokens").between(F.col("lo"), F.col("hi")) & (F.col("similarity") < 0.75) & (F.col("latency") <= F.col("slow"))
+    return df.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(q)).select("event_id", F.when(ok, "BENIGN").otherwise("REVIEW").alias("category"), F.when(ok, "N/A").alias("tactic"))
+
+
+def injections(df: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Prompt injection by words (LLM01) or by similarity to known prompts (LLM04). df: event_id, payload, similarity."""
+    words = F.lower("payload").rlike("ignore (all|previous)|jailbreak|system prompt")
+    category = F.when(words, "LLM01").when(F.col("similarity") >= threshold, "LLM04")
+    return df.select("event_id", category.alias("category"), F.when(category == "LLM01", "TA0031").when(category == "LLM04", "TA0027").alias("tactic")).where("category is not null")
+
+
+def alert_levels(windows: DataFrame, warn: float = 150.0, critical: float = 200.0) -> DataFrame:
+    """Windows (start, p95) whose 95th percentile of latency reaches a level."""
+    level = F.when(F.col("p95") >= critical, "critical").when(F.col("p95") >= warn, "warn")
+    return windows.select("start", "p95", level.alias("level")).where("level is not null")

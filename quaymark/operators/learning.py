@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -29,6 +31,12 @@ def forest(columns: list[str], trees: int = 50, depth: int = 10, seed: int = 42)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), rf])
 
 
+def legacy_forest(columns: list[str], seed: int = 42) -> Pipeline:
+    """The older detector: 100 trees of depth 10 on unweighted rows, at least three rows a leaf for its least five a split."""
+    rf = RandomForestClassifier(labelCol="y", featuresCol="raw", numTrees=100, maxDepth=10, minInstancesPerNode=3, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), rf])
+
+
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with p, the probability of class 1, and confidence."""
     p = vector_to_array("probability")
@@ -42,9 +50,12 @@ def evaluate(pipeline: Pipeline, df: DataFrame, name: str) -> DataFrame:
     return metrics.rates(metrics.confusion(scores)).crossJoin(F.broadcast(metrics.areas(scores))).select(F.lit(name).alias("experiment"), "*")
 
 
-def ablations(df: DataFrame, columns: list[str], families: dict[str, list[str]]) -> DataFrame:
-    """The logistic model on all columns and without each family."""
-    out = evaluate(logistic(columns), df, "baseline")
-    for k, v in families.items():
-        out = out.unionByName(evaluate(logistic([c for c in columns if c not in v]), df, f"minus_{k}"))
+def ablations(df: DataFrame, columns: list[str], families: dict[str, list[str]], kinds: dict[str, Callable[[list[str]], Pipeline]] | None = None) -> DataFrame:
+    """Each kind of model (the logistic one unless said) on all columns and without each family."""
+    out = None
+    for name, kind in (kinds or {"": logistic}).items():
+        of = lambda x, name=name: f"{name}_{x}" if name else x
+        for k, v in {"baseline": [], **{f"minus_{k}": v for k, v in families.items()}}.items():
+            row = evaluate(kind([c for c in columns if c not in v]), df, of(k))
+            out = row if out is None else out.unionByName(row)
     return out

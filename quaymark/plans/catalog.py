@@ -178,7 +178,7 @@ def benign_generator(t):
     return feeds.benign(t.spark, t.events.where("event_type = 'error'").count(), _START, _END)
 
 
-@query("mock_feed", f"""SELECT id, 'https://' || {_PICK(feeds.MOCK_HOSTS, "id * 7 + 3")} || {_PICK(feeds.MOCK_PATHS, "id * 11 + 5")} || '?campaign=open_feed' || CAST(id AS VARCHAR) AS url, 'open feed' AS target, 1 AS is_phishing, {_SPACE("id", "120")} AS "timestamp" FROM (SELECT unnest(range(120)) AS id)""")
+@query("mock_feed", f"""SELECT id, 'https://' || {_PICK(feeds.MOCK_HOSTS, "id * 7 + 3")} || {_PICK(feeds.MOCK_PATHS, "id * 11 + 5")} || '?campaign=open_feed' || CAST(id AS VARCHAR) AS url, 'phishing-campaign' AS target, true AS verified, 1 AS is_phishing, {_SPACE("id", "120")} AS "timestamp" FROM (SELECT unnest(range(120)) AS id)""")
 def mock_feed(t):
     return feeds.mock(t.spark, "open_feed", _START, _END)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 NORMAL = "url string, target string, verified boolean, timestamp timestamp, is_phishing int, tokens_prompt double, tokens_completion double, latency_ms double"
 # Hosts and paths of generated rows.
-MOCK_HOSTS, MOCK_PATHS = ["mock-a.example", "mock-b.example", "mock-c.example", "mock-d.example"], ["/login", "/verify", "/update", "/account", "/secure"]
+MOCK_HOSTS = ["api.fake-openai.com", "login.model-internal.net", "secure-llm.example.org", "edge.prompt-hijack.biz"]
+MOCK_PATHS = ["/v1/completions", "/inference", "/extract", "/models/download", "/prompt/override"]
 BENIGN_HOSTS = ["api.one.example", "api.two.example", "api.three.example", "api.four.example", "api.five.example", "api.six.example"]
 BENIGN_PATHS = ["/v1/chat/completions", "/v1/completions", "/v1/embeddings", "/v1/models", "/inference", "/predict"]
 
@@ -68,10 +69,11 @@ def spaced(i, n: int, start: str, end: str):
     return F.timestamp_micros((a + F.floor((b - a) * i / max(n - 1, 1))).cast("long"))
 
 
-def mock(spark: SparkSession, name: str, start: str, end: str, n: int = 120) -> DataFrame:
+def mock(spark: SparkSession, name: str, start: str, end: str, n: int = 120, kind: str = "phishing") -> DataFrame:
+    """n rows of label 1, evenly spaced, for a source that can't be read; arithmetic on the row number stands for chance."""
     i = F.col("id")
     url = F.concat(F.lit("https://"), pick(MOCK_HOSTS, i * 7 + 3), pick(MOCK_PATHS, i * 11 + 5), F.lit(f"?campaign={name}"), i.cast("string"))
-    return spark.range(n).select("id", url.alias("url"), F.lit(name.replace("_", " ")).alias("target"), F.lit(1).alias("is_phishing"), spaced(i, n, start, end).alias("timestamp"))
+    return spark.range(n).select("id", url.alias("url"), F.lit(f"{kind}-campaign").alias("target"), F.lit(True).alias("verified"), F.lit(1).alias("is_phishing"), spaced(i, n, start, end).alias("timestamp"))
 
 
 def benign(spark: SparkSession, n: int, start: str, end: str, url_only: bool = False) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +66,53 @@ def monitor(df: DataFrame, threshold: float = 0.03) -> DataFrame:
     """A monitor line per scored request: works on batches and streams alike. A missing context reads N/A; its nulls stay."""
     part = lambda f: F.when(F.col("context").isNull(), "N/A").otherwise(F.col(f"context.{f}"))
     return df.select("record_id", "probability", (F.col("probability") >= threshold).cast("int").alias("decision"), part("category").alias("category"), part("tactic").alias("tactic"))
+
+
+def batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs the stream batch by batch: ``work`` turns a micro-batch into rows, which are appended to a table in the shared
+    folder. A batch that is run again after a failure overwrites its own rows only."""
+    spark, home = stream.sparkSession, shared(stream.sparkSession)
+    schema = []
+
+    def one(df: DataFrame, batch: int) -> None:
+        out = work(df.withColumn("batch", F.lit(batch).cast("long")))
+        schema[:] = [out.schema]
+        out.write.mode("overwrite").parquet(f"{home}/rows/part={batch}")
+
+    stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+    return spark.read.schema(schema[0]).parquet(f"{home}/rows") if schema else spark.createDataFrame([], stream.schema)
+
+
+def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Batches' partial sums put together."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "part", "batch")])
+
+
+def day_counts(df: DataFrame) -> DataFrame:
+    """A micro-batch's events and errors of each day."""
+    return df.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+def rate_drift(days: DataFrame) -> DataFrame:
+    """Each day's share of errors against the mean and three deviations of the seven days before. days: day, n, errors."""
+    rate = days.select("day", (F.col("errors") / F.col("n")).alias("rate"))
+    w = Window.orderBy("day").rowsBetween(-7, -1)  # a row a day
+    m, s = F.avg("rate").over(w), F.stddev_samp("rate").over(w)
+    return rate.select("day", F.round("rate", 6).alias("rate"), F.round(m, 6).alias("mean_7d"), F.coalesce((F.abs(F.col("rate") - m) > 3 * s).cast("int"), F.lit(0)).alias("alert"))
+
+
+def median_drift(stream: DataFrame, least: float) -> DataFrame:
+    """Hours whose median of value is under least."""
+    g = stream.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    return g.where(F.col("median") < least).select(F.col("w.start").alias("hour"), F.round("median", 6).alias("median"))
+
+
+def shadowed(live: DataFrame, shadow: DataFrame, apart: str = "5 minutes") -> DataFrame:
+    """Live decisions joined with those of a shadow stream on the same request, at most so far apart in time.
+
+    Both streams (event_id, ts, decision) carry watermarks, so state of either is dropped when it can't match any more.
+    """
+    a = live.select("event_id", F.col("ts").alias("live_ts"), F.col("decision").alias("live"))
+    b = shadow.select(F.col("event_id").alias("shadow_id"), F.col("ts").alias("shadow_ts"), F.col("decision").alias("shadow"))
+    near = F.expr(f"event_id = shadow_id AND shadow_ts BETWEEN live_ts - INTERVAL {apart} AND live_ts + INTERVAL {apart}")
+    return a.join(b, near).select("event_id", "live", "shadow")
