@@ -20,20 +20,13 @@ from pyspark.sql import types as T
 
 from .common import SpanHash, chunks, cut, fresh, lower_table, ship, table, text_view, word_spans
 
-#: Text bytes of benchmark items that one pass broadcasts; more items are scanned in further passes.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of benchmark items that one pass broadcasts, about nine times that with their windows; more items are scanned
+#: in further passes.
+BLOCK_BYTES = 8 << 20
 _LOWER = lower_table()
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_BITS = 20
-
-
-def _words(text: str) -> list[bytes]:
-    data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    start, end, _ = word_spans(data, np.array([0, len(data)]), _WORD)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(start, end, strict=True)]
 
 
 def _window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -49,25 +42,40 @@ def _window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some benchmark items: by length, sorted hashes, a bit map of them, and words and items to verify."""
+    """The windows of some benchmark items (id, text), by length: sorted hashes, a bit map of them, and for each its item and
+    its place in one buffer of the items' words, a space between any two, to verify hits. Some 50 bytes a window."""
 
-    def __init__(self, items: list[tuple[object, str | None]], n: int):
+    def __init__(self, items: pa.Table, n: int):
+        self.ids = [str(x) if x is not None else None for x in items.column(0).to_pylist()]
         self.by_length: dict[int, dict] = {}
-        at: dict[int, dict[bytes, set]] = {}
-        for item, text in items:
-            words = _words(text or "")
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                at.setdefault(size, {}).setdefault(b" ".join(words[i : i + size]), set()).add(None if item is None else str(item))
-        for size, found in at.items():
-            texts = list(found)
-            data = np.frombuffer(b" ".join(texts), np.uint8)
-            start, end, _ = word_spans(data, np.array([0, len(data)]), _WORD)
-            hashes = _window_hashes(SpanHash(data)(start, end), size)[::size]
-            order = np.argsort(hashes, kind="stable")
-            bits = np.zeros(1 << _BITS, bool)
-            bits[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.by_length[size] = {"hash": hashes[order], "text": [texts[i] for i in order], "items": [frozenset(found[texts[i]]) for i in order], "bits": bits}
+        words, found, rows, place = [], {}, 0, 0
+        for chunk in chunks(iter(items.to_batches()), 1):
+            data, off = text_view(chunk.column(1))
+            data = _LOWER[data]
+            start, end, doc = word_spans(data, off, _WORD)
+            count = np.bincount(doc, minlength=chunk.num_rows)
+            raw, hashes = data.tobytes(), SpanHash(data)(start, end) if len(start) else np.zeros(0, np.uint64)
+            words += [b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])]
+            at = place + np.cumsum(end - start + 1) - (end - start + 1)  # of each word in the buffer
+            for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+                w = _window_hashes(hashes, size)
+                i = np.arange(len(w))
+                i = i[(doc[i] == doc[i + size - 1]) & (count[doc[i]] >= n if size == n else count[doc[i]] == size)]
+                last = i + size - 1
+                found.setdefault(size, []).append((w[i], (rows + doc[i]).astype(np.int32), at[i], (at[last] + end[last] - start[last] - at[i]).astype(np.int32)))
+            place += len(words[-1]) + 1
+            rows += chunk.num_rows
+        self.words = b" ".join(words)
+        for size, parts in found.items():
+            hashes, item, at, long = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, hashes))
+            hashes, item, at, long = hashes[order], item[order], at[order], long[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])
+            bits = min(24, max(16, int(len(hashes)).bit_length() + 3))
+            known = np.zeros(1 << bits, bool)
+            known[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.by_length[size] = {"hash": hashes[new], "item": item[new], "at": at[new], "long": long[new], "bits": bits, "known": known}
 
 
 def _scan(chunk: pa.RecordBatch, text: int, windows: WindowSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set]]:
@@ -83,19 +91,22 @@ def _scan(chunk: pa.RecordBatch, text: int, windows: WindowSet) -> tuple[np.ndar
             w = _window_hashes(hashes, size)
             if not len(w):
                 continue
-            maybe = np.flatnonzero(known["bits"][(w >> np.uint64(64 - _BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(known["known"][(w >> np.uint64(64 - known["bits"])).astype(np.int64)])
             maybe = maybe[doc[maybe] == doc[maybe + size - 1]]
             left = np.searchsorted(known["hash"], w[maybe], "left")
             right = np.searchsorted(known["hash"], w[maybe], "right")
             for i, lo, hi in zip(maybe.tolist(), left.tolist(), right.tolist(), strict=True):
                 if lo == hi:
                     continue
-                own = b" ".join(data[start[k] : end[k]].tobytes() for k in range(i, i + size))
+                own, hit = b" ".join(data[start[k] : end[k]].tobytes() for k in range(i, i + size)), False
                 for k in range(lo, hi):
-                    if known["text"][k] == own:
-                        hits[i] += 1
-                        hits[i + size] -= 1
-                        items[doc[i]] |= known["items"][k]
+                    a = int(known["at"][k])
+                    if known["long"][k] == len(own) and windows.words[a : a + len(own)] == own:
+                        hit = True
+                        items[doc[i]].add(windows.ids[known["item"][k]])
+                if hit:
+                    hits[i] += 1
+                    hits[i + size] -= 1
     return start, end, doc, np.cumsum(hits)[:-1] > 0, items
 
 
@@ -104,7 +115,7 @@ def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, block_byte
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = -(-total // block_bytes) or 1
     part = lambda b: rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b) if count > 1 else rows
-    return [lambda b=b: WindowSet([(r["i"], r["t"]) for r in part(b).collect()], n) for b in range(count)]
+    return [lambda b=b: WindowSet(part(b).toArrow(), n) for b in range(count)]
 
 
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
