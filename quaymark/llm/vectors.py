@@ -1,9 +1,10 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-A sample of the vectors fits a mean, principal axes and, for each half of the code, a rotation that brings the rotated
-axes nearest to their signs. All vectors get 128 sign bits, cut into 8 substrings of 16. Two vectors meet where a substring
-differs in one bit at most (the one whose substring has the bit visits the other's bucket); those within ``RADIUS`` bits of
-each other in all go on to have their cosine taken from the original vectors in double precision.
+A sample of the vectors fits a mean, principal axes and rotations that bring the rotated axes nearest to their signs. All
+vectors get sign bits, cut into substrings of as many bits as the number of vectors has, 16 at least, so that buckets don't
+fill up as the table grows; longer substrings meet less often, so there are more of them (``tables``). Two vectors meet where
+a substring differs in one bit at most (the one whose substring has the bit visits the other's bucket); those within
+``RADIUS`` of the first 128 bits go on to have their cosine taken from the original vectors in double precision.
 
 Exact copies are one class. Classes that share 32 bits with one of smaller number and lie within 4 degrees of it are put
 in a ball around it: all of a ball are linked to one another, and two balls are linked altogether if the angle of their
@@ -29,14 +30,24 @@ from .common import cut, ship, table
 from .components import components
 
 SAMPLE, ROUNDS, SUBSTRING, TABLES, RADIUS, BALL = 20000, 30, 16, 8, 40, np.deg2rad(4.0)
+#: Chance that a sign differs between vectors at the threshold, and share of pairs that meet in 8 tables of 16 bits.
+FLIP, MET = 0.1436, 0.95
 _CODE = "c0 long, c1 long"
 
 
+def tables(count: int) -> tuple[int, int]:
+    """Bits of a substring for so many vectors, and how many substrings keep the recall of 8 of 16 bits."""
+    bits = min(48, max(SUBSTRING, int(count).bit_length()))
+    meet = (1 - FLIP) ** bits + bits * FLIP * (1 - FLIP) ** (bits - 1)
+    return bits, TABLES if bits == SUBSTRING else int(np.ceil(np.log(1 - MET) / np.log(1 - meet)))
+
+
 class Quantiser:
-    """A fitted mean, axes and rotations; codes are two signed longs."""
+    """A fitted mean, axes and rotations; codes are two signed longs and the numbers of the buckets."""
 
-    def __init__(self, sample: np.ndarray, bits: int = 128, rounds: int = ROUNDS, seed: int = 11):
-        rng = np.random.default_rng(seed)
+    def __init__(self, sample: np.ndarray, substring: int = SUBSTRING, count: int = TABLES, rounds: int = ROUNDS, seed: int = 11):
+        rng, self.substring, self.count = np.random.default_rng(seed), substring, count
+        bits = max(128, substring * count)
         self.size = sample.shape[1]
         self.mean = sample.mean(0) if len(sample) else np.zeros(self.size)
         centred = sample - self.mean
@@ -51,8 +62,11 @@ class Quantiser:
             turned.append(axes @ r)
         self.project = np.hstack(turned)[:, :bits]
 
-    def code(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.project > 0, axis=1, bitorder="little").view("<i8")
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = (x - self.mean) @ self.project > 0
+        own = bits[:, : self.substring * self.count].reshape(len(x), self.count, self.substring)
+        buckets = own @ (1 << np.arange(self.substring, dtype=np.int64)) | np.arange(self.count, dtype=np.int64) << 48
+        return np.packbits(bits[:, :128], axis=1, bitorder="little").view("<i8"), buckets
 
 
 def _list(column: pa.Array, size: int) -> np.ndarray:
@@ -84,11 +98,12 @@ def _unit(classes: DataFrame, quantiser: Quantiser) -> DataFrame:
             x = _list(batch.column(2), q.size)
             x /= np.abs(x).max(1)[:, None]
             x /= np.linalg.norm(x, axis=1)[:, None]
-            c = q.code(x)
+            c, buckets = q.code(x)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * q.count), pa.array(buckets.ravel()))
             unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * q.size), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit, pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["cid", "mult", "v", "c0", "c1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit, pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), keys], names=["cid", "mult", "v", "c0", "c1", "keys"])
 
-    return classes.select("cid", "mult", "embedding").mapInArrow(run, f"cid long, mult long, v array<double>, {_CODE}")
+    return classes.select("cid", "mult", "embedding").mapInArrow(run, f"cid long, mult long, v array<double>, {_CODE}, keys array<long>")
 
 
 def _balls(units: DataFrame) -> DataFrame:
@@ -103,25 +118,25 @@ def _balls(units: DataFrame) -> DataFrame:
     return units.select("cid").join(best, "cid", "left").select("cid", F.coalesce("p", "cid").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
 
 
-def _rows(members: DataFrame) -> DataFrame:
+def _rows(members: DataFrame, substring: int, count: int) -> DataFrame:
     """(key, home, ball, c0, c1): the buckets that each class lives in or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ball, c0, c1 = (batch.column(i).to_numpy() for i in range(3))
-            parts = np.column_stack([c0, c1]).view("<u2").astype(np.int64)
-            for t in range(TABLES):
+            parts = batch.column(3).flatten().to_numpy().reshape(len(ball), count)
+            for t in range(count):
                 k = parts[:, t]
                 who, to = [np.arange(len(k))], [k]
-                for b in range(SUBSTRING):
+                for b in range(substring):
                     has = np.flatnonzero(k >> b & 1)
                     who.append(has)
                     to.append(k[has] ^ (1 << b))
                 row, home = np.concatenate(who), np.zeros(sum(map(len, who)), bool)
                 home[: len(k)] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to) | t << SUBSTRING), pa.array(home), pa.array(ball[row]), pa.array(c0[row]), pa.array(c1[row])], names=["key", "home", "ball", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(home), pa.array(ball[row]), pa.array(c0[row]), pa.array(c1[row])], names=["key", "home", "ball", "c0", "c1"])
 
-    return members.select("ball", "c0", "c1").mapInArrow(run, f"key long, home boolean, ball long, {_CODE}")
+    return members.select("ball", "c0", "c1", "keys").mapInArrow(run, f"key long, home boolean, ball long, {_CODE}")
 
 
 def link(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
@@ -141,13 +156,14 @@ def link(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> Da
     size = int(np.bincount(sizes).argmax())
     flat = np.array([x.as_py() for x, n in zip(some, sizes, strict=True) if n == size], float)
     flat /= np.abs(flat).max(1)[:, None]
-    quantiser = Quantiser(flat / np.linalg.norm(flat, axis=1)[:, None])
+    substring, tabled = tables(count)
+    quantiser = Quantiser(flat / np.linalg.norm(flat, axis=1)[:, None], substring, tabled)
     units = cut(_unit(classes.where(F.size("embedding") == size), quantiser))
     members = cut(units.join(_balls(units), "cid"))
     balls = members.groupBy("ball").agg(F.sum("mult").alias("n"), F.max("angle").alias("r"))
     balls = cut(balls.join(units.select(F.col("cid").alias("ball"), "v"), "ball"))
 
-    met = _rows(members).groupBy("key", "home", "ball").agg(F.min(F.struct("c0", "c1")).alias("c"))
+    met = _rows(members, substring, tabled).groupBy("key", "home", "ball").agg(F.min(F.struct("c0", "c1")).alias("c"))
     met = met.select("key", "home", "ball", "c.c0", "c.c1")
     here, there = met.where("home").select("key", *[F.col(c).alias(f"h_{c}") for c in ("ball", "c0", "c1")]), met
     apart = F.bit_count(F.col("h_c0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("h_c1").bitwiseXOR(F.col("c1")))
