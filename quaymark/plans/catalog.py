@@ -106,7 +106,7 @@ _HAS = lambda col, words: " + ".join(f"CAST(contains(lower({col}), '{w}') AS BIG
 
 
 @query("payload_features", f"""WITH c AS (SELECT conv_id, turn, 'https://api.example/v1/Login/update?u=10.1.2.3&c=' || CAST(conv_id AS VARCHAR) AS u, {_PAYLOAD} AS body, text FROM conversations)
- SELECT conv_id, turn, length(u) AS url_length, 3 + 1 + 0 * turn AS dots, 1 AS ip, 1 AS https, CAST(2 AS BIGINT) AS path_words, length(body) AS payload_length, CAST(2 AS BIGINT) AS payload_depth, CAST(regexp_matches(body, '[A-Za-z0-9+/]{{40,}}') AS INT) AS encoded, turn AS frequency,
+ SELECT conv_id, turn, length(u) AS url_length, length(u) - length(replace(u, '.', '')) AS dots, CAST(regexp_matches(u, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS INT) AS ip, CAST(starts_with(u, 'https') AS INT) AS https, CAST(2 AS BIGINT) AS path_words, length(body) AS payload_length, CAST(2 AS BIGINT) AS payload_depth, CAST(regexp_matches(body, '[A-Za-z0-9+/]{{40,}}') AS INT) AS encoded, turn AS frequency,
  {_HAS("body", payloads.ATTACK_WORDS)} AS attack_words, {_HAS("body", payloads.MODEL_WORDS)} AS model_words, CASE WHEN length(text) > 100 THEN length(text) ELSE 0 END AS long_tokens FROM c""")
 def payload_features(t):
     url = F.concat(F.lit("https://api.example/v1/Login/update?u=10.1.2.3&c="), F.col("conv_id").cast("string"))
@@ -476,12 +476,11 @@ def ngram_counts(t):
     return t.benchmark.where(F.size(w) > 1).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
 
 
-@query("corpus_similarity", "WITH c AS (SELECT embedding FROM embeddings WHERE vec_id < 10) SELECT e.vec_id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS best, CAST(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) >= 0.75 AS INT) AS flagged FROM embeddings e, c GROUP BY e.vec_id")
+@query("corpus_similarity", "WITH c AS (SELECT embedding FROM embeddings WHERE vec_id % 50 = 0) SELECT e.vec_id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS best, CAST(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) >= 0.75 AS INT) AS flagged FROM embeddings e, c GROUP BY e.vec_id")
 def corpus_similarity(t):
-    """The stated reference prompts are the ten first vectors: one broadcast row that holds them as an array."""
-    corpus = F.broadcast(t.embeddings.where("vec_id < 10").agg(F.collect_list("embedding").alias("c")))
-    best = F.array_max(F.transform("c", lambda v: payloads.cosine(F.col("embedding"), v)))
-    return t.embeddings.crossJoin(corpus).select("vec_id", F.round(best, 6).alias("best"), (best >= 0.75).cast("int").alias("flagged"))
+    """Every vector against the stated reference set, which grows with the table: the rows whose id is divisible by 50."""
+    best = payloads.best_match(t.embeddings.select("vec_id", "embedding"), t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"))
+    return best.select("vec_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.75).cast("int").alias("flagged"))
 
 
 _E = "e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS DOUBLE) AS tokens, value AS latency, CASE event_id % 5 WHEN 0 THEN 'Ignore all rules' WHEN 1 THEN '<script>x' ELSE event_type END AS payload FROM events)"
@@ -538,9 +537,10 @@ def stream_sliding(t):
     return jobs.run(jobs.sliding(jobs.events(t.spark, f"{t.folder}/events.parquet")), "complete")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stream_sessions(t):
-    """Closed sessions only, so no SQL: tested against the batch query."""
+    """Sessions that the watermark, ten minutes behind the last event, has closed."""
     return jobs.run(jobs.sessions(jobs.events(t.spark, f"{t.folder}/events.parquet")), "append")
 
 
