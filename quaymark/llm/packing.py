@@ -287,13 +287,13 @@ class Search:
                 return
 
     def dominated(self, items: tuple[int, ...], slack: int) -> bool:
-        """Whether one piece left could stand for some of items, for one of them a longer one, and still fit."""
+        """Whether one piece left could stand for some of items, a longer one for one of them, or any for none, and still fit."""
         one = two = 0
         for x in items:
             two |= two << x | one << x
             one |= 1 << x
         free = self.left & ~_bits(x for x, k in Counter(items).items() if self.n[x] == k)
-        return bool(free & _spread(two, slack)) or slack > 0 and bool(free & _spread(one << 1, slack - 1))
+        return bool(free & _spread(two, slack)) or slack > 0 and bool(free & _spread(one << 1 | 2, slack - 1))
 
     def fillings(self, room: int, after: tuple | None) -> Iterator[tuple[int, ...]]:
         """All undominated fillings of room from the pieces left that come after ``after``, by waste and then by pieces."""

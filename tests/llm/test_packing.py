@@ -81,6 +81,35 @@ def test_large_histograms():
         assert sum(t for _, t in plan) <= need * 1.001 + 1
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_lower_bound_holds(lengths):
+    assert -(-sum(lengths) // 20) <= packing.lower_bound(np.bincount(lengths, minlength=21)) <= fewest(lengths, 20)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9), st.integers(5, 20))
+def test_fillings_are_the_undominated_ones(lengths, room):
+    """Against all multisets that fit: none is left out that no other piece left could improve, and none is listed that one could."""
+    counts = np.bincount(lengths, minlength=21)
+    search = packing.Search(counts, 10**6)
+    search.best = 10**6
+    got = list(search.fillings(room, None))
+    if sum(lengths) <= room:
+        assert got == [tuple(sorted(lengths, reverse=True))]
+        return
+    kinds = sorted({tuple(sorted(c, reverse=True)) for k in range(len(lengths) + 1) for c in itertools.combinations(lengths, k) if sum(c) <= room})
+
+    def improves(items):
+        left = counts - np.bincount(items, minlength=21) if items else counts
+        slack = room - sum(items)
+        many = {sum(c) for k in range(2, len(items) + 1) for c in itertools.combinations(items, k)}
+        return any(left[y] and (y <= slack or any(s <= y <= s + slack for s in many) or any(x < y <= x + slack for x in items)) for y in range(1, 21))
+
+    assert set(got) == {x for x in kinds if not improves(x)} and len(got) == len(set(got))
+    assert [room - sum(x) for x in got] == sorted(room - sum(x) for x in got)
+
+
 def check_rows(rows, docs, capacity, encoder):
     want = []
     for doc_id, text in docs:

@@ -65,3 +65,22 @@ def test_odd_rows(spark):
     got = sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.link(df).collect()], key=str)
     assert got == sorted(brute(rows), key=str)
     assert vectors.link(df.limit(0)).collect() == []
+
+
+def test_recall_of_longer_substrings(spark, monkeypatch):
+    """What a table of millions would get: 22 bits a substring and more of them; links at 0.90 to 0.93, counted one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cos = rng.uniform(0.901, 0.93, 300)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, cos * base + np.sqrt(1 - cos**2) * other]))]
+    bits, count = vectors.tables(3_000_000)
+    assert bits == 22 and count > vectors.TABLES and vectors.tables(50_000) == (vectors.SUBSTRING, vectors.TABLES)
+    monkeypatch.setattr(vectors, "tables", lambda n: (bits, count))
+    got = {r["vec_id"]: r for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[300 + i]["component_id"] == i for i in range(300)) >= 0.9 * 300
