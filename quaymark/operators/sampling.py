@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of the order, unless the session has more partitions.
 BUCKETS = 64
 
 
 def ranked(df: DataFrame, order: str, *keys: str, name: str = "rank", unique: str | None = None) -> DataFrame:
     """df with the 0-based rank of each row among those of its keys by (order, unique)."""
     tie = [order, *([unique] if unique else [])]
-    edges = [b for b in df.agg(F.percentile_approx(F.col(order).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)])).first()[0] or []]  # BUCKETS numbers
+    parts = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = [b for b in df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)])).first()[0] or []]  # so many numbers
     at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col(order).cast("double") > e)) if edges else F.lit(0)
     part = df.withColumn("rk_part", at)
     sizes = part.groupBy(*keys, "rk_part").agg(F.count("*").alias("rk_n"))
