@@ -75,6 +75,8 @@ def load_source(spark: SparkSession, name: str, meta: dict, window: dict, base:
 def prepare(spark: SparkSession, config: dict, base: str) -> tuple[DataFrame, DataFrame]:
     """(rows with their split, one row of counters)."""
     config, mode = DEFAULTS | config, split_mode(DEFAULTS | config)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", resolve("checkpoints", base)))
     window, profile = config["window"], config["feature_profile"]
     frames = []
     for name, meta in config["sources"].items():
@@ -117,8 +119,6 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     config = load_config(spark, args.config)
     config |= {k: v for k, v in (("max_rows", args.max_rows), ("benign_multiplier", args.benign_multiplier)) if v is not None}
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", resolve("checkpoints", args.data_dir)))
     rows, stats = prepare(spark, config, args.data_dir)
     home = resolve(config["output"].get("processed_dir", "processed"), args.data_dir)
     feeds.write_splits(rows, f"{home}/splits")
