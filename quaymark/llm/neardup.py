@@ -10,6 +10,7 @@ each connected group of them stays. No pair is lost and no link is guessed, what
   t / (1 + t) (n + m); so the first that both have is among the first n - ceil(t n) + 1 of either, and the places before
   it, all unshared, are at most (1 - t) / (1 + t) (n + m) together. Shingles by whose place two documents of different
   groups may be similar are the only ones that go on: their members meet two pivots, then what is still apart meets.
+  Of what meets, pairs that share too few of these shingles to be similar end there.
   Shingles that are frequent in a sample come last in the order; the sample decides what the work costs, never what is
   found.
 - Each link is an exact intersection of the two sets of 64-bit shingle hashes. Sets are made again from the texts where
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
+from .bitmap import BitMap
 from .common import chunks, fresh, lower_table, mix, ship, text_view, token_hashes, written
 from .components import components
 
 SHINGLE, SIMILARITY, LOW = 5, 0.8, 4
-#: Documents of the sample, and how many of them have a frequent shingle. Bits that number a bit map's places.
-SAMPLE, FREQUENT, PLACES = 16384, 4, 24
+#: Documents of the sample, and how many of them have a frequent shingle.
+SAMPLE, FREQUENT = 16384, 4
 _WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 
 
@@ -129,38 +131,15 @@ def signed(docs: DataFrame, name: str, shingle: int, text_col: str, wanted: Call
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("id", T.LongType())])).toDF(*names)
 
 
-def _map(values: Column, rows: DataFrame) -> np.ndarray:
-    """A bit map of 64-bit hashes by their leading bits: of fixed size, so it can be broadcast whatever it stands for."""
-    place = F.shiftrightunsigned(values, 64 - PLACES)
-    words = rows.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got, out = words.toArrow(), np.zeros(1 << (PLACES - 6), np.int64)  # at most that many rows
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
-
-
-def _places(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(64 - PLACES)).astype(np.int64)
-
-
-def _known(shared) -> np.ndarray:
-    return np.unpackbits(shared.value, bitorder="little").view(bool)
-
-
-def _sent(df: DataFrame, values: Column, rows: DataFrame):
-    """The bit map of rows, broadcast."""
-    return df.sparkSession.sparkContext.broadcast(np.packbits(_map(values, rows), bitorder="little"))
-
-
 def sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, s): all distinct shingle hashes of each set of a one-column table of texts whose digest may be among ids (id)."""
-    shared = _sent(texts, F.col("id"), ids)
+    known = BitMap(ids, F.col("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(shared)
         for chunk in chunks(batches, 0, 1 << 18):
             _, h, n, digest = shingled(*text_view(chunk.column(0)), shingle)
             s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-            wanted = pa.array(known[_places(digest)])
+            wanted = pa.array(known(digest))
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)).filter(wanted), s.filter(wanted)], names=["id", "s"])
 
     return texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
@@ -203,6 +182,16 @@ def _ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
 
 
+def _plausible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) of different groups that share keys enough: of the shingles that two similar sets must share, those
+    that aren't keys of both come after the last key of one of the two. rows has all keys that such pairs share."""
+    own = rows.groupBy("id").agg(F.first("n").alias("n"), F.collect_list("h").alias("k"))  # at most a set's keys
+    side = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}"))
+    least = lambda c: F.ceil(similarity * F.col(c) - 1e-9)
+    enough = F.ceil(similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9) - F.greatest(least("nu"), least("nv")) + 1
+    return pairs.join(side("v"), "v").join(side("u"), "u").where(F.size(F.array_intersect("ku", "kv")) >= enough).select("u", "v")
+
+
 def first_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Candidates (u, v): ids within 2 bits of SimHash, and ids with one of their least hashes and its pivot."""
     least = nodes.groupBy("fp").agg(F.min("id").alias("p"))
@@ -218,15 +207,14 @@ def first_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(h, id, n, g, at) of the keys whose members the links leave in several groups g; at is the key's place in its set."""
     several = written(nodes.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    shared = _sent(nodes, F.col("h"), several)
+    known = BitMap(several, F.col("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(shared)
         for batch in batches:
             keys = batch.column(2)
             h, size = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
             row = np.repeat(np.arange(len(size)), size)
-            at, some = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), np.flatnonzero(known[_places(h)])
+            at, some = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size), np.flatnonzero(known(h))
             own = pa.array(row[some])
             yield pa.RecordBatch.from_arrays([pa.array(h[some]), *(batch.column(c).take(own) for c in (0, 1)), pa.array(at[some].astype(np.int32))], names=["h", "id", "n", "at"])
 
@@ -253,12 +241,12 @@ def similar(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarit
     apart = lambda n, g, at: (F.col("g") != F.col(g)) & _sized("n", n, similarity) & _placed("n", n, "at", at, similarity)
     for pivot in (F.struct(F.col("at") / F.col("n"), F.xxhash64("id")), F.xxhash64("id", "h")):  # the member with least before the key; any
         pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "g", "at"), pivot).alias("p"))
-        pairs = written(_ends(rows.join(pivots, "h").where(apart("p.n", "p.g", "p.at")), "id", "p.id"))
+        pairs = written(_plausible(_ends(rows.join(pivots, "h").where(apart("p.n", "p.g", "p.at")), "id", "p.id"), rows, similarity))
         if not pairs.isEmpty():
             found = written(found.unionAll(links(pairs)))
             rows = _apart(rows, found)
     other = rows.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"), F.col("at").alias("to"))
-    pairs = written(_ends(rows.join(other, "h").where((F.col("id") < F.col("v")) & apart("m", "k", "to")), "id", "v"))
+    pairs = written(_plausible(_ends(rows.join(other, "h").where((F.col("id") < F.col("v")) & apart("m", "k", "to")), "id", "v"), rows, similarity))
     return found if pairs.isEmpty() else found.unionAll(links(pairs))
 
 
@@ -274,9 +262,9 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
     named = nodes.select("id", "doc", "copies").join(groups, nodes["id"] == groups["node"], "left").where("node IS NOT NULL OR copies > 1").select("id", "doc", F.coalesce("root", "id").alias("root"))
     named = written(named)
     keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "id")).alias("x")).select(F.col("x.doc").alias("kept_doc"), F.col("x.id").alias("kept_id"))
-    shared = _sent(docs, F.col("id"), named)
+    known = BitMap(named, F.col("id"))
     digest, doc = fresh("nd_id", docs.columns), fresh("nd_doc", docs.columns)
-    full = lambda met: signed(docs, digest, shingle, text_col, lambda d: _known(shared)[_places(d)] == met)
+    full = lambda met: signed(docs, digest, shingle, text_col, lambda d: known(d) == met)
     some = full(True).withColumn(doc, _named(id_col).cast("long"))
     of = some.join(named.select("id"), some[digest] == named["id"], "left_anti")
     one = some.join(keep, (some[digest] == keep["kept_id"]) & some[doc].eqNullSafe(keep["kept_doc"]), "left_semi").dropDuplicates([digest, doc])
