@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of repeated strings go from all documents but the first that has them.
 
 Windows of ``size`` bytes are dealt to shards by their minimizer, the least hash of their ``k``-byte pieces, so equal
-windows meet. Minimizers that only one document has are left out, and equal runs of windows are one row, with the least
-and greatest document that has it; a minimizer that very many documents share is met by aggregates and splittable joins
-only. Each shard's runs are written to a file and put in suffix order by external induced sorting; neighbours that share
+windows meet. Minimizers that only one document has are left out, and equal runs of windows are one row, by two hashes of 64 bits,
+with the least and greatest document that has it; a minimizer that very many documents share is met by aggregates and
+splittable joins only. Where all runs of a minimizer are equal, the smallest document keeps them whole. The others' bytes
+go to shards, whose runs are written to a file and put in suffix order by external induced sorting; neighbours that share
 ``size`` bytes are one window, and its smallest document keeps it.
 
 Defined results: null texts are empty; texts shorter than ``size`` stay whole; long texts are taken whole; documents with
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import SpanHash, chunks, cut, ship, table, text_view
+from .bitmap import BitMap
+from .common import SpanHash, chunks, ship, table, text_view, written
 
 SIZE, PIECE, SHARD_BYTES = 50, 20, 1 << 20
 _LAST = (1 << 63) - 1
@@ -57,34 +59,41 @@ def runs(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarr
 
 
 def _minimizers(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(m, doc, th, start, n): the runs of each row of docs (doc, th, text)."""
+    """(m, doc): the minimizers of each row of docs (doc, th, text), those of a batch once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, 2):
-            data, off = text_view(chunk.column(2))
-            d, start, n, m = runs(data, off, size, k)
-            own = pa.array(d)
-            yield pa.RecordBatch.from_arrays([pa.array(m), chunk.column(0).take(own), chunk.column(1).take(own), pa.array(start - off[d]), pa.array(n)], names=["m", "doc", "th", "start", "n"])
+        for chunk in chunks(batches, 1):
+            data, off = text_view(chunk.column(1))
+            d, _, _, m = runs(data, off, size, k)
+            order = np.lexsort((d, m))
+            d, m = d[order], m[order]
+            new = np.ones(len(m), bool)
+            new[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(m[new]), chunk.column(0).take(pa.array(d[new]))], names=["m", "doc"])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "m long, doc long, th long, start long, n long")
+    return docs.select("doc", "text").mapInArrow(run, "m long, doc long")
 
 
-def _segments(found: DataFrame, size: int) -> DataFrame:
-    """(m, doc, th, start, seg) of rows with text and marks, a list of (m, start, n)."""
+def _segments(docs: DataFrame, known: BitMap, size: int, k: int, whole: bool) -> DataFrame:
+    """(m, doc, th, start, n, sh) of the runs whose minimizers may be known: where each starts, its windows and hash; with
+    whole its bytes as seg."""
+    names = ["m", "doc", "th", "start", "n", "sh", *["seg"] * whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, 2):
-            out: list[list] = [[], [], [], [], []]
             data, off = text_view(chunk.column(2))
-            raw = data.tobytes()
-            for i, (doc, th, marks) in enumerate(zip(*(chunk.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
-                for x in marks:
-                    a = int(off[i]) + x["start"]
-                    for col, v in zip(out, (x["m"], doc, th, x["start"], raw[a : a + x["n"] - 1 + size]), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["m", "doc", "th", "start", "seg"])
+            d, start, n, m = runs(data, off, size, k)
+            some = np.flatnonzero(known(m))
+            d, start, n, m = d[some], start[some], n[some], m[some]
+            own, end = pa.array(d), start + n + size - 1
+            sh = SpanHash(data)(start, end).view(np.int64) if len(start) else np.zeros(0, np.int64)
+            cols = [pa.array(m), chunk.column(0).take(own), chunk.column(1).take(own), pa.array(start - off[d]), pa.array(n), pa.array(sh)]
+            if whole:
+                raw = data.tobytes()
+                cols.append(pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.select("doc", "th", "text", "marks").mapInArrow(run, "m long, doc long, th long, start long, seg binary")
+    return docs.select("doc", "th", "text").mapInArrow(run, "m long, doc long, th long, start long, n long, sh long" + ", seg binary" * whole)
 
 
 class Shard:
@@ -93,17 +102,17 @@ class Shard:
     def __init__(self, folder: str, size: int, held: int):
         self.folder, self.size, self.held = folder, size, held
         self.file = tempfile.NamedTemporaryFile(dir=folder)  # noqa: SIM115
-        self.begin, self.low, self.high, self.m, self.n = array("q"), array("q"), array("q"), array("q"), 0
+        self.begin, self.low, self.high, self.m, self.sh, self.n = array("q"), array("q"), array("q"), array("q"), array("q"), 0
 
-    def add(self, m: int, seg: bytes, low: int, high: int) -> None:
+    def add(self, m: int, sh: int, seg: bytes, low: int, high: int) -> None:
         self.begin.append(self.n)
-        for col, v in ((self.low, low), (self.high, high), (self.m, m)):
+        for col, v in ((self.low, low), (self.high, high), (self.m, m), (self.sh, sh)):
             col.append(v)
         np.append(np.frombuffer(seg, np.uint8).astype(np.uint16) + 1, np.uint16(0)).tofile(self.file)
         self.n += len(seg) + 1
 
-    def results(self) -> Iterator[tuple[int, bytes, list[dict]]]:
-        """Each segment's minimizer and bytes with its windows that some of its documents lose: offset, count, smallest document."""
+    def results(self) -> Iterator[tuple[int, int, list[dict]]]:
+        """Each segment's minimizer and hash with its windows that some of its documents lose: offset, count, smallest document."""
         self.file.flush()
         view = np.memmap(self.file.name, np.uint16, "r", shape=(self.n,))
         symbols = memoryview(view)
@@ -134,15 +143,17 @@ class Shard:
                     spans[-1]["n"] += 1
                 else:
                     spans.append({"o": o, "n": 1, "lo": first})
-            end = self.begin[s + 1] if s + 1 < len(self.begin) else self.n
-            yield self.m[s], (view[self.begin[s] : end - 1] - 1).astype(np.uint8).tobytes(), spans
+            yield self.m[s], self.sh[s], spans
         symbols.release()
         self.file.close()
 
 
+_LOST = "lost array<struct<o:int,n:int,lo:long>>"
+
+
 def _sorted(distinct: DataFrame, shards: int, size: int, held: int) -> DataFrame:
-    """(m, seg, lost) of distinct segments (m, seg, lo, hi), shard by shard."""
-    kinds = pa.schema([("m", pa.int64()), ("seg", pa.binary()), ("lost", pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())])))])
+    """(m, sh, lost) of distinct segments (m, sh, seg, lo, hi), shard by shard."""
+    kinds = pa.schema([("m", pa.int64()), ("sh", pa.int64()), ("lost", pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
@@ -150,40 +161,43 @@ def _sorted(distinct: DataFrame, shards: int, size: int, held: int) -> DataFrame
 
             def done() -> Iterator[pa.RecordBatch]:
                 rows = []
-                for m, seg, lost in shard.results():
-                    rows.append({"m": m, "seg": seg, "lost": lost})
+                for m, sh, lost in shard.results():
+                    rows.append({"m": m, "sh": sh, "lost": lost})
                     if len(rows) >= 5000:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
             for batch in batches:
-                for no, m, seg, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for no, m, sh, seg, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if no != now:
                         if shard:
                             yield from done()
                         now, shard = no, Shard(folder, size, held)
-                    shard.add(m, seg, low, high)
+                    shard.add(m, sh, seg, low, high)
             if shard:
                 yield from done()
 
-    rows = distinct.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "seg", "lo", "hi").repartition(shards, "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "m long, seg binary, lost array<struct<o:int,n:int,lo:long>>")
+    rows = distinct.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "sh", "seg", "lo", "hi").repartition(shards, "shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(run, f"m long, sh long, {_LOST}")
 
 
 def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, held: int = 1 << 17, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes that stay."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = _minimizers(rows, size, piece)
-    shared = found.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
-    marks = found.join(shared, "m").groupBy("doc", "th").agg(F.collect_set(F.struct("m", "start", "n")).alias("marks"))
-    texts = rows.select("doc", "th", "text").dropDuplicates(["doc", "th"])
-    segments = cut(_segments(texts.join(marks, ["doc", "th"]), size))
-    distinct = cut(segments.groupBy("m", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    shared = written(_minimizers(rows, size, piece).groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m"))
+    known = BitMap(shared, F.col("m"), 26)
+    segments = written(_segments(rows, known, size, piece, False).join(shared, "m", "left_semi"))
+    # how many different segments a minimizer has; one alone is lost by all documents but its first, whole
+    kinds = written(segments.groupBy("m", "sh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("n").alias("n")))
+    many = written(kinds.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"))
+    alone = kinds.where("lo < hi").join(many, "m", "left_anti").select("m", "sh", F.array(F.struct(F.lit(0).alias("o"), F.col("n").cast("int").alias("n"), "lo")).alias("lost"))
+    bytes_ = _segments(rows, BitMap(many, F.col("m"), 26), size, piece, True).groupBy("m", "sh").agg(F.first("seg").alias("seg"))
+    distinct = written(bytes_.join(kinds.join(many, "m", "left_semi"), ["m", "sh"]).select("m", "sh", "seg", "lo", "hi"))
     total = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
-    lost = _sorted(distinct, max(8, -(-total // shard_bytes)), size, held)
-    each = segments.join(lost, ["m", "seg"]).select("doc", "th", "start", F.explode("lost").alias("x")).where("x.lo < doc")
+    lost = alone.unionAll(_sorted(distinct, max(8, -(-total // shard_bytes)), size, held))
+    each = segments.join(lost, ["m", "sh"]).select("doc", "th", "start", F.explode("lost").alias("x")).where("x.lo < doc")
     spans = each.select("doc", "th", F.struct((F.col("start") + F.col("x.o")).alias("s"), (F.col("start") + F.col("x.o") + F.col("x.n") - 1 + size).alias("e")).alias("span"))
     spans = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
