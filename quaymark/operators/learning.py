@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +37,19 @@ def legacy_forest(columns: list[str], seed: int = 42) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), rf])
 
 
+def linear(weights: dict[str, float], intercept: float) -> PipelineModel:
+    """A model of known coefficients, which can be saved and loaded like a fitted one; its output is p itself."""
+    total = " + ".join(f"({w!r}D * `{c}`)" for c, w in weights.items())
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({intercept!r}D + {total}))) AS p FROM __THIS__")])
+
+
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with p, the probability of class 1, and confidence."""
+    scored = model.transform(df)
+    if "p" in scored.columns:
+        return scored.withColumn("confidence", F.greatest("p", 1 - F.col("p")))
     p = vector_to_array("probability")
-    return model.transform(df).withColumn("p", p[1]).withColumn("confidence", F.array_max(p)).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("p", p[1]).withColumn("confidence", F.array_max(p)).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
 
 
 def evaluate(pipeline: Pipeline, df: DataFrame, name: str) -> DataFrame:
