@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.operators import learning, preparation
+from quaymark.operators import asof, learning
 from quaymark.streaming import jobs, scoring
 
 from .catalog import ORACLE, QUERIES, Tables, query
@@ -52,3 +52,29 @@ def stream_rejects(t):
     _, rejected, batches = scoring.committed(t.spark, score_stream(t))
     sums = batches.select(F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in ("accepted", "flagged")])).alias("x")).groupBy("x.outcome").agg(F.sum("x.n").alias("n"))
     return rejected.groupBy(F.col("problem").alias("outcome")).agg(F.count("*").alias("n")).unionByName(sums)
+
+
+_CHANGES = "changes AS (SELECT user_id, ts AS changed, max(event_id) AS change_id FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id, ts)"
+
+
+def _asof(t: Tables, tolerance: str | None, **more) -> DataFrame:
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    left = e.where("event_type = 'purchase'").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("user_id")).alias("user_id"), "ts")
+    right = e.where("event_type IN ('signup', 'error')").select("user_id", F.col("ts").alias("changed"), F.col("event_id").alias("change_id"), "event_type")
+    return asof.as_of(left, right, ["user_id"], "ts", "changed", ["change_id", "event_type"], "change_id", tolerance, **more)
+
+
+_ASOF = f"WITH {_CHANGES}, p AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN user_id END AS user_id, ts FROM events WHERE event_type = 'purchase'), j AS (SELECT p.*, changed, change_id FROM p ASOF LEFT JOIN changes c ON p.user_id = c.user_id AND p.ts >= c.changed)"
+
+
+@query("asof_context", f"{_ASOF} SELECT j.event_id, changed, change_id, e.event_type AS kind FROM j LEFT JOIN events e ON e.event_id = change_id")
+def asof_context(t):
+    """Each purchase with the user's last sign-up or error before it, whenever that was."""
+    return _asof(t, None).select("event_id", F.col("changed_found").alias("changed"), "change_id", F.col("event_type").alias("kind"))
+
+
+@query("asof_churn", f"{_ASOF} SELECT coalesce(CAST(ts - changed <= INTERVAL 10 MINUTES AS INT), 0) AS churn, count(*) AS n, count(DISTINCT user_id) AS users FROM j GROUP BY churn")
+def asof_churn(t):
+    """Purchases whose user had a sign-up or error within the ten minutes before, and the others."""
+    j = _asof(t, "10 minutes")
+    return j.groupBy(F.col("change_id").isNotNull().cast("int").alias("churn")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
