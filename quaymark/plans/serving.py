@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.operators import asof, learning
-from quaymark.streaming import jobs, scoring
+from quaymark.streaming import jobs, scoring, store
 
 from .catalog import ORACLE, QUERIES, Tables, query
 from .preparing import _stream
@@ -78,3 +78,34 @@ def asof_churn(t):
     """Purchases whose user had a sign-up or error within the ten minutes before, and the others."""
     j = _asof(t, "10 minutes")
     return j.groupBy(F.col("change_id").isNotNull().cast("int").alias("churn")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("stream_session_store", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+ SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total, round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 0), 6) AS per_minute, max_by(event_type, (ts, event_id)) AS last_type FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES""")
+def stream_session_store(t):
+    """Sessions that the store has closed: length, rate and last context."""
+    found = jobs.run(store.sessions(_stream(t)), "append").where("closed")
+    return found.select("user_id", "start", "n", F.round("total", 4).alias("total"), F.round("per_minute", 6).alias("per_minute"), "last_type")
+
+
+_RANKED = "SELECT date_trunc('hour', ts) AS hour, count(value) AS n FROM events GROUP BY hour"
+
+
+@query("stream_quantile_sketch", f"SELECT hour AS start, n, true AS median_near, true AS p95_near FROM ({_RANKED})")
+def stream_quantile_sketch(t):
+    """Hours' sketched median and 95th percentile from a stream, each held against its true rank: within a hundredth."""
+    found = jobs.sketch_quantiles(jobs.run(jobs.sketched(_stream(t), "1 hour"), "complete"), [0.5, 0.95])
+    true = t.events.select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), "value").join(found, "start")
+    rank = lambda i, op: F.count_if(op(F.col("value"), F.col("quantiles")[i])) / F.max("n")
+    near = lambda i, q: (rank(i, lambda a, b: a < b) <= q + 0.01) & (rank(i, lambda a, b: a <= b) >= q - 0.01)
+    return true.groupBy("start").agg(F.max("n").alias("n"), near(0, 0.5).alias("median_near"), near(1, 0.95).alias("p95_near"))
+
+
+@query("merged_quantile_sketch", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(value) AS n, true AS near FROM events GROUP BY day")
+def merged_quantile_sketch(t):
+    """Days' medians from five-minute sketches, without the values; each within a hundredth of its true rank."""
+    day = F.to_date("start").cast("string").alias("day")
+    days = jobs.sketch_quantiles(jobs.merged(jobs.sketched(t.events), day), [0.5])
+    true = t.events.select(F.to_date("ts").cast("string").alias("day"), "value").join(days, "day")
+    below, upto = (F.count_if(c) / F.max("n") for c in (F.col("value") < F.col("quantiles")[0], F.col("value") <= F.col("quantiles")[0]))
+    return true.groupBy("day").agg(F.max("n").alias("n"), ((below <= 0.51) & (upto >= 0.49)).alias("near"))
