@@ -67,25 +67,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def best_match(df: DataFrame, corpus: DataFrame, block: int = 1024) -> DataFrame:
-    """df (vec_id, embedding) with ``best``, the greatest cosine with any vector of corpus (id, embedding).
-
-    The corpus is broadcast in blocks of about ``block`` vectors, one pass each; vectors are scaled to length 1 once.
-    """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    plain = lambda c: F.transform(c, lambda x: x.cast("double"))
-    unit = lambda c: F.transform(plain(c), lambda x: F.try_divide(x, F.sqrt(dot(plain(c), plain(c)))))
-    blocks = -(-corpus.count() // block)
-    known, rows, out = corpus.select(F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))).alias("b"), unit(F.col("embedding")).alias("v")), df.select("vec_id", unit(F.col("embedding")).alias("u")), None
-    for b in range(blocks):
-        own = F.broadcast(known.where(F.col("b") == b).agg(F.collect_list("v").alias("c")))  # one row of bounded size
-        part = rows.crossJoin(own).select("vec_id", F.array_max(F.transform("c", lambda v: dot(F.col("u"), v))).alias("best"))
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return df.select("vec_id", F.lit(None).cast("double").alias("best"))
-    return out if blocks == 1 else out.groupBy("vec_id").agg(F.max("best").alias("best"))
-
-
 def violations(url: Column, ts: Column, confidence: Column) -> Column:
     """Names of the rules that a record breaks."""
     rules = {"url": ~F.coalesce(url, F.lit("")).rlike("^https?://"), "timestamp": ts.isNull() | (F.year(ts) < 2000), "confidence": ~F.coalesce(confidence.between(0, 1), F.lit(False))}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import payloads, urls
 from quaymark.operators import events as ev
-from quaymark.operators import metrics, sampling
+from quaymark.operators import metrics, sampling, similarity
 from quaymark.sources import feeds
 from quaymark.streaming import jobs
 
@@ -479,7 +479,7 @@ def ngram_counts(t):
 @query("corpus_similarity", "WITH c AS (SELECT embedding FROM embeddings WHERE vec_id % 50 = 0) SELECT e.vec_id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS best, CAST(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) >= 0.75 AS INT) AS flagged FROM embeddings e, c GROUP BY e.vec_id")
 def corpus_similarity(t):
     """Every vector against the stated reference set, which grows with the table: the rows whose id is divisible by 50."""
-    best = payloads.best_match(t.embeddings.select("vec_id", "embedding"), t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"))
+    best = similarity.best_match(t.embeddings.select("vec_id", "embedding"), t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"))
     return best.select("vec_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.75).cast("int").alias("flagged"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.operators import asof, learning
+from quaymark.operators import asof, learning, similarity
 from quaymark.streaming import jobs, scoring, store
 
 from .catalog import ORACLE, QUERIES, Tables, query
@@ -109,3 +109,10 @@ def merged_quantile_sketch(t):
     true = t.events.select(F.to_date("ts").cast("string").alias("day"), "value").join(days, "day")
     below, upto = (F.count_if(c) / F.max("n") for c in (F.col("value") < F.col("quantiles")[0], F.col("value") <= F.col("quantiles")[0]))
     return true.groupBy("day").agg(F.max("n").alias("n"), ((below <= 0.51) & (upto >= 0.49)).alias("near"))
+
+
+@query("similar_prompts", "WITH c AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT e.vec_id, id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS cosine FROM embeddings e, c WHERE e.vec_id <> id) SELECT vec_id, id, round(cosine, 6) AS cosine FROM x WHERE cosine >= 0.3")
+def similar_prompts(t):
+    """Pairs of a vector and one of the stated reference set, whose ids are divisible by 50, from a cosine on."""
+    corpus = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    return similarity.similar(t.embeddings, corpus, 0.3).where("vec_id <> id").select("vec_id", "id", F.round("cosine", 6).alias("cosine"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaymark.sources.shared import folder
+
 
 def events(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
     """The events as a stream with a watermark; ts must be a timestamp to carry one."""
@@ -22,13 +21,8 @@ def events(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFram
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where the session names none."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        home = "file://" + tempfile.mkdtemp(prefix="quaymark-")
-    return f"{home}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return folder(spark, "stream")
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
