@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions import distributions as dist
+
 #: The 99 thresholds from 0.01 to 0.99.
 GRID = [0.01 + i * ((0.99 - 0.01) / 98) for i in range(99)]
 
@@ -96,60 +98,61 @@ def mcnemar(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return n.select("b", "c", F.round(ratio(F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2), F.col("b") + F.col("c")), 6).alias("chi2"))
 
 
-def upper_tail(z: Column) -> Column:
-    """1 - erf(z / sqrt 2), the chance of a normal value as far from 0 as z, by a rational approximation good to 2e-7."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
-
-
 def mcnemar_test(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """mcnemar with the p-value of its chi squared of one degree of freedom."""
-    return mcnemar(df, threshold).withColumn("p_value", F.round(upper_tail(F.sqrt("chi2")), 5))
+    """mcnemar with the p-value of its chi squared of one degree of freedom; 1 where the scores never disagree."""
+    return mcnemar(df, threshold).withColumn("p_value", F.round(dist.chi2_p(F.col("chi2"), F.lit(1.0)), 9))
 
 
-def student_z(t: Column, n: Column) -> Column:
-    """A normal value as far out as t of n - 1 degrees of freedom, to about 1e-3 of it from ten degrees on."""
-    v = n - 1
-    return t * (1 - 1 / (4.0 * v)) / F.sqrt(1 + t * t / (2.0 * v))
+def interval(df: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """Mean with its t-interval, in one row: without bounds for fewer than two values, without a mean for none."""
+    g = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.try_divide(F.stddev_samp(value), F.sqrt(F.count(value))).alias("sem"))
+    q = dist.t_at(F.lit((1 + share) / 2), (F.col("n") - 1).cast("double"))
+    g = g.withColumn("q", q)
+    return g.select("n", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), F.round(F.col("mean") - F.col("q") * F.col("sem"), 6).alias("low"), F.round(F.col("mean") + F.col("q") * F.col("sem"), 6).alias("high"))
 
 
-def interval(df: DataFrame, value: str, z: float = 1.959964) -> DataFrame:
-    """Mean with its 95 % t-interval; the quantile is expanded from the normal one, to 1e-3 from ten rows on."""
-    m, s, n = F.avg(value), F.stddev_samp(value), F.count(value)
-    v = F.col("n") - 1
-    q = z + (z**3 + z) / (4.0 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96.0 * v * v)
-    g = df.agg(n.alias("n"), m.alias("mean"), F.try_divide(s, F.sqrt(n)).alias("sem"))
-    return g.select("n", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), F.round(F.col("mean") - q * F.col("sem"), 5).alias("low"), F.round(F.col("mean") + q * F.col("sem"), 5).alias("high"))
-
-
-def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Mean difference of a and b, t and Wilcoxon's normal value of the signed ranks, with their two-sided p-values.
+def signed_ranks(d: DataFrame) -> DataFrame:
+    """Of differences d, in one row: w, the sum of the ranks of those above 0; k, how many aren't 0; tied, the sum of m^3 - m
+    over sizes that m share; few, all ranks where there are at most 25, else null.
 
     Ranks come from counts of distinct sizes of differences, dealt into ranges so that no task sorts all of them.
     """
-    d = df.select((F.col(a) - F.col(b)).alias("d"))
     size = F.round(F.abs("d"), 9)
     ties = d.where(size > 0).groupBy(size.alias("a")).agg(F.count("*").alias("m"), F.count_if(F.col("d") > 0).alias("up"))
     parts = ties.withColumn("part", F.floor(F.log2(1 + F.col("a")) * 1024))
     before = parts.groupBy("part").agg(F.sum("m").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))  # a row a range
     inner = F.sum("m").over(Window.partitionBy("part").orderBy("a")) - F.col("m")
-    ranks = parts.withColumn("k", inner).join(before, "part").select("m", "up", (F.col("base") + F.col("k") + (F.col("m") + 1) / 2.0).alias("rank"))
-    w = ranks.agg(F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum("m").cast("double").alias("k"), F.sum(F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")).alias("tied"))
-    k, spread = F.col("k"), F.sqrt(F.col("k") * (F.col("k") + 1) * (2 * F.col("k") + 1) / 24.0 - F.col("tied") / 48.0)
-    z = F.try_divide(F.col("w") - k * (k + 1) / 4.0, spread)
-    t = F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))
-    g = d.agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), t.alias("t"))
-    out = g.crossJoin(F.broadcast(w.select(z.alias("z"))))
-    return out.select("n", "mean", F.round("t", 4).alias("t"), F.round(upper_tail(student_z(F.col("t"), F.col("n"))), 4).alias("t_p"), F.round("z", 4).alias("z"), F.round(upper_tail(F.col("z")), 4).alias("wilcoxon_p"))
+    ranks = parts.withColumn("k", inner).join(before, "part").select("m", "up", (F.col("base") + F.col("k") + (F.col("m") + 1) / 2.0).alias("rank"), F.col("base") + F.col("k") < dist.EXACT_PAIRS)
+    first = F.filter(F.collect_list(F.when(ranks[ranks.columns[3]], F.struct("rank", "m"))), lambda x: x.isNotNull())  # at most 25 sizes
+    few = F.flatten(F.transform(first, lambda x: F.array_repeat(x["rank"], F.least(x["m"], F.lit(dist.EXACT_PAIRS + 1)).cast("int"))))
+    g = ranks.agg(F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w"), F.coalesce(F.sum("m"), F.lit(0)).cast("double").alias("k"), F.coalesce(F.sum(F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")), F.lit(0.0)).alias("tied"), few.alias("few"))
+    return g.withColumn("few", F.when(F.col("k") <= dist.EXACT_PAIRS, F.col("few")))
+
+
+def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean difference of a and b, Student's t and Wilcoxon's normal value of the signed ranks, with their two-sided p-values.
+
+    One row always. Up to 25 pairs that differ, Wilcoxon's p-value is exact, of all ways to sign the ranks at hand; above, that
+    of the normal value. t and its p-value are null for fewer than two pairs; without spread t is null and the p-value 1 if
+    the columns are equal, else 0; z is null and its p-value 1 if no pair differs. Pairs with a null don't count.
+    """
+    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d is not null")
+    k = F.col("k")
+    z = F.try_divide(F.col("w") - k * (k + 1) / 4.0, F.sqrt(k * (k + 1) * (2 * k + 1) / 24.0 - F.col("tied") / 48.0))
+    spread = F.stddev_samp("d")
+    g = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), spread.alias("s"), F.try_divide(F.avg("d"), spread / F.sqrt(F.count("*"))).alias("t"))
+    out = g.crossJoin(F.broadcast(signed_ranks(d).withColumn("z", z)))  # one row each
+    flat = (F.col("n") > 1) & (F.col("s") == 0)
+    p = F.when(flat, (F.col("mean") == 0).cast("double")).otherwise(F.col("tp"))
+    out = out.withColumns({"tp": dist.t_p(F.coalesce("t", F.lit(float("nan"))), (F.col("n") - 1).cast("double")), "np": dist.normal_p(F.coalesce("z", F.lit(0.0))), "sp": dist.signed_rank_p("w", "few")})
+    return out.select("n", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"), F.round(p, 9).alias("t_p"), F.round("z", 4).alias("z"), F.when(F.col("n") > 0, F.round(F.coalesce("sp", "np"), 9)).alias("wilcoxon_p"))
 
 
 def gate(df: DataFrame, latency: str, target: float, threshold: float = 0.5) -> DataFrame:
     """A detector's report in one row: accuracy, F1, average and 95th percentile of latency, and whether that is under target."""
     p = quantiles(df, latency, [0.95]).select(F.round(F.col("p")[0], 6).alias("p95"))
     row = rates(confusion(df, threshold)).select("accuracy", "f1").crossJoin(F.broadcast(df.agg(F.round(F.avg(latency), 6).alias("avg_latency"))))
-    return row.crossJoin(F.broadcast(p)).withColumn("meets_target", (F.col("p95") < target).cast("int"))
+    return row.join(F.broadcast(p), F.lit(True), "left").withColumn("meets_target", (F.col("p95") < target).cast("int"))
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:

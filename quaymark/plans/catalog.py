@@ -296,14 +296,8 @@ def holm_adjustment(t):
 @query("paired_statistics", f"WITH {_S}, d AS (SELECT p - q AS d FROM s), r AS (SELECT d, abs(d) AS a, rank() OVER (ORDER BY round(abs(d), 9)) AS k, count(*) OVER (PARTITION BY round(abs(d), 9)) AS m FROM d WHERE abs(d) > 1e-9), w AS (SELECT sum(CASE WHEN d > 0 THEN k + (m - 1) / 2e0 END) AS w FROM r) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(avg(d) / stddev_samp(d), 6) AS cohen_d, round(stddev_samp(d) / sqrt(count(*)), 6) AS sem, round(any_value(w), 4) AS wilcoxon FROM d, w")
 def paired_statistics(t):
     d = scored(t).select((F.col("p") - F.col("q")).alias("d"))
-    ties = d.where("abs(d) > 1e-9").groupBy(F.round(F.abs("d"), 9).alias("a")).agg(F.count("*").alias("m"), F.count_if(F.col("d") > 0).alias("up"))
-    from pyspark.sql import Window
-
-    below = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)  # distinct sizes of differences
-    ranks = ties.select("up", "m", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("k"))
-    w = ranks.agg(F.sum(F.col("up") * (F.col("k") + (F.col("m") + 1) / 2.0)).alias("w"))
     m, s, n = F.avg("d"), F.stddev_samp("d"), F.count("*")
-    return d.agg(n.alias("n"), F.round(m, 6).alias("mean"), F.round(m / (s / F.sqrt(n)), 4).alias("t"), F.round(m / s, 6).alias("cohen_d"), F.round(s / F.sqrt(n), 6).alias("sem")).crossJoin(F.broadcast(w.select(F.round("w", 4).alias("wilcoxon"))))
+    return d.agg(n.alias("n"), F.round(m, 6).alias("mean"), F.round(m / (s / F.sqrt(n)), 4).alias("t"), F.round(m / s, 6).alias("cohen_d"), F.round(s / F.sqrt(n), 6).alias("sem")).crossJoin(F.broadcast(metrics.signed_ranks(d).select(F.round("w", 4).alias("wilcoxon"))))
 
 
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -138,27 +138,31 @@ def split_counters(t):
     return pre.split_counters(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", (_START, _END), _HOLES)
 
 
-_X = lambda z: f"(abs({z}) / sqrt(2e0))"
-_TAIL = lambda z: f"((1 / (1 + 0.3275911 * {_X(z)})) * (0.254829592 + (1 / (1 + 0.3275911 * {_X(z)})) * (-0.284496736 + (1 / (1 + 0.3275911 * {_X(z)})) * (1.421413741 + (1 / (1 + 0.3275911 * {_X(z)})) * (-1.453152027 + (1 / (1 + 0.3275911 * {_X(z)})) * 1.061405429)))) * exp(-{_X(z)} * {_X(z)}))"
+# tails by Simpson's rule on the densities, 2,000 steps
+_SIMPSON = lambda top, density, steps=2000: f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density(f'(({top}) * i / {steps}e0)')})) * ({top}) / {3 * steps}e0)"
+_NORMAL_P = lambda z: f"(1 - 2 * {_SIMPSON(f'least(abs({z}), 12)', lambda x: f'exp(-{x} * {x} / 2)')} / sqrt(2 * pi()))"
+_T_DENSITY = lambda v: (lambda x: f"exp(lgamma(({v} + 1) / 2e0) - lgamma({v} / 2e0) - ({v} + 1) / 2e0 * ln(1 + {x} * {x} / {v})) / sqrt({v} * pi())")
+_T_P = lambda t, v: f"(1 - 2 * {_SIMPSON(f'abs({t})', _T_DENSITY(v))})"
 _ODDS = f"WITH {_S}, o AS (SELECT count(*) FILTER (a AND NOT d) AS b, count(*) FILTER (NOT a AND d) AS c FROM (SELECT (p >= 0.5) = (y = 1) AS a, (q >= 0.5) = (y = 1) AS d FROM s)), x AS (SELECT b, c, round(coalesce(pow(abs(b - c) - 1, 2) / nullif(CAST(b + c AS DOUBLE), 0), 0), 6) AS chi2 FROM o)"
 
 
-@query("mcnemar_test", f"{_ODDS} SELECT b, c, chi2, round({_TAIL('sqrt(chi2)')}, 5) AS p_value FROM x")
+@query("mcnemar_test", f"{_ODDS} SELECT b, c, chi2, round({_NORMAL_P('sqrt(chi2)')}, 9) AS p_value FROM x")
 def mcnemar_test(t):
     return metrics.mcnemar_test(scored(t))
 
 
-_Q = "(1.959964 + (1.959964 ** 3 + 1.959964) / (4e0 * (n - 1)) + (5 * 1.959964 ** 5 + 16 * 1.959964 ** 3 + 3 * 1.959964) / (96e0 * (n - 1) * (n - 1)))"
+# the t quantile by Newton's method from the normal one, each step with the integral of the density
+_NEWTON = lambda a, b: f"{b} AS (SELECT n, m, s, v, x - (0.5 + {_SIMPSON('x', _T_DENSITY('v'))} - 0.975e0) / ({_T_DENSITY('v')('x')}) AS x FROM {a})"
 
 
-@query("t_interval", f"WITH g AS (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS s FROM events) SELECT n, round(m, 6) AS mean, round(s, 6) AS sem, round(m - {_Q} * s, 5) AS low, round(m + {_Q} * s, 5) AS high FROM g")
+@query("t_interval", f"WITH g0 AS (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS s, CAST(count(value) - 1 AS DOUBLE) AS v, 1.96e0 AS x FROM events), {_NEWTON('g0', 'g1')}, {_NEWTON('g1', 'g2')}, {_NEWTON('g2', 'g3')}, {_NEWTON('g3', 'g4')} SELECT n, round(m, 6) AS mean, round(s, 6) AS sem, round(m - x * s, 6) AS low, round(m + x * s, 6) AS high FROM g4")
 def t_interval(t):
     return metrics.interval(t.events, "value")
 
 
 @query("paired_tests", f"""WITH {_S}, d AS (SELECT p - q AS d FROM s), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 9)) + (count(*) OVER (PARTITION BY round(abs(d), 9)) - 1) / 2e0 AS k, count(*) OVER (PARTITION BY round(abs(d), 9)) AS m FROM d WHERE round(abs(d), 9) > 0),
  w AS (SELECT sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w, CAST(count(*) AS DOUBLE) AS k, sum(CAST(m AS DOUBLE) * m - 1) AS tied FROM r), z AS (SELECT (w - k * (k + 1) / 4) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - tied / 48) AS z FROM w),
- g AS (SELECT count(*) AS n, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d) SELECT n, round(m, 6) AS mean, round(t, 4) AS t, round({_TAIL('(t * (1 - 1 / (4e0 * (n - 1))) / sqrt(1 + t * t / (2e0 * (n - 1))))')}, 4) AS t_p, round(z, 4) AS z, round({_TAIL('z')}, 4) AS wilcoxon_p FROM g, z""")
+ g AS (SELECT count(*) AS n, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d) SELECT n, round(m, 6) AS mean, round(t, 4) AS t, round({_T_P('t', '(n - 1)')}, 9) AS t_p, round(z, 4) AS z, round({_NORMAL_P('z')}, 9) AS wilcoxon_p FROM g, z""")
 def paired_tests(t):
     return metrics.paired_tests(scored(t), "p", "q")
 
