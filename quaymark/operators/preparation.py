@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaymark.functions import payloads, urls
 from quaymark.sources import feeds
 
+from . import sampling
+
 # The order of a request's features, and the rows that augmentation adds.
 FEATURES = [
     "url_length", "domain_length", "path_length", "num_dots", "num_hyphens", "num_underscores", "num_slashes", "has_ip", "is_https", "has_port", "num_params",
@@ -53,13 +55,13 @@ def feature_frame(df: DataFrame, source: str, profile: str = "url_plus_telemetry
     """The model's 15 columns with label, time and source of rows in normal form.
 
     A null label is 1 and null numbers are 0; ``url_only`` zeroes what isn't read off the URL; where no augmentation has
-    marked endpoints, the wide patterns do.
+    marked endpoints, the six narrow patterns do.
     """
     if profile not in ("url_only", "url_plus_telemetry"):
         raise ValueError(f"unknown profile {profile}")
     have = set(df.columns)
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have and profile != "url_only" else F.lit(0.0)
-    endpoint = F.coalesce(F.col("is_ai_endpoint").cast("boolean"), F.lit(False)).cast("int") if "is_ai_endpoint" in have else urls.ai_endpoint(F.col("url"))
+    endpoint = F.coalesce(F.col("is_ai_endpoint").cast("boolean"), F.lit(False)).cast("int") if "is_ai_endpoint" in have else urls.ai_endpoint(F.col("url"), urls.AI_NARROW)
     url = {k: c.alias(k) for k, c in urls.features(F.coalesce(F.col("url"), F.lit(""))).items()}
     rest = {"is_ai_endpoint": endpoint, "prompt_tokens": number("tokens_prompt"), "completion_tokens": number("tokens_completion"), "latency_ms": number("latency_ms")}
     label = F.coalesce(F.col("is_phishing").cast("int"), F.lit(1)) if "is_phishing" in have else F.lit(1)
@@ -77,11 +79,16 @@ def taxonomy_split(text: Column, default: str = "LLM01") -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
+def draw(key: Column, name: str) -> Column:
+    """A number from 0 to 2^32 - 1 that looks drawn at random, repeatable, and for each name another."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{name}:"), key.cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long")
+
+
 def assign_taxonomy(df: DataFrame, key: Column, owasp: str | list[str] | None = None, atlas: list[str] | None = None) -> DataFrame:
-    """A category and a tactic for each phishing row, evenly by key; BENIGN and N/A for all others."""
+    """A category and a tactic for each phishing row, drawn evenly and each by itself from the key; BENIGN and N/A for all others."""
     names, tactics = taxonomy_list(owasp, "LLM01"), taxonomy_list(atlas, "TA0042")
     bad = F.col("is_phishing") == 1
-    return df.withColumns({"owasp_category": F.when(bad, feeds.pick(names, key)).otherwise("BENIGN"), "atlas_tactic": F.when(bad, feeds.pick(tactics, key * 7 + 3)).otherwise("N/A")})
+    return df.withColumns({"owasp_category": F.when(bad, feeds.pick(names, draw(key, "category"))).otherwise("BENIGN"), "atlas_tactic": F.when(bad, feeds.pick(tactics, draw(key, "tactic"))).otherwise("N/A")})
 
 
 def record_id(source: Column, ts: Column) -> Column:
@@ -117,6 +124,26 @@ def spot_checks(ratings: DataFrame, share: float = 0.2, every: int = 50) -> Data
     return g.select("reviewer", "n", "checked", (F.col("checked") >= F.lit(share) * F.col("n")).cast("int").alias("enough"), F.floor(F.col("n") / every).alias("checks_due"))
 
 
+def agreement_checks(ratings: DataFrame, order: str, every: int = 50) -> DataFrame:
+    """reviewer, check (from 0), pairs, agreement, kappa: of each full run of ``every`` rows by order, the agreement of the first
+    and second labels of those that have both.
+
+    ratings: reviewer, first, second and the order. A run without pairs has no agreement and no kappa; kappa is 1 where
+    chance agreement is certain.
+    """
+    place = sampling.ranked(ratings, order, "reviewer", name="ac_i")
+    runs = place.withColumn("check", F.floor(F.col("ac_i") / every))
+    full = runs.groupBy("reviewer", "check").agg(F.count("*").alias("ac_n")).where(F.col("ac_n") == every)
+    cell = runs.where("first is not null AND second is not null").groupBy("reviewer", "check", "first", "second").agg(F.count("*").cast("double").alias("n"))
+    sums = cell.groupBy("reviewer", "check").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("first") == F.col("second"), F.col("n")).otherwise(0.0)).alias("same"))
+    side = lambda c, n: cell.groupBy("reviewer", "check", F.col(c).alias("label")).agg(F.sum("n").alias(n))
+    chance = side("first", "x").join(side("second", "y"), ["reviewer", "check", "label"]).groupBy("reviewer", "check").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    both = full.join(sums, ["reviewer", "check"], "left").join(chance, ["reviewer", "check"], "left")
+    po, pe = F.col("same") / F.col("t"), F.coalesce("xy", F.lit(0.0)) / (F.col("t") * F.col("t"))
+    kappa = F.when(F.col("t").isNotNull(), F.coalesce(F.try_divide(po - pe, 1 - pe), F.lit(1.0)))
+    return both.select("reviewer", "check", F.coalesce(F.col("t").cast("long"), F.lit(0)).alias("pairs"), F.round(po, 6).alias("agreement"), F.round(kappa, 6).alias("kappa"))
+
+
 def rater_pairs(pairs: DataFrame, log: DataFrame) -> DataFrame:
     """pairs with the log's label; of several log rows of a record the latest counts, so no pair is multiplied."""
     last = log.groupBy("record_id").agg(F.max_by("label", F.struct("timestamp", "label")).alias("log_label"), F.count("*").alias("log_rows"))

@@ -51,7 +51,7 @@ def missing_source(t):
 _N = lambda c: f"CAST(length(u) - length(replace(u, '{c}', '')) AS BIGINT)"
 _PARTS = f"""c AS ({_CRAWL}), p AS (SELECT *, coalesce(url, '') AS u FROM c), q AS (SELECT *, regexp_extract(u, '^[a-zA-Z]+://([^/]+)', 1) AS netloc, regexp_extract(u, '^[a-zA-Z]+://[^/]+([^?#]*)', 1) AS path, regexp_extract(u, '[?]([^#]*)', 1) AS query FROM p)"""
 _FRAME = f"""WITH {_PARTS} SELECT page_id, length(u) AS url_length, length(netloc) AS domain_length, length(path) AS path_length, {_N(".")} AS num_dots, {_N("/")} AS num_slashes, CAST(starts_with(u, 'https://') AS INT) AS is_https,
- CAST(regexp_matches(u, '{"|".join(urls.AI_WIDE)}') AS INT) AS is_ai_endpoint, CAST(page_id % 90 AS DOUBLE) AS prompt_tokens, 0e0 AS completion_tokens, coalesce(CASE WHEN page_id % 3 > 0 THEN CAST(page_id AS DOUBLE) END, 0) AS latency_ms, coalesce(is_phishing, 1) AS is_phishing FROM q"""
+ CAST(contains(u, '/v1/chat/completions') OR contains(u, '/v1/completions') OR contains(u, '/v1/embeddings') OR contains(u, '/v1/models') OR contains(u, '/inference') OR contains(u, '/predict') AS INT) AS is_ai_endpoint, CAST(page_id % 90 AS DOUBLE) AS prompt_tokens, 0e0 AS completion_tokens, coalesce(CASE WHEN page_id % 3 > 0 THEN CAST(page_id AS DOUBLE) END, 0) AS latency_ms, coalesce(is_phishing, 1) AS is_phishing FROM q"""
 
 
 def frame(t: Tables, profile: str = "url_plus_telemetry") -> DataFrame:
@@ -80,9 +80,10 @@ def model_input(t):
 
 
 _OWASP = "LLM01, LLM05,, LLM09 "
+_DRAW = lambda name: f"CAST('0x' || left(md5('{name}:' || doc_id), 8) AS BIGINT)"
 
 
-@query("assign_taxonomy", f"SELECT doc_id, CASE WHEN toxic = 1 THEN {_PICK(['LLM01', 'LLM05', 'LLM09'], 'doc_id')} ELSE 'BENIGN' END AS owasp_category, CASE WHEN toxic = 1 THEN {_PICK(['TA0031', 'TA0042'], 'doc_id * 7 + 3')} ELSE 'N/A' END AS atlas_tactic FROM labels")
+@query("assign_taxonomy", f"SELECT doc_id, CASE WHEN toxic = 1 THEN {_PICK(['LLM01', 'LLM05', 'LLM09'], _DRAW('category'))} ELSE 'BENIGN' END AS owasp_category, CASE WHEN toxic = 1 THEN {_PICK(['TA0031', 'TA0042'], _DRAW('tactic'))} ELSE 'N/A' END AS atlas_tactic FROM labels")
 def assign_taxonomy(t):
     return pre.assign_taxonomy(t.labels.withColumn("is_phishing", F.col("toxic")), F.col("doc_id"), _OWASP, ["TA0031", "TA0042"]).select("doc_id", "owasp_category", "atlas_tactic")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.operators import asof, learning, similarity
+from quaymark.operators import asof, distinct, learning, preparation, similarity
+from quaymark.sources import feeds
 from quaymark.streaming import jobs, scoring, store
 
 from .catalog import ORACLE, QUERIES, Tables, query
@@ -116,3 +117,42 @@ def similar_prompts(t):
     """Pairs of a vector and one of the stated reference set, whose ids are divisible by 50, from a cosine on."""
     corpus = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding")
     return similarity.similar(t.embeddings, corpus, 0.3).where("vec_id <> id").select("vec_id", "id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("first_in_file_order", "SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS ordinal, l_orderkey, l_linenumber FROM lineitem LIMIT 5000")
+def first_in_file_order(t):
+    """The first rows of a table as they stand in its files (how many is what is asked for)."""
+    rows = feeds.numbered(t.lineitem.select("l_orderkey", "l_linenumber"), until=5000)
+    return rows.where("ordinal < 5000").select("ordinal", "l_orderkey", "l_linenumber")
+
+
+@query("file_order_gaps", "WITH r AS (SELECT row_number() OVER () - 1 AS i, l_orderkey AS k FROM lineitem) SELECT count(*) AS n, CAST(max(i) AS BIGINT) AS last, CAST(sum(i * (k % 97)) AS BIGINT) AS weighed FROM r")
+def file_order_gaps(t):
+    """Every row's place in its file, summed up with a weight that another order would change."""
+    rows = feeds.numbered(t.lineitem.select("l_orderkey"), "i")
+    return rows.agg(F.count("*").alias("n"), F.max("i").alias("last"), F.sum(F.col("i") * (F.col("l_orderkey") % 97)).alias("weighed"))
+
+
+_RATED = "r AS (SELECT source AS reviewer, doc_id, quality AS a, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END END AS b, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS k FROM documents JOIN labels USING (doc_id))"
+
+
+@query("agreement_checks", f"""WITH {_RATED}, f AS (SELECT reviewer, k FROM r GROUP BY ALL HAVING count(*) = 50), g AS (SELECT reviewer, k, count(b) AS t, count(*) FILTER (a = b) / CAST(nullif(count(b), 0) AS DOUBLE) AS po, avg(a) FILTER (b IS NOT NULL) AS pa, avg(b) AS pb FROM r JOIN f USING (reviewer, k) GROUP BY ALL)
+ SELECT reviewer, CAST(k AS BIGINT) AS "check", t AS pairs, round(po, 6) AS agreement, round(CASE WHEN t > 0 THEN coalesce((po - (pa * pb + (1 - pa) * (1 - pb))) / nullif(1 - (pa * pb + (1 - pa) * (1 - pb)), 0), 1) END, 6) AS kappa FROM g""")
+def agreement_checks(t):
+    """Cohen's kappa of every fifty ratings of a reviewer."""
+    d = t.documents.select("doc_id", F.col("source").alias("reviewer")).join(t.labels, "doc_id")
+    second = F.when(F.col("doc_id") % 4 == 0, F.when(F.col("doc_id") % 3 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    return preparation.agreement_checks(d.select("reviewer", "doc_id", F.col("quality").alias("first"), second.alias("second")), "doc_id")
+
+
+@query("distinct_sketches", "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events FROM events GROUP BY day) SELECT day, users, events, true AS near FROM d UNION ALL SELECT 'all', (SELECT count(DISTINCT user_id) FROM events), (SELECT count(DISTINCT event_id) FROM events), true")
+def distinct_sketches(t):
+    """Distinct users and events by day and in all, exactly, and whether the stored days' sketches come within a fiftieth."""
+    home = jobs.shared(t.spark)
+    days = t.events.select(F.to_date("ts").cast("string").alias("day"), "user_id", "event_id")
+    distinct.store(days, "day", ["user_id", "event_id"], home)
+    near = distinct.by_key(t.spark, home, "day").unionByName(distinct.overall(t.spark, home).withColumn("day", F.lit("all")))
+    exact = days.groupBy("day").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_id").alias("events"))
+    whole = days.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_id").alias("events")).withColumn("day", F.lit("all"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(0.02 * F.col(b), F.lit(0.5))
+    return exact.unionByName(whole).join(near, "day").select("day", "users", "events", (close("user_id", "users") & close("event_id", "events")).alias("near"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NORMAL = "url string, target string, verified boolean, timestamp timestamp, is_phishing int, tokens_prompt double, tokens_completion double, latency_ms double"
@@ -22,7 +22,32 @@ def read_feed(spark: SparkSession, path: str, schema: str | None = None, header:
         df = reader.option("multiLine", True).json(path)
     else:
         df = reader.option("header", header).option("comment", "#").option("mode", "PERMISSIVE").csv(path)
-    return df.limit(limit) if limit else df
+    return first(df, limit) if limit else df
+
+
+def numbered(df: DataFrame, name: str = "ordinal", until: int | None = None) -> DataFrame:
+    """A frame that a file reader gave, with each row's number from 0 in the order of file names and of rows within a file.
+
+    Rows are counted for each input split; the counts of the splits before, a row a split, say where a split begins, and rows
+    are numbered within their split only, so nothing is sorted as a whole. ``until`` drops the splits that begin after so many
+    rows, and where only whole files go, these aren't opened. Comments, headers and blank lines are no rows.
+    """
+    at = [F.col("_metadata.file_path").alias("nb_file"), F.col("_metadata.file_block_start").alias("nb_block")]
+    sizes = df.select(*at, *df.columns[:1]).groupBy("nb_file", "nb_block").agg(F.count(F.lit(1)).alias("nb_n"))
+    begin = sizes.select("nb_file", "nb_block", (F.sum("nb_n").over(Window.orderBy("nb_file", "nb_block")) - F.col("nb_n")).alias("nb_base"))  # a row a split
+    rows = df.select(*df.columns, *at, F.monotonically_increasing_id().alias("nb_id"))
+    if until is not None:
+        begin = begin.where(F.col("nb_base") < until)
+        last = begin.agg(F.max("nb_file")).first()[0]
+        rows = rows.where(F.col("_metadata.file_path") <= F.lit(last or ""))
+    own = rows.join(F.broadcast(begin) if until is not None else begin, ["nb_file", "nb_block"])  # so many splits as hold ``until`` rows
+    inner = F.row_number().over(Window.partitionBy("nb_file", "nb_block").orderBy("nb_id")) - 1
+    return own.withColumn(name, F.col("nb_base") + inner).select(*df.columns, name)
+
+
+def first(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a frame that a file reader gave, in file order."""
+    return numbered(df, "fr_ordinal", n).where(F.col("fr_ordinal") < n).drop("fr_ordinal")
 
 
 def normalize(df: DataFrame, source: str, start: str, default_label: int = 1, template: str = "https://{domain}/", domain_column: str | None = None, fill: bool = True) -> DataFrame:
