@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +54,59 @@ def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.withColumn("p", p[1]).withColumn("confidence", F.array_max(p)).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
 
 
+def report(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rates at a threshold and areas of scores (y, p), in one row."""
+    return metrics.rates(metrics.confusion(scores, threshold)).crossJoin(F.broadcast(metrics.areas(scores)))
+
+
 def evaluate(pipeline: Pipeline, df: DataFrame, name: str) -> DataFrame:
     """Rates and areas on the rows whose split is test, of a model fitted on those whose split is train."""
     model = pipeline.fit(balanced(df.where("split = 'train'")))
     scores = probabilities(model, df.where("split = 'test'")).select("y", "p")
-    return metrics.rates(metrics.confusion(scores)).crossJoin(F.broadcast(metrics.areas(scores))).select(F.lit(name).alias("experiment"), "*")
+    return report(scores).select(F.lit(name).alias("experiment"), "*")
 
 
 def ablations(df: DataFrame, columns: list[str], families: dict[str, list[str]], kinds: dict[str, Callable[[list[str]], Pipeline]] | None = None) -> DataFrame:
-    """Each kind of model (the logistic one unless said) on all columns and without each family."""
+    """Each kind of model (the logistic one unless said) on all columns and without each family.
+
+    The rows are read and weighed once and kept for all fits; what comes back is a row an experiment.
+    """
+    train, test = balanced(df.where("split = 'train'")).persist(), df.where("split = 'test'").persist()
+    try:
+        rows, schema = [], None
+        for name, kind in (kinds or {"": logistic}).items():
+            for k, v in {"baseline": [], **{f"minus_{k}": v for k, v in families.items()}}.items():
+                scores = probabilities(kind([c for c in columns if c not in v]).fit(train), test).select("y", "p")
+                found = report(scores).select(F.lit(f"{name}_{k}" if name else k).alias("experiment"), "*")
+                rows, schema = rows + found.collect(), found.schema
+        return df.sparkSession.createDataFrame(rows, schema)
+    finally:
+        train.unpersist()
+        test.unpersist()
+
+
+def cross_validated(df: DataFrame, pipeline: Pipeline, k: int = 5, fold: str = "fold", parallelism: int = 4) -> DataFrame:
+    """fold (0 to k - 1) and its metrics, of models fitted on all other folds; rows have y and their fold's number.
+
+    The weighed table is kept for all fits, which run side by side. Features of a fold are scaled with what the others show.
+    """
+    rows = balanced(df).persist()
+    try:
+        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=k, foldCol=fold, parallelism=parallelism, collectSubModels=True)
+        models = cv.fit(rows).subModels
+        found, schema = [], None
+        for i in range(k):
+            one = report(probabilities(models[i][0], rows.where(F.col(fold) == i)).select("y", "p")).select(F.lit(i).alias("fold"), "*")
+            found, schema = found + one.collect(), one.schema
+        return df.sparkSession.createDataFrame(found, schema)
+    finally:
+        rows.unpersist()
+
+
+def summary(folds: DataFrame, names: list[str]) -> DataFrame:
+    """metric, n, mean, sem, low, high: each metric over the folds with its t-interval."""
     out = None
-    for name, kind in (kinds or {"": logistic}).items():
-        of = lambda x, name=name: f"{name}_{x}" if name else x
-        for k, v in {"baseline": [], **{f"minus_{k}": v for k, v in families.items()}}.items():
-            row = evaluate(kind([c for c in columns if c not in v]), df, of(k))
-            out = row if out is None else out.unionByName(row)
+    for m in names:
+        row = metrics.interval(folds, m).select(F.lit(m).alias("metric"), "*")
+        out = row if out is None else out.unionByName(row)
     return out
