@@ -7,6 +7,8 @@ see half of one, and none twice.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ THRESHOLD = 0.03
 REQUEST = "features array<double>, context struct<record_id: string, owasp_category: string, atlas_tactic: string>, received timestamp"
 RECORD = "request_id string, timestamp string, decision int, probability double, latency_ms double, owasp_category string, atlas_tactic string, prompt_tokens double, completion_tokens double, model_version string, feature_version string, record_id string, line string, batch long"
 REJECT = f"{REQUEST}, problem string, status int, batch long"
-BATCH = "batch long, accepted long, rejected long, flagged long"
+BATCH = "batch long, accepted long, rejected long, flagged long, ms double"
 
 
 def utc_text(at: Column) -> Column:
@@ -58,15 +60,16 @@ class Sinks:
         self.home, self.model, self.version, self.threshold = home, model, version, threshold
 
     def write(self, batch: DataFrame, number: int) -> None:
+        began = time.perf_counter()
         checked = preparation.validated(batch).persist()  # both sinks read it; a lost executor reads it again
         try:
-            accepted, rejected, seen = Observation(), Observation(), {}
+            accepted, rejected = Observation(), Observation()
             good = records(checked.where("status = 200"), self.model, self.version, self.threshold)
             self._put(good.observe(accepted, F.count("*").alias("n"), F.count_if(F.col("decision") == 1).alias("flagged")), "monitor", number)
             self._put(checked.where("status <> 200").select("features", "context", "received", "problem", "status").observe(rejected, F.count("*").alias("n")), "rejected", number)
-            seen = {**accepted.get, "rejected": rejected.get["n"]}
-            counts = batch.sparkSession.range(1).select(F.lit(seen["n"]).cast("long").alias("accepted"), F.lit(seen["rejected"]).cast("long").alias("rejected"), F.lit(seen["flagged"]).cast("long").alias("flagged"))
-            self._put(counts, "batches", number)
+            seen = {"accepted": accepted.get["n"], "rejected": rejected.get["n"], "flagged": accepted.get["flagged"]}
+            counts = [F.lit(v).cast("long").alias(k) for k, v in seen.items()]
+            self._put(batch.sparkSession.range(1).select(*counts, F.lit((time.perf_counter() - began) * 1000).alias("ms")), "batches", number)
         finally:
             checked.unpersist()
 

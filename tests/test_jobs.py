@@ -55,6 +55,19 @@ def test_random_splits_and_bad_settings(spark, config):
     assert prepare.resolve("a/b", "/c/") == "/c/a/b" and prepare.resolve("/a", "/c") == "/a"
 
 
+def test_without_a_configuration(spark, tmp_path):
+    """The default sources are mocked, the default window and splits hold; counters are those of a recount."""
+    rows, stats = prepare.prepare(spark, prepare.load_config(spark, None), str(tmp_path))
+    n = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    assert set(n) == {"phishtank", "openphish", "urlhaus", "benign"} and min(n.values()) >= 110
+    assert {r["split"] for r in stats.collect()} == {"train", "validation", "test"}
+    for r in stats.collect():
+        own = rows.where(F.col("split") == r["split"])
+        assert own.count() == r["n"] and abs(own.where("is_phishing = 1").count() / r["n"] - r["phishing_ratio"]) < 1e-12
+        assert own.agg(F.min("timestamp") >= F.lit(prepare.DEFAULTS["splits"][r["split"]]["start"]).cast("timestamp")).first()[0]
+    assert rows.where("source = 'benign' AND is_ai_endpoint = 0").count() == 0
+
+
 def test_saved_model_scores_alike(spark, sf_dir, tmp_path):
     rows = preparing.hard_rows(preparing.Tables(spark, sf_dir))
     model = detect.fit(rows, str(tmp_path / "model"))
