@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +46,49 @@ def best_threshold(df: DataFrame) -> DataFrame:
     return threshold_scan(df).orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
 
 
-def by_score(df: DataFrame) -> DataFrame:
-    """(p, tp, fp, all_pos, all_neg): running counts from the highest distinct score down.
+#: Ranges of scores.
+PARTS = 64
 
-    Distinct scores are range-partitioned and each partition's total carried to those after it, so that no task sorts all.
+
+def score_parts(df: DataFrame) -> DataFrame:
+    """df with ``part``, the range that its score p lies in, with about as many distinct scores as every other."""
+    cuts = df.select("p").distinct().agg(F.percentile_approx("p", [i / PARTS for i in range(1, PARTS)])).first()[0] or []  # PARTS numbers
+    return bucketed(df, "p", cuts, "part")
+
+
+def bucketed(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    """df with the number of cuts that are at or below a column's value, found by binary search; null gives -1, NaN the most."""
+    edges = sorted({float(c) for c in cuts if c == c and abs(c) != float("inf")})
+    if not edges:
+        return df.withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(0))
+    value = f"{name}_value"
+    made = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol=value, outputCol=name, handleInvalid="keep").transform(df.withColumn(value, F.col(column).cast("double")))
+    return made.drop(value).withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(F.coalesce(F.col(name), F.lit(len(edges) + 1.0)).cast("int")))
+
+
+def by_score(df: DataFrame, parts: bool = False) -> DataFrame:
+    """(p, pos, neg, tp, fp, all_pos, all_neg): counts of each distinct score, and running counts from the highest down.
+
+    Distinct scores are dealt into ranges by their quantiles and each range's total carried to those after it, so that no task
+    sorts all, wherever in [0, 1] the scores lie. With ``parts`` the range comes along.
     """
     counts = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    part = counts.withColumn("part", F.floor(F.col("p") * 64).cast("int"))
+    part = score_parts(counts)
     down = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = part.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))  # 65 rows
+    sums = part.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))  # at most PARTS + 1 rows
     before = sums.select("part", F.coalesce(F.sum("pos").over(down), F.lit(0)).alias("tp0"), F.coalesce(F.sum("neg").over(down), F.lit(0)).alias("fp0"))
     total = sums.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     inner = Window.partitionBy("part").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     run = part.select("p", "part", F.sum("pos").over(inner).alias("tp"), F.sum("neg").over(inner).alias("fp"), "pos", "neg")
-    return run.join(F.broadcast(before), "part").crossJoin(F.broadcast(total)).select("p", "pos", "neg", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"), "all_pos", "all_neg")
+    out = run.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
+    return out.select("p", "pos", "neg", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"), "all_pos", "all_neg", *(["part"] if parts else []))
 
 
 def roc_points(df: DataFrame) -> DataFrame:
     """threshold, fpr, tpr; points on a straight line between their neighbours are left out. The curve's start has no threshold."""
-    s = by_score(df).withColumn("part", F.floor(F.col("p") * 64).cast("int"))
+    s = by_score(df, parts=True)
     inner, down = Window.partitionBy("part").orderBy(F.col("p").desc()), Window.orderBy(F.col("part").desc())
-    heads = s.groupBy("part").agg(F.max_by("pos", "p").alias("pos"), F.max_by("neg", "p").alias("neg"))  # 65 rows
+    heads = s.groupBy("part").agg(F.max_by("pos", "p").alias("pos"), F.max_by("neg", "p").alias("neg"))  # at most PARTS + 1 rows
     after = heads.select("part", F.lead("pos").over(down).alias("after_pos"), F.lead("neg").over(down).alias("after_neg"))
     near = s.withColumn("next_pos", F.lead("pos").over(inner)).withColumn("next_neg", F.lead("neg").over(inner)).join(F.broadcast(after), "part")
     flat = near.withColumn("next_pos", F.coalesce("next_pos", "after_pos")).withColumn("next_neg", F.coalesce("next_neg", "after_neg"))
@@ -175,29 +198,37 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+#: Of percentile_approx: its ranks are right to a share of 1 / ACCURACY of a group's rows.
+ACCURACY = 10_000
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
     """(*keys, p): the exact interpolated quantiles of each group as an array, null for a group without values.
 
-    Counts per value are dealt into ranges of value; counts of ranges tell which hold the wanted ranks, and only those are
-    sorted, each by itself. Groups are compared as structs, so null keys are groups too.
+    One pass brackets each wanted rank by approximate quantiles on both sides of it; a second counts what lies below a
+    bracket and the values within, and only these, some 4 / ACCURACY of a group however its values lie, are put in order. The
+    greatest value below and the least above come along, for ranks at a bracket's edge. Groups are compared as structs, so null
+    keys are groups too; NaN is the largest value.
     """
     rows = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(value).cast("double").alias("v"))
-    scale = F.least(F.log2(1 + F.abs("v")) * 64, F.lit(1e6))  # 64 ranges an octave; NaN is the largest
-    part = F.floor(F.when(F.col("v") < 0, -scale).otherwise(scale)).cast("int")
-    counts = rows.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("b", part)
-    group = Window.partitionBy("g")
-    before = F.coalesce(F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.groupBy("g", "b").agg(F.sum("n").alias("n")).select("g", "b", "n", before.alias("before"), F.sum("n").over(group).alias("total"))
-    spot = lambda q: F.lit(q) * (F.col("total") - 1)
-    ranks = F.array_distinct(F.array(*[f(spot(q)) for q in shares for f in (F.floor, F.ceil)]))
-    wanted = sums.withColumn("r", F.explode(ranks)).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n"))).select("g", "b", "before", "total", "r")
-    run = F.sum("n").over(Window.partitionBy("g", "b").orderBy("v"))
-    inner = counts.join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi").select("g", "b", "v", "n", run.alias("run"))
-    hit = inner.join(wanted, ["g", "b"]).where((F.col("r") - F.col("before") < F.col("run")) & (F.col("r") - F.col("before") >= F.col("run") - F.col("n")))
-    found = hit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"), F.first("total").alias("total"))
-    at = lambda q, f: F.element_at("m", f(spot(q)))
-    mid = lambda q: F.when(F.floor(spot(q)) == F.ceil(spot(q)), at(q, F.floor)).otherwise((F.ceil(spot(q)) - spot(q)) * at(q, F.floor) + (spot(q) - F.floor(spot(q))) * at(q, F.ceil))
-    return rows.select("g").distinct().join(found.select("g", F.array(*[mid(q) for q in shares]).alias("p")), "g", "left").select(*[F.col(f"g.{k}") for k in keys], "p")
+    ends = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    near = rows.groupBy("g").agg(F.count("v").alias("total"), F.percentile_approx("v", ends, ACCURACY).alias("e"))
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.col("e")[2 * i].alias("lo"), F.col("e")[2 * i + 1].alias("hi")) for i in range(len(shares))])
+    known = near.select("g", spots.alias("s"))
+    each = rows.where("v is not null").join(known if keys else F.broadcast(known), "g").select("g", "v", F.explode("s").alias("s"))  # one row without keys
+    zone = F.when(F.col("v") < F.col("s.lo"), -1).when(F.col("v") > F.col("s.hi"), 1).otherwise(0)
+    zones = each.select("g", F.col("s.i").alias("i"), zone.alias("zone"), "v").groupBy("g", "i", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("x"))
+    counts = zones.agg(F.count("*").alias("n"), F.max("v").alias("most"), F.min("v").alias("least"))
+    run = counts.withColumn("run", F.sum("n").over(Window.partitionBy("g", "i").orderBy("zone", "x")))
+    spot = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1) * (F.col("total") - 1)
+    here = run.join(near.select("g", "total"), "g").withColumn("spot", spot)
+    first, last = F.col("run") - F.col("n"), F.col("run") - 1
+    at = lambda r: F.when((F.col("zone") == 0) & r.between(first, last), F.col("x")).when((F.col("zone") == -1) & (r == last), F.col("most")).when((F.col("zone") == 1) & (r == first), F.col("least"))
+    two = here.groupBy("g", "i").agg(F.max(at(F.floor("spot"))).alias("a"), F.max(at(F.ceil("spot"))).alias("b"), F.first("spot").alias("spot"))
+    sure = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error("a rank lies outside its bracket").cast("double"))
+    mid = F.when(F.floor("spot") == F.ceil("spot"), F.col("a")).otherwise((F.ceil("spot") - F.col("spot")) * F.col("a") + (F.col("spot") - F.floor("spot")) * F.col("b"))
+    found = two.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(sure, mid).alias("q")))), lambda x: x["q"]).alias("p"))
+    return near.select("g").join(found, "g", "left").select(*[F.col(f"g.{k}") for k in keys], "p")
 
 
 def percentiles(df: DataFrame, value: str, *keys: str) -> DataFrame:

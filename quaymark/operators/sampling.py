@@ -1,6 +1,6 @@
 """Time repair, windows, splits, folds, oversampling and replays that give exact, repeatable counts.
 
-Ranks within a key come from counts per hash bucket and ranks inside a bucket, so no task sorts a whole class.
+Ranks within a key come from counts per range of the order and ranks inside a range, so no task sorts a whole class.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import ACCURACY, bucketed
+
 #: Ranges of the order, unless the session has more partitions.
 BUCKETS = 64
 
@@ -16,9 +18,8 @@ def ranked(df: DataFrame, order: str, *keys: str, name: str = "rank", unique: st
     """df with the 0-based rank of each row among those of its keys by (order, unique)."""
     tie = [order, *([unique] if unique else [])]
     parts = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = [b for b in df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)])).first()[0] or []]  # so many numbers
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col(order).cast("double") > e)) if edges else F.lit(0)
-    part = df.withColumn("rk_part", at)
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)])).first()[0] or []  # so many numbers
+    part = bucketed(df, order, cuts, "rk_part")
     sizes = part.groupBy(*keys, "rk_part").agg(F.count("*").alias("rk_n"))
     before = sizes.select(*keys, "rk_part", (F.sum("rk_n").over(Window.partitionBy(*keys).orderBy("rk_part")) - F.col("rk_n")).alias("rk_base"))
     inner = part.withColumn("rk_in", F.row_number().over(Window.partitionBy(*keys, "rk_part").orderBy(*tie)) - 1)
@@ -59,8 +60,19 @@ def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
 
 
 def capped(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The n rows with the least keys (a sampling operator: n is what is asked for)."""
-    return df.orderBy(key).limit(n)
+    """The n rows with the least keys (a sampling operator: n is what is asked for).
+
+    Rows beyond an approximate quantile that surely lies above the n-th key go first, so that few more than n are ranked, in
+    ranges of the key rather than in one task.
+    """
+    rows = df.withColumn("cp_key", key)
+    total = rows.count()
+    if n >= total:
+        return df
+    share = min(1.0, n / total + 2 / ACCURACY)
+    most = rows.agg(F.percentile_approx(F.col("cp_key").cast("double"), share, ACCURACY)).first()[0]
+    near = rows.where(F.col("cp_key").isNull() | (F.col("cp_key").cast("double") <= most)) if most is not None else rows
+    return ranked(near, "cp_key", name="cp_i").where(F.col("cp_i") < n).drop("cp_key", "cp_i")
 
 
 def oversample(df: DataFrame, label: str, order: str, features: list[str]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Results that grow with the input stay off the driver and out of single tasks."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import metrics
+from quaymark.operators import metrics, sampling
 from quaymark.streaming import jobs
 
 
@@ -33,3 +35,35 @@ def test_roc_neighbours_across_parts(spark):
     assert {r["threshold"] for r in metrics.roc_points(df).collect()} == {None, 0.0}
     plan = metrics.roc_points(df)._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(part#" in plan and "windowspecdefinition(p#" not in plan  # no order over all scores
+
+
+NARROW = ["0.99 + id / 1e8", "id / 1e9", "1000 + pmod(id * 7919, 100003) / 1e4", "IF(id < 49000, 0.5, id)"]
+
+
+@pytest.mark.parametrize("expr", NARROW)
+def test_narrow_ranges_are_dealt_out(spark, expr):
+    """Values that all lie close together: no range of scores, ranks or brackets holds over a tenth of the distinct ones."""
+    df = spark.range(50_000).select("id", F.expr(f"CAST({expr} AS DOUBLE)").alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    distinct = df.select("p").distinct()
+    n = distinct.count()
+    assert metrics.score_parts(distinct).groupBy("part").count().agg(F.max("count")).first()[0] <= max(n / 10, 2)
+    shares = [0.0, 0.05, 0.5, 0.975, 1.0]
+    got = metrics.quantiles(df, "p", shares).first()["p"]
+    values = sorted(r[0] for r in df.select("p").collect())
+    for q, x in zip(shares, got, strict=True):
+        s = q * (len(values) - 1)
+        a, b = values[math.floor(s)], values[math.ceil(s)]
+        assert abs(x - (a + (s - math.floor(s)) * (b - a))) < 1e-9 * max(1, abs(a))
+        lo, hi = df.agg(F.percentile_approx("p", [max(q - 2e-4, 0.0), min(q + 2e-4, 1.0)], metrics.ACCURACY)).first()[0]
+        assert distinct.where(F.col("p").between(lo, hi)).count() <= max(n / 10, 2)
+    ranks = sampling.ranked(df, "p", unique="id", name="r")
+    assert [r["id"] for r in ranks.orderBy("r").limit(50).collect()] == [r["id"] for r in df.orderBy("p", "id").limit(50).collect()]
+    assert {r["id"] for r in sampling.capped(df, F.col("id") * 7919 % 50_021, 777).collect()} == {i for _, i in sorted((i * 7919 % 50_021, i) for i in range(50_000))[:777]}
+
+
+def test_groups_of_few_values_nulls_and_nan(spark):
+    rows = [("a", float(i)) for i in range(10)] + [("b", 1.0)] * 3 + [("c", None), (None, 2.0), (None, 3.0), ("d", float("nan")), ("d", 1.0)]
+    got = {r["k"]: r["p"] for r in metrics.quantiles(spark.createDataFrame(rows, "k string, v double"), "v", [0.05, 0.5, 0.95], "k").collect()}
+    assert got["a"] == pytest.approx([0.45, 4.5, 8.55]) and got["b"] == [1.0] * 3 and got["c"] is None and got[None] == pytest.approx([2.05, 2.5, 2.95])
+    assert math.isnan(got["d"][2]) and sampling.ranked(spark.createDataFrame([(None,), (2.0,), (1.0,)], "x double"), "x").orderBy("rank").first()["x"] is None
+    assert sampling.capped(spark.createDataFrame([(1,)], "x long"), F.col("x"), 5).count() == 1
