@@ -8,19 +8,42 @@ from pyspark.sql import functions as F
 from .metrics import quantiles
 
 
+#: Microseconds of the time slices in which a user's events are put in order; longer than any window that looks back.
+SLICE = 3_600_000_000
+
+
+def sliced(df: DataFrame, reach: int) -> DataFrame:
+    """df (ts) with ``at`` (microseconds), ``slice`` and ``own``: each row in its slice, and those of the last ``reach``
+    microseconds of a slice once more in the next, as not its own. A window over a key and slice that looks back no further sees
+    all that one over the key would, and a key with very many rows is many tasks' work."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = df.withColumn("at", at).withColumn("own_slice", F.floor(F.col("at") / SLICE))
+    both = F.when(F.floor((F.col("at") + reach) / SLICE) > F.col("own_slice"), F.array("own_slice", F.col("own_slice") + 1)).otherwise(F.array("own_slice"))
+    return rows.withColumn("slice", F.explode(both)).withColumn("own", F.col("slice") == F.col("own_slice")).drop("own_slice")
+
+
 def rates(df: DataFrame) -> DataFrame:
     """Events of the same user in the last 1 and 5 minutes, this one included."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = lambda m: Window.partitionBy("user_id").orderBy(at).rangeBetween(-m * 60_000_000, 0)
-    return df.select("event_id", F.count("*").over(w(1)).alias("n_1m"), F.count("*").over(w(5)).alias("n_5m"))
+    w = lambda m: Window.partitionBy("user_id", "slice").orderBy("at").rangeBetween(-m * 60_000_000, 0)
+    rows = sliced(df.select("event_id", "user_id", "ts"), 300_000_000)
+    return rows.select("event_id", "own", F.count("*").over(w(1)).alias("n_1m"), F.count("*").over(w(5)).alias("n_5m")).where("own").drop("own")
 
 
 def gaps(df: DataFrame) -> DataFrame:
-    """Microseconds since the user's event before, and whether the type changed within 10 minutes."""
-    w, at = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(w)
-    churn = (gap <= 600_000_000) & (F.lag("event_type").over(w) != F.col("event_type"))
-    return df.select("event_id", gap.alias("gap_us"), F.coalesce(churn.cast("int"), F.lit(0)).alias("churn"))
+    """Microseconds since the user's event before, and whether the type changed within 10 minutes.
+
+    Within slices of time the event before is the row before; a slice's first row takes the last one of the slices before.
+    """
+    rows = sliced(df.select("event_id", "user_id", "ts", "event_type"), 0).withColumn("row", F.struct("at", "event_id", "event_type"))
+    ends = rows.groupBy("user_id", "slice").agg(F.max("row").alias("end"))
+    before = ends.select("user_id", "slice", F.lag("end").over(Window.partitionBy("user_id").orderBy("slice")).alias("before"))  # a row a slice
+    inner = Window.partitionBy("user_id", "slice").orderBy("at", "event_id")
+    own = rows.withColumn("near", F.lag("row").over(inner))
+    joined = own.alias("o").join(before.alias("b"), F.col("o.user_id").eqNullSafe(F.col("b.user_id")) & F.col("o.slice").eqNullSafe(F.col("b.slice")))
+    last = F.coalesce("o.near", "b.before")
+    gap = F.col("o.at") - last["at"]
+    churn = (gap <= 600_000_000) & (last["event_type"] != F.col("o.event_type"))
+    return joined.select("o.event_id", gap.alias("gap_us"), F.coalesce(churn.cast("int"), F.lit(0)).alias("churn"))
 
 
 def sessions(df: DataFrame, minutes: int = 30) -> DataFrame:
@@ -87,9 +110,9 @@ def policy(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     df: event_id, user_id, ts, tokens, latency, payload.
     """
     top = F.broadcast(quantiles(df, "tokens", [0.975]).agg(F.max(F.col("p")[0]).alias("cap")))  # one row
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-600_000_000, 0)
-    e = df.crossJoin(top).withColumn("big", (F.col("tokens") > F.col("cap")).cast("int")).withColumn("repeats", F.sum("big").over(w))
+    w = Window.partitionBy("user_id", "slice").orderBy("at").rangeBetween(-600_000_000, 0)
+    big = df.crossJoin(top).withColumn("big", (F.col("tokens") > F.col("cap")).cast("int"))
+    e = sliced(big, 600_000_000).withColumn("repeats", F.sum("big").over(w)).where("own")
     low = F.lower("payload")
     rule = F.when((F.col("big") == 1) & ((F.col("repeats") > 3) | (F.col("latency") > 300)), "LLM09").when(low.rlike("ignore (all|previous)|jailbreak|system prompt"), "LLM01").when(low.rlike("<script|<html|select .* from|drop table"), "LLM05").otherwise("BENIGN")
     tactic = F.create_map(*[F.lit(x) for x in ("LLM09", "TA0042", "LLM01", "TA0031", "LLM05", "TA0027", "BENIGN", "N/A")])
