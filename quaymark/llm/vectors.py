@@ -3,8 +3,13 @@
 A sample of the vectors fits a mean, principal axes and rotations that bring the rotated axes nearest to their signs. All
 vectors get sign bits, cut into substrings of as many bits as the number of vectors has, 16 at least, so that buckets don't
 fill up as the table grows; longer substrings meet less often, so there are more of them (``tables``). Two vectors meet where
-a substring differs in one bit at most (the one whose substring has the bit visits the other's bucket); those within
-``RADIUS`` of the first 128 bits go on to have their cosine taken from the original vectors in double precision.
+a substring differs in one bit at most (the one whose substring has the bit visits the other's bucket); those close enough
+in the first 128 bits go on to have their cosine taken from the original vectors in double precision.
+
+How often signs differ at the threshold depends on the vectors: where all share a mean direction, as text embeddings do, two
+at a cosine of 0.9 are much further apart once the mean is off. So it is measured: vectors of the sample get partners at
+the threshold itself, and substrings are added until ``RECALL`` of these pairs meet; the distance let past is one that all
+but a thousandth of them keep.
 
 Exact copies are one class. Classes that share 32 bits with one of smaller number and lie within 4 degrees of it are put
 in a ball around it: all of a ball are linked to one another, and two balls are linked altogether if the angle of their
@@ -32,6 +37,8 @@ from .components import components
 SAMPLE, ROUNDS, SUBSTRING, TABLES, RADIUS, BALL = 20000, 30, 16, 8, 40, np.deg2rad(4.0)
 #: Chance that a sign differs between vectors at the threshold, and share of pairs that meet in 8 tables of 16 bits.
 FLIP, MET = 0.1436, 0.95
+#: Share of made pairs at the threshold that must meet, how many are made, and substrings at most.
+RECALL, PAIRS, MOST = 0.94, 2000, 1024
 _CODE = "c0 long, c1 long"
 
 
@@ -43,24 +50,42 @@ def tables(count: int) -> tuple[int, int]:
 
 
 class Quantiser:
-    """A fitted mean, axes and rotations; codes are two signed longs and the numbers of the buckets."""
+    """A fitted mean, axes and rotations, at least ``count`` substrings and as many more as the pairs at ``threshold`` need;
+    codes are two signed longs and the numbers of the buckets."""
 
-    def __init__(self, sample: np.ndarray, substring: int = SUBSTRING, count: int = TABLES, rounds: int = ROUNDS, seed: int = 11):
+    def __init__(self, sample: np.ndarray, substring: int = SUBSTRING, count: int = TABLES, rounds: int = ROUNDS, seed: int = 11, threshold: float | None = None):
         rng, self.substring, self.count = np.random.default_rng(seed), substring, count
-        bits = max(128, substring * count)
         self.size = sample.shape[1]
         self.mean = sample.mean(0) if len(sample) else np.zeros(self.size)
         centred = sample - self.mean
         _, vectors = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(self.size))
         axes = vectors[:, ::-1][:, : min(64, self.size)]
         v, turned = centred @ axes, []
-        while sum(t.shape[1] for t in turned) < bits:
+
+        def turn(rows: np.ndarray) -> None:
             r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
             for _ in range(rounds):
-                left, _, right = np.linalg.svd(np.sign(v @ r).T @ v)
+                left, _, right = np.linalg.svd(np.sign(rows @ r).T @ rows)
                 r = (left @ right).T
             turned.append(axes @ r)
-        self.project = np.hstack(turned)[:, :bits]
+
+        while sum(t.shape[1] for t in turned) < max(128, substring * count):
+            turn(v)
+        self.radius = RADIUS
+        if threshold is not None and len(sample) and self.size > 1:
+            a, b = _partners(sample[:: max(1, len(sample) // PAIRS)], threshold, np.random.default_rng(seed + 1))
+            while True:
+                self.project = np.hstack(turned)
+                most = min(MOST, self.project.shape[1] // substring)
+                x, y = ((z - self.mean) @ self.project > 0 for z in (a, b))
+                off = (x[:, : most * substring] != y[:, : most * substring]).reshape(len(a), most, substring).sum(2)
+                met = np.logical_or.accumulate(off <= 1, axis=1).mean(0)  # after so many substrings
+                if met[-1] >= RECALL or most == MOST:
+                    break
+                turn(v[:4096])
+            self.count = max(count, int(np.argmax(met >= RECALL)) + 1 if met[-1] >= RECALL else most)
+            self.radius = max(RADIUS, int(np.quantile((x[:, :128] != y[:, :128]).sum(1), 0.999)) + 1)
+        self.project = np.hstack(turned)[:, : max(128, substring * self.count)]
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = (x - self.mean) @ self.project > 0
@@ -69,6 +94,14 @@ class Quantiser:
         return np.packbits(bits[:, :128], axis=1, bitorder="little").view("<i8"), buckets
 
 
+def _partners(base: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """base, and for each of its unit vectors one at the cosine, in any direction."""
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.maximum(np.linalg.norm(other, axis=1)[:, None], 1e-12)
+    return base, cosine * base + np.sqrt(1 - cosine**2) * other
+
+
 def _list(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), size)
 
@@ -157,7 +190,8 @@ def link(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> Da
     flat = np.array([x.as_py() for x, n in zip(some, sizes, strict=True) if n == size], float)
     flat /= np.abs(flat).max(1)[:, None]
     substring, tabled = tables(count)
-    quantiser = Quantiser(flat / np.linalg.norm(flat, axis=1)[:, None], substring, tabled)
+    quantiser = Quantiser(flat / np.linalg.norm(flat, axis=1)[:, None], substring, tabled, threshold=threshold)
+    tabled = quantiser.count
     units = cut(_unit(classes.where(F.size("embedding") == size), quantiser))
     members = cut(units.join(_balls(units), "cid"))
     balls = members.groupBy("ball").agg(F.sum("mult").alias("n"), F.max("angle").alias("r"))
@@ -167,7 +201,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> Da
     met = met.select("key", "home", "ball", "c.c0", "c.c1")
     here, there = met.where("home").select("key", *[F.col(c).alias(f"h_{c}") for c in ("ball", "c0", "c1")]), met
     apart = F.bit_count(F.col("h_c0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("h_c1").bitwiseXOR(F.col("c1")))
-    pairs = here.join(there, "key").where(((F.col("h_ball") < F.col("ball")) | (~F.col("home") & (F.col("h_ball") != F.col("ball")))) & (apart <= RADIUS))
+    pairs = here.join(there, "key").where(((F.col("h_ball") < F.col("ball")) | (~F.col("home") & (F.col("h_ball") != F.col("ball")))) & (apart <= quantiser.radius))
     pairs = pairs.select(F.least("h_ball", "ball").alias("a"), F.greatest("h_ball", "ball").alias("b")).distinct()
     side = lambda s: balls.select(F.col("ball").alias(s), F.col("v").alias(f"v{s}"), F.col("n").alias(f"n{s}"), F.col("r").alias(f"r{s}"))
     seen = _cosines(pairs.join(side("a"), "a").join(side("b"), "b"), "va", "vb", "a long, b long, na long, nb long, ra double, rb double")

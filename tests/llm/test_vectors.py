@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quaymark.llm import vectors
 from quaymark.llm.common import table
@@ -84,3 +85,16 @@ def test_recall_of_longer_substrings(spark, monkeypatch):
     monkeypatch.setattr(vectors, "tables", lambda n: (bits, count))
     got = {r["vec_id"]: r for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert sum(got[300 + i]["component_id"] == i for i in range(300)) >= 0.9 * 300
+
+
+@pytest.mark.parametrize(("dims", "mean"), [(64, 0.5), (64, 0.7), (384, 0.5), (384, 0.7)])
+def test_recall_with_a_common_mean(spark, dims, mean):
+    """Unrelated vectors at a cosine of 0.5 or 0.7, as text embeddings have; links at 0.90 to 0.93, counted one by one."""
+    rng = np.random.default_rng(dims)
+    shared, own = rng.normal(size=dims), rng.normal(size=(700, dims))
+    base = np.sqrt(mean) * shared / np.linalg.norm(shared) + np.sqrt(1 - mean) * own / np.linalg.norm(own, axis=1)[:, None]
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate([*base, *[around(rng, b, rng.uniform(0.901, 0.93)) for b in base[:500]]])]
+    want = {v: n for v, n, _ in brute(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 0 and all(got[v] <= n for v, n in want.items())
