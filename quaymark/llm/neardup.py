@@ -8,9 +8,10 @@ each connected group of them stays. No pair is lost and no link is guessed, what
   copies, crowds included, at a few comparisons a document.
 - The rest: sets are sorted by one order of all shingles. Two similar sets of n and m shingles share at least
   t / (1 + t) (n + m); so the first that both have is among the first n - ceil(t n) + 1 of either, and the places before
-  it, all unshared, are at most (1 - t) / (1 + t) (n + m) together. Shingles by whose place two documents of different
+  it, all unshared, are at most what that leaves of n, and of m. Shingles by whose place two documents of different
   groups may be similar are the only ones that go on: their members meet two pivots, then what is still apart meets.
-  Of what meets, pairs that share too few of these shingles to be similar end there.
+  Two documents meet at the first such shingle that they share, seldom again at a later one. Of what meets, pairs that
+  share too few of these shingles to be similar end there.
   Shingles that are frequent in a sample come last in the order; the sample decides what the work costs, never what is
   found.
 - Each link is an exact intersection of the two sets of 64-bit shingle hashes. Sets are made again from the texts where
@@ -39,6 +40,8 @@ from .components import components
 SHINGLE, SIMILARITY, LOW = 5, 0.8, 4
 #: Documents of the sample, and how many of them have a frequent shingle.
 SAMPLE, FREQUENT = 16384, 4
+#: Earlier keys of a set that go with each key, so that two sets meet at the first that they share and not again nearby.
+BEFORE = 6
 _WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 
 
@@ -173,9 +176,10 @@ def _sized(a: str, b: str, similarity: float) -> Column:
 
 
 def _placed(n: str, m: str, at: str, to: str, similarity: float) -> Column:
-    """Whether so many unshared shingles before the first shared one leave sets of n and m similar."""
-    both = F.col(n) + F.col(m)
-    return F.col(at) + F.col(to) <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
+    """Whether so many unshared shingles before the first shared one leave sets of n and m similar: neither can have more
+    than what the shared ones that similarity needs leave it."""
+    least = F.ceil(similarity / (1 + similarity) * (F.col(n) + F.col(m)) - 1e-9)
+    return (F.col(at) <= F.col(n) - least) & (F.col(to) <= F.col(m) - least)
 
 
 def _ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -229,6 +233,14 @@ def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return written(named.join(named.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("h"), "h"))
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """rows with ``before``, the keys that come right before each in its set; at most a set's keys are put in order."""
+    own = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("at", "h"))).alias("x"))
+    each = own.select("id", "n", "g", F.transform("x", lambda x: x["h"]).alias("hs"), F.posexplode("x").alias("i", "x"))
+    first = F.greatest(F.col("i") - BEFORE, F.lit(0))
+    return each.select("x.h", "id", "n", "g", "x.at", F.slice("hs", first + 1, F.col("i") - first).alias("before"))
+
+
 def similar(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between digests of similar sets, which join all of them that a chain of similar sets joins.
 
@@ -245,8 +257,10 @@ def similar(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarit
         if not pairs.isEmpty():
             found = written(found.unionAll(links(pairs)))
             rows = _apart(rows, found)
-    other = rows.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"), F.col("at").alias("to"))
-    pairs = written(_plausible(_ends(rows.join(other, "h").where((F.col("id") < F.col("v")) & apart("m", "k", "to")), "id", "v"), rows, similarity))
+    led = written(_led(rows))
+    other = led.select("h", F.col("id").alias("v"), F.col("n").alias("m"), F.col("g").alias("k"), F.col("at").alias("to"), F.col("before").alias("prior"))
+    again = F.arrays_overlap("before", "prior")  # they meet at an earlier key
+    pairs = written(_plausible(_ends(led.join(other, "h").where((F.col("id") < F.col("v")) & apart("m", "k", "to") & ~again), "id", "v"), rows, similarity))
     return found if pairs.isEmpty() else found.unionAll(links(pairs))
 
 
