@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import chunks, fold, ship, table, text_view
 
 ORDER = 3
-#: Texts of each language that the trees are built from (expected number of a hashed sample), and grams kept of each.
-SAMPLE, GRAMS = 2000, 1 << 20
+#: Texts of each language that the trees are built from (expected number of a hashed sample); all grams of these count.
+SAMPLE = 2000
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -116,7 +116,7 @@ class Languages:
         return [self.names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, share, 0.0)
 
 
-def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, keep: int = GRAMS) -> Languages:
+def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Languages:
     """Trees from about ``sample`` rows of each non-null lang (all, if there are fewer), chosen by a hash of doc_id."""
     ship(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -138,7 +138,6 @@ def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, keep: int = G
     got = found.toPandas()  # bounded by the sample
     trees = {}
     for lang, own in got.groupby("lang"):
-        own = own.sort_values(["n", "gram"], ascending=[False, True])[:keep]
         trees[str(lang)] = ContextTree(own["gram"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy(), order)
     return Languages(trees, order)
 

@@ -1,7 +1,8 @@
 """Personal data: keyed, type-consistent surrogates, in DataFrame functions only.
 
 One pattern finds e-mail and IPv4 addresses, payment cards, IBANs, social-security and phone numbers, named secrets, access
-keys and titled names; a name found so is also replaced where the same text has it without a title. Each distinct entity,
+keys and titled names; a name found so is also replaced where the same text has it, or its given or family name alone,
+without a title and in other capitals. Each distinct entity,
 in a canonical form, gets a surrogate from a keyed digest: digits for digits and letters for letters in the same places,
 country codes and card networks kept, octets of as many digits, names of the title's gender in the name's script, given and
 family names each by themselves. Check digits of cards and IBANs that were valid are valid again. The surrogate is then
@@ -17,6 +18,8 @@ are added get underscores after their names where the table has such columns alr
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +36,12 @@ _IP = rf"(?=[0-9])(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 _LABEL = r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 _SECRET = rf"(?=[PpTtSsAa])(?<![A-Za-z0-9]){_LABEL}(?=[A-Za-z_+/=.\-]{{0,64}}[0-9])[A-Za-z0-9_+/=\-][A-Za-z0-9_+/=.\-]{{6,}}[A-Za-z0-9_+/=\-]"
 _KEY = r"A(?:KIA|SIA)(?<![A-Za-z0-9].{4})[0-9A-Z]{16}(?![A-Za-z0-9])"
-_MALE, _FEMALE = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
-_TITLE = rf"(?:{_MALE}|{_FEMALE}|Dr)\.? "
-_STARTS = "".join(sorted({t[0] for t in f"{_MALE}|{_FEMALE}|Dr".split("|")}))
-_NAME = rf"(?=[{_STARTS}])(?<![\p{{L}}]){_TITLE}\p{{Lu}}[\p{{L}}'’\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,30}})?(?!\p{{L}})"
+_MALE, _FEMALE = r"Mr|Sir|Herr|Monsieur|Señor|Sr|Господин|Κύριος", r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
+_ANY = r"Dr|Prof|Professor|Mx|Rev"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.? "
+_STARTS = "".join(sorted({t[0] for t in f"{_MALE}|{_FEMALE}|{_ANY}".split("|")}))
+_PARTICLES = r"(?: (?:de|da|di|do|dos|del|della|la|las|los|le|du|van|von|der|den|ter|zu|y|bin|ibn|al|el)){0,3}"
+_NAME = rf"(?=[{_STARTS}])(?<![\p{{L}}]){_TITLE}\p{{Lu}}[\p{{L}}'’\-]{{1,30}}(?:{_PARTICLES} \p{{Lu}}[\p{{L}}'’\-]{{1,30}})?(?!\p{{L}})"
 #: Kinds in the order in which they are looked for.
 KINDS = {"email": _EMAIL, "card": _CARD, "iban": _IBAN, "ssn": _SSN, "phone": _PHONE, "ip": _IP, "secret": _SECRET, "key": _KEY, "name": _NAME}
 PATTERN = "|".join(KINDS.values())
@@ -173,14 +178,27 @@ def _written() -> Column:
     return F.expr(f"CASE WHEN kind IN ('card', 'ssn', 'phone') THEN {filled} WHEN kind = 'iban' THEN {spaced} WHEN kind = 'email' THEN {cased} WHEN kind = 'secret' THEN concat(substr(m, 1, length(m) - length(norm)), alias) WHEN kind = 'name' THEN concat(title, IF(substr(m, length(title) + 1) = upper(substr(m, length(title) + 1)), upper(substr(alias, 3)), initcap(substr(alias, 3)))) ELSE alias END")
 
 
+def _mentions() -> Column:
+    """Of a titled name m and what takes its place, w: (n, m, w) of the name without its title, of its given name and of its
+    family name, as they stand, in capitals and with capitals first; n is minus the length, so that long ones come first."""
+    bare, new = F.expr("substr(m, title + 1)"), F.expr("substr(w, title + 1)")
+    end = lambda c, i: F.substring_index(c, " ", i)
+    pairs = [(bare, new), (end(bare, 1), end(new, 1)), (end(bare, -1), end(new, -1))]
+    forms = [lambda c: c, F.upper, F.initcap]
+    return F.array(*[F.struct((-F.length(f(a))).alias("n"), f(a).alias("m"), f(b).alias("w")) for a, b in pairs for f in forms])
+
+
 def _entity(df: DataFrame) -> DataFrame:
     df = df.withColumn("kind", _kind(F.col("m"))).withColumn("norm", _canonical(F.col("kind"), F.col("m")))
     return df.withColumn("title", F.regexp_extract("m", f"^{_TITLE}", 0))
 
 
 def key(spark: SparkSession) -> str:
-    """The session's key of surrogates; the test key where it names none, with which anyone can make the same ones."""
-    return spark.conf.get(SETTING, TEST_KEY)
+    """The session's key of surrogates; where it names none the test key, with a warning, as anyone can make the same ones."""
+    found = spark.conf.get(SETTING, None)
+    if not found:
+        warnings.warn(f"{SETTING} is not set: surrogates are made with the test key", stacklevel=2)
+    return found or TEST_KEY
 
 
 def replace(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
@@ -196,7 +214,7 @@ def replace(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     kinds = _entity(each.select("m").distinct())
     alias = surrogates(kinds, secret)
     ways = kinds.join(alias, ["kind", "norm"]).select("m", "kind", _written().alias("w"), F.when(F.col("kind") == "name", F.length("title")).alias("title"))
-    own = F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct((F.col("title") - F.length("m")).alias("n"), F.expr("substr(m, title + 1)").alias("m"), F.expr("substr(w, title + 1)").alias("w")))))
+    own = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("title").isNotNull(), _mentions())))))
     of = each.join(ways, "m").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("m", "w"))).alias("by"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), own.alias("named"))
     untitled = r"aggregate(named, p, (a, x) -> regexp_replace(a, concat('(?<!\\p{L})\\Q', x.m, '\\E(?!\\p{L})'), x.w))"  # longer names first
     pieces = F.split("t", PATTERN, -1)
@@ -208,4 +226,4 @@ def replace(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key(spark))

@@ -144,3 +144,45 @@ def test_toxicity_odd_rows(spark):
     assert len(toxicity.score(docs, toxicity.fit(docs, labels, none), none).collect()) == len(ODD)
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0), none), none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels, none), none).collect() == []
+
+
+def test_toxicity_gradients_equal_finite_differences():
+    net = toxicity.Net()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["b2"][:] = 0.02
+    text, y, weight = pa.array(["one two three four", "five one", "", "two two six seven eight"]), np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.5])
+    ids, codes, doc = toxicity.tokens(text)
+
+    def loss():
+        act = [np.zeros((4, 0))]
+        e = net.p["E"][ids].sum(1)[codes]
+        for w in toxicity.WIDTHS:  # in double precision
+            own = np.zeros((4, toxicity.FILTERS))
+            for i in range(4):
+                x = np.vstack([e[doc == i], np.zeros((w, toxicity.DIM))])
+                n = (doc == i).sum()
+                if n:
+                    own[i] = np.maximum(np.max([sum(x[p + k] @ net.p[f"W{w}{k}"] for k in range(w)) for p in range(n)], axis=0) + net.p[f"b{w}"], 0)
+            act.append(own)
+        z = np.hstack(act) @ net.p["out"] + net.p["bias"]
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    grads, rows, ge = net.gradients(ids, codes, doc, y, weight)
+    rng = np.random.default_rng(0)
+    for k in grads:
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in net.p[k].shape)
+            near(net.p[k], at, loss, grads[k][at])
+    for r in range(0, len(rows), 5):
+        for d in range(0, toxicity.DIM, 3):
+            near(net.p["E"], (rows[r], d), loss, ge[r, d])
+
+
+def near(x, at, loss, want, h=1e-5):
+    old = x[at]
+    x[at] = old + h
+    up = loss()
+    x[at] = old - h
+    down = loss()
+    x[at] = old
+    assert abs((up - down) / (2 * h) - want) < 1e-5 + 1e-3 * abs(want)

@@ -122,3 +122,14 @@ def test_clashing_columns(spark):
     row = pii.replace(df, "k").first().asDict()
     assert [*row] == ["doc_id", "text", "n_entities", "entity_kinds", "t", "c0", "a.b", "n_entities_", "entity_kinds_"]
     assert row["n_entities"] == 2 and row["n_entities_"] == 1 and row["entity_kinds_"] == "phone" and row["t"] is None and row["a.b"] == 4
+
+
+def test_names_part_by_part(spark):
+    """What a titled name leaves in the same text: other capitals, parts alone, particles, further titles."""
+    docs = [(1, "Mr JOHN SMITH and John Smith met; John left, SMITH stayed, Johnson came."), (2, "Mrs Anna-Maria de la Cruz spoke. Cruz, said Anna-Maria, left."), (3, "Prof. Jane Doe and Sir Alan Poe saw Madam Rita van der Berg."), (4, "John Smith and Cruz have no title here.")]
+    new = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    g = re.match(r"Mr ([A-Z]+) ([A-Z]+) and (\w+) (\w+) met; (\w+) left, (\w+) stayed, Johnson came\.$", new[1]).groups()
+    assert g[0] == g[2].upper() == g[4].upper() and g[1] == g[3].upper() == g[5] and g[0] not in ("JOHN",) and g[1] != "SMITH"
+    h = re.match(r"Mrs (\w+) (\w+) spoke\. (\w+), said (\w+), left\.$", new[2]).groups()
+    assert h[0] == h[3] and h[1] == h[2] and not set(re.findall(r"\w+", new[2])) & {"Anna", "Maria", "Cruz", "de", "la"}
+    assert not set(re.findall(r"\w+", new[3])) & {"Jane", "Doe", "Alan", "Poe", "Rita", "van", "der", "Berg"} and new[4] == docs[3][1]
