@@ -138,13 +138,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Text bytes that are encoded at a time, at some 100 bytes of memory each.
+TEXT_BYTES = 1 << 18
+
+
 def tokenise(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and with ids their 32-bit bytes."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path() if callable(path) else path)
-        for chunk in chunks(batches, 1):
+        for chunk in chunks(batches, 1, TEXT_BYTES):
             cols: list[list] = [[], [], [], [], [], []]
             found, off = own.encode_all(chunk.column(1), end)
             for doc_id, a, b in zip(chunk.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
