@@ -11,7 +11,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.operators import preparation, sampling
@@ -82,7 +82,7 @@ def load_source(spark: SparkSession, name: str, meta: dict, window: dict, base:
 
 
 def prepare(spark: SparkSession, config: dict, base: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their split, a row of counters a split). Counters come from the jobs that make the rows; nothing is read to count."""
+    """(rows with their split, a row of counters a split). Counters are one aggregate each over rows that are checkpointed by then."""
     config, mode = DEFAULTS | config, split_mode(DEFAULTS | config)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", resolve("checkpoints", base)))
@@ -95,37 +95,35 @@ def prepare(spark: SparkSession, config: dict, base: str) -> tuple[DataFrame, Da
         frames.append(preparation.feature_frame(rows, name, profile))
     rows = feeds.union(frames).withColumn("row", F.monotonically_increasing_id())
     inside = F.coalesce(F.col("timestamp").between(F.lit(window["start"]).cast("timestamp"), F.lit(window["end"]).cast("timestamp")), F.lit(False))
-    seen = Observation()
     repaired = sampling.repair_timestamps(rows.checkpoint(), "timestamp", "row", window["start"], window["end"])
-    rows = repaired.observe(seen, F.count_if(~inside).alias("outside"), F.count_if(inside & (F.col("is_phishing") == 1)).alias("bad")).checkpoint()
+    rows = repaired.checkpoint()
+    seen = rows.agg(F.count_if(~inside).alias("outside"), F.count_if(inside & (F.col("is_phishing") == 1)).alias("bad")).first()
     kept = rows.where(inside)
-    n = int(seen.get["bad"] * float(config["benign_multiplier"]))
+    n = int(seen["bad"] * float(config["benign_multiplier"]))
     names = {"prompt_tokens": "tokens_prompt", "completion_tokens": "tokens_completion"}
     made = feeds.benign(spark, n, window["start"], window["end"], profile == "url_only").withColumnsRenamed(names).withColumn("is_ai_endpoint", F.lit(True))
     good = preparation.feature_frame(made, "benign", profile)
     taxonomy = config["label_policy"].get("taxonomy", {})
     key = F.pmod(F.xxhash64("timestamp", "source", "row"), F.lit(1_000_003))
     full = kept.unionByName(good.withColumn("row", F.monotonically_increasing_id()))
-    full = preparation.assign_taxonomy(full, key, taxonomy.get("owasp"), taxonomy.get("mitre_atlas"))
-    lost, parts = Observation(), Observation()
+    full = preparation.assign_taxonomy(full.checkpoint(), key, taxonomy.get("owasp"), taxonomy.get("mitre_atlas"))
     bounds = {k: (v["start"], v["end"]) for k, v in config["splits"].items()}
     if mode == "random":
         ratios = config["split_ratios"]
-        split = sampling.split_stratified(full.withColumn("key", key).checkpoint(), "is_phishing", "key", ratios["train"], ratios["validation"]).drop("key")
+        split = sampling.split_stratified(full.withColumn("key", key), "is_phishing", "key", ratios["train"], ratios["validation"]).drop("key")
         split = split.withColumn("split", F.when(F.col("split") == "val", "validation").otherwise(F.col("split")))
         labels = ["train", "validation", "test"]
     else:
         some = F.lit(False)
         for a, b in bounds.values():
             some = some | F.coalesce(F.col("timestamp").between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")), F.lit(False))
-        split, labels = sampling.split_by_time(full.observe(lost, F.count_if(~some).alias("outside")), "timestamp", bounds), list(bounds)
-    # the job that makes the rows counts them too
+        split, labels = sampling.split_by_time(full, "timestamp", bounds), list(bounds)
     own = lambda k: F.col("split") == k
     counted = [x for i, k in enumerate(labels) for x in (F.count_if(own(k)).alias(f"n{i}"), F.count_if(own(k) & (F.col("is_phishing") == 1)).alias(f"bad{i}"))]
-    split = split.drop("row").observe(parts, *counted).checkpoint()
-    outside = 0 if mode == "random" else lost.get["outside"]
-    got = parts.get
-    head = (seen.get["outside"], outside, ",".join(preparation.FEATURES), window["start"], window["end"], mode)
+    split = split.drop("row").checkpoint()
+    outside = 0 if mode == "random" else full.agg(F.count_if(~some)).first()[0]
+    got = split.agg(*counted).first()
+    head = (seen["outside"], outside, ",".join(preparation.FEATURES), window["start"], window["end"], mode)
     stats = [(k, got[f"n{i}"], got[f"bad{i}"] / got[f"n{i}"], *head) for i, k in enumerate(labels) if got[f"n{i}"]]
     names = "split string, n long, phishing_ratio double, dropped_outside_window long, dropped_outside_splits long, features string, window_start string, window_end string, split_mode string"
     return split, spark.createDataFrame(stats, names)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,13 +63,15 @@ class Sinks:
         began = time.perf_counter()
         checked = preparation.validated(batch).persist()  # both sinks read it; a lost executor reads it again
         try:
-            accepted, rejected = Observation(), Observation()
-            good = records(checked.where("status = 200"), self.model, self.version, self.threshold)
-            self._put(good.observe(accepted, F.count("*").alias("n"), F.count_if(F.col("decision") == 1).alias("flagged")), "monitor", number)
-            self._put(checked.where("status <> 200").select("features", "context", "received", "problem", "status").observe(rejected, F.count("*").alias("n")), "rejected", number)
-            seen = {"accepted": accepted.get["n"], "rejected": rejected.get["n"], "flagged": accepted.get["flagged"]}
-            counts = [F.lit(v).cast("long").alias(k) for k, v in seen.items()]
-            self._put(batch.sparkSession.range(1).select(*counts, F.lit((time.perf_counter() - began) * 1000).alias("ms")), "batches", number)
+            self._put(records(checked.where("status = 200"), self.model, self.version, self.threshold), "monitor", number)
+            self._put(checked.where("status <> 200").select("features", "context", "received", "problem", "status"), "rejected", number)
+            # of what was written one column and the other's row counts are read; observed metrics would tie the session to
+            # fitted models, which then can't be sent to tasks
+            spark = batch.sparkSession
+            good = spark.read.schema(RECORD).parquet(f"{self.home}/monitor/batch={number}").agg(F.count("*").alias("accepted"), F.count_if(F.col("decision") == 1).alias("flagged"))
+            bad = spark.read.schema(REJECT).parquet(f"{self.home}/rejected/batch={number}").agg(F.count("*").alias("rejected"))
+            counts = good.crossJoin(F.broadcast(bad)).select("accepted", "rejected", "flagged", F.lit((time.perf_counter() - began) * 1000).alias("ms"))  # one row each
+            self._put(counts, "batches", number)
         finally:
             checked.unpersist()
 
