@@ -1,285 +1,359 @@
-"""External induced sorting: suffix order and capped common-prefix values of a text kept in files.
+"""External induced sorting: suffix order and capped common-prefix values of a text of small alphabet kept in a file.
 
-Suffixes are of type S if smaller than the next, else L; an S suffix after an L suffix is a seed. Sorted seeds give the
-order of all L suffixes by one ascending sweep and from them that of all S suffixes by one descending sweep: each suffix
-taken from the queue puts the one before it, as a tuple (first symbol, rank, position), back in. Seeds are sorted the same
-way from any order of theirs, named by the substrings up to the next seed, and, if names repeat, ordered by recursion on
-the text of names. Common-prefix values don't go with the tuples: neighbours are compared directly, symbol by symbol up to
-the cap, unless the suffixes that brought them in already differ in their first symbol.
+A suffix is of type S if smaller than the next, else L; an S suffix after an L suffix is a seed. Sorted seeds give the order
+of all L suffixes by one ascending sweep, and that gives the order of all S suffixes by one descending sweep: each suffix
+visited puts the one before it into the queue. The queue's priority is the first symbol and then arrival, so it is a
+bucket a symbol, in arrays that go to disk when ``held`` tuples are in memory; a block of tuples is visited at once.
 
-The text, the types and every order are memory-mapped files; queues hold ``held`` tuples and spill sorted runs to disk.
+Tuples are (position, value): the symbols that the suffix shares with the tuple before it in its bucket. That is one more
+than what the two suffixes that brought them in share, the least value of all visited between them; each bucket keeps the
+least value since its last tuple from block to block. Where a bucket's L suffixes meet its S suffixes or seeds, the shorter
+of their leading runs of that symbol is shared.
+
+Seeds are sorted by the same sweeps from text order, with values of 1 for "equal so far" and 0: those of value 1 have equal
+substrings up to the next seed and get the same name. If names repeat, they are ordered by recursion: in memory if they are at
+most ``8 * held``, else by ``queued``. Sorted seeds' own values are compared directly, up to the cap; all others are carried.
 """
 
 from __future__ import annotations
 
-import heapq
-import mmap
 import os
 import tempfile
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-_BLOCK = 4096
+import numpy as np
 
+from . import queued
 
-class DiskQueue:
-    """A priority queue of integer pairs, the smallest first. At most ``held`` are in memory, besides a block a run."""
+_BLOCK = 1 << 16
+#: Low bits of a tuple hold its value, the others its position.
+_BITS = 16
+_MASK = (1 << _BITS) - 1
 
-    def __init__(self, folder: str, held: int):
-        self.folder, self.held = folder, held
-        self.heap: list[tuple[int, int]] = []
-        self.runs: list[list] = []  # head, block, place in block, file, name
 
-    def push(self, key: int, value: int) -> None:
-        heapq.heappush(self.heap, (key, value))
-        if len(self.heap) > self.held:
-            self._spill()
+class File:
+    """Integers appended to a file, then mapped."""
 
-    def _spill(self) -> None:
-        keep = self.held // 8
-        self.heap.sort()
-        out, self.heap = self.heap[keep:], self.heap[:keep]
-        fd, name = tempfile.mkstemp(dir=self.folder)
-        with os.fdopen(fd, "wb") as f:
-            for lo in range(0, len(out), _BLOCK):
-                array("q", [x for pair in out[lo : lo + _BLOCK] for x in pair]).tofile(f)
-        self._load([None, array("q"), 0, open(name, "rb"), name])  # noqa: SIM115
-
-    def _load(self, run: list) -> None:
-        if run[2] >= len(run[1]):
-            run[1], run[2] = array("q", run[3].read(16 * _BLOCK)), 0
-            if not run[1]:
-                run[3].close()
-                os.remove(run[4])
-                return
-        run[0] = (run[1][run[2]], run[1][run[2] + 1])
-        run[2] += 2
-        self.runs.append(run)
-        self.runs.sort(key=lambda r: r[0], reverse=True)
-
-    def peek(self) -> tuple[int, int] | None:
-        own = self.heap[0] if self.heap else None
-        if self.runs and (own is None or self.runs[-1][0] < own):
-            return self.runs[-1][0]
-        return own
-
-    def pop(self) -> tuple[int, int]:
-        if self.runs and (not self.heap or self.runs[-1][0] < self.heap[0]):
-            run = self.runs.pop()
-            got = run[0]
-            self._load(run)
-            return got
-        return heapq.heappop(self.heap)
-
-
-class Disk:
-    """An array of integers in a mapped file."""
-
-    def __init__(self, folder: str, kind: str, values: Iterable[int]):
+    def __init__(self, folder: str, kind: type = np.int64):
+        self.kind, self.size = np.dtype(kind), 0
         fd, self.name = tempfile.mkstemp(dir=folder)
-        with os.fdopen(fd, "wb") as f:
-            block = array(kind)
-            for v in values:
-                block.append(v)
-                if len(block) >= 1 << 16:
-                    block.tofile(f)
-                    block = array(kind)
-            block.tofile(f)
-            self.size = f.tell() // block.itemsize
-        self.file = open(self.name, "r+b")  # noqa: SIM115
-        self.map = mmap.mmap(self.file.fileno(), 0) if self.size else None
-        self.view = memoryview(self.map).cast(kind) if self.size else memoryview(b"")
+        self.out = os.fdopen(fd, "wb")
 
-    def close(self) -> None:
-        self.view.release()
-        if self.map is not None:
-            self.map.close()
-        self.file.close()
+    def append(self, values: np.ndarray) -> None:
+        values.astype(self.kind, copy=False).tofile(self.out)
+        self.size += len(values)
+
+    def done(self) -> np.ndarray:
+        self.out.close()
+        return np.memmap(self.name, self.kind, "r", shape=(self.size,)) if self.size else np.zeros(0, self.kind)
+
+    def filled(self, n: int, value: int) -> np.ndarray:
+        """n times value, to be written to at any place."""
+        for lo in range(0, n, _BLOCK):
+            self.append(np.full(min(_BLOCK, n - lo), value, self.kind))
+        self.out.close()
+        return np.memmap(self.name, self.kind, "r+", shape=(n,)) if n else np.zeros(0, self.kind)
+
+    def drop(self) -> None:
+        self.out.close()
         os.remove(self.name)
 
 
-def _sweeps(text: memoryview, small: memoryview, seeds: Iterable[int], n: int, folder: str, held: int) -> Iterator[tuple[str, int, int]]:
-    """("L" or "S", position, position that brought it in) in ascending order of L suffixes, then descending of S suffixes.
-
-    seeds: positions of seeds in ascending order of their first symbols and, within those, as sorted so far.
-    """
-    span = n + 1
-    queue, count = DiskQueue(folder, held), 0
-    order = Disk(folder, "q", _ascending(text, small, seeds, n, queue, count, span, folder))
-    down, count = DiskQueue(folder, held), 0
-    view, at = order.view, order.size - 2
-    for k in range(0, order.size, 2):
-        yield "L", view[k], view[k + 1]
-    # descending: S suffixes of a symbol come before its L suffixes
-    while at >= 0 or down.peek() is not None:
-        top, head = text[view[at]] if at >= 0 else -1, down.peek()
-        if head is not None and -(head[0] // span) >= top:
-            key, packed = down.pop()
-            i, source = divmod(packed, span)
-            yield "S", i, source
-        else:
-            i = view[at]
-            at -= 2
-        if i and small[i - 1]:
-            count += 1
-            down.push(-text[i - 1] * span + count, (i - 1) * span + i)
-    order.close()
-
-
-def _ascending(text, small, seeds, n, queue, count, span, folder) -> Iterator[int]:
-    """The L suffixes in ascending order, each followed by the position that brought it in (n for the text's last)."""
-    seeds = iter(seeds)
-    seed = next(seeds, None)
-    if n and not small[n - 1]:  # the end of the text is smaller than all
-        queue.push(text[n - 1] * span, (n - 1) * span + n)
-    while seed is not None or queue.peek() is not None:
-        head = queue.peek()
-        if head is not None and (seed is None or head[0] // span <= text[seed]):
-            _, packed = queue.pop()
-            i, source = divmod(packed, span)
-            yield i
-            yield source
-        else:
-            i, seed = seed, next(seeds, None)
-        if i and not small[i - 1]:
-            count += 1
-            queue.push(text[i - 1] * span + count, (i - 1) * span + i)
+class Buckets:
+    """The queue: tuples by symbol, in order of arrival. At most ``held`` are in memory, besides a block that is visited."""
 
+    def __init__(self, folder: str, symbols: int, held: int):
+        self.folder, self.held, self.count = folder, held, 0
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+        self.files: dict[int, str] = {}
+
+    def push(self, symbol: np.ndarray, tuples: np.ndarray) -> None:
+        """symbol is ascending."""
+        if not len(symbol):
+            return
+        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        for s, a, b in zip(symbol[first].tolist(), first.tolist(), [*first[1:].tolist(), len(symbol)], strict=True):
+            self.parts[s].append(tuples[a:b])
+        self.count += len(symbol)
+        if self.count > self.held:
+            self._spill()
 
-def _types(text: memoryview, n: int, folder: str) -> Disk:
-    """1 where a suffix is smaller than the next; the last is larger, since nothing follows it."""
-    out = Disk(folder, "B", bytes(n))
-    for i in range(n - 2, -1, -1):
-        out.view[i] = 1 if text[i] < text[i + 1] or text[i] == text[i + 1] and out.view[i + 1] else 0
+    def _spill(self) -> None:
+        for s, parts in enumerate(self.parts):
+            if parts:
+                if s not in self.files:
+                    fd, self.files[s] = tempfile.mkstemp(dir=self.folder)
+                    os.close(fd)
+                with open(self.files[s], "ab") as f:
+                    np.concatenate(parts).tofile(f)
+                self.parts[s] = []
+        self.count = 0
+
+    def blocks(self, symbol: int) -> Iterator[np.ndarray]:
+        """The tuples of a symbol, those that arrive meanwhile too."""
+        while symbol in self.files or self.parts[symbol]:
+            name, parts = self.files.pop(symbol, None), self.parts[symbol]
+            self.parts[symbol] = []
+            self.count -= sum(map(len, parts))
+            if name is not None:
+                with open(name, "rb") as f:
+                    while len(block := np.fromfile(f, np.int64, _BLOCK)):
+                        yield block
+                os.remove(name)
+            if parts:
+                got = np.concatenate(parts)
+                for lo in range(0, len(got), _BLOCK):
+                    yield got[lo : lo + _BLOCK]
+
+
+class Carry:
+    """Least values between tuples of a bucket."""
+
+    def __init__(self, symbols: int, cap: int, step: int):
+        self.cap, self.step, self.least = cap, step, np.zeros(symbols, np.int64)
+
+    def __call__(self, value: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Values of the tuples that those at places ``at`` of a block of visited values bring in; symbol is theirs, ascending."""
+        if not len(at):
+            np.minimum(self.least, value.min(), out=self.least)
+            return value[:0]
+        first = np.append(True, symbol[1:] != symbol[:-1])
+        got = np.minimum.accumulate(value)[at]
+        got[first] = np.minimum(got[first], self.least[symbol[first]])
+        later = np.flatnonzero(~first)
+        if len(later):
+            lo, hi = at[later - 1] + 1, at[later]
+            level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1  # floor of the binary logarithm of the range's length
+            table = value
+            for k in range(int(level.max()) + 1):
+                if k:
+                    half = 1 << (k - 1)
+                    table = np.minimum(table[:-half], table[half:])
+                own = np.flatnonzero(level == k)
+                got[later[own]] = np.minimum(table[lo[own]], table[hi[own] + 1 - (1 << k)])
+        since = np.append(np.minimum.accumulate(value[::-1])[::-1], self.cap)
+        last = np.append(first[1:], True)
+        np.minimum(self.least, since[0], out=self.least)
+        self.least[symbol[last]] = since[at[last] + 1]
+        return np.minimum(got + self.step, self.cap)
+
+
+class Sweeps:
+    """Both sweeps over sorted seeds. ``low`` has the L suffixes ascending and ``high`` the S suffixes descending, as tuples,
+    with the place of each symbol's first and the number of its tuples."""
+
+    def __init__(self, text: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[np.ndarray]], folder: str, held: int, cap: int, step: int):
+        self.text, self.symbols, self.cap, self.step, self.folder, self.held = text, symbols, cap, step, folder, held
+        self.low_count, self.high_count = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
+        self._low, self._high = File(folder), File(folder)
+        self._up(seeds)
+        self.low = self._low.done()
+        self.low_at = np.append(0, np.cumsum(self.low_count))
+        self._down()
+        self.high = self._high.done()
+        self.high_at = np.append(0, np.cumsum(self.high_count[::-1]))[symbols - 1 :: -1]
+
+    def close(self) -> None:
+        self._low.drop()
+        self._high.drop()
+
+    def border(self, i: int, j: int) -> int:
+        """Symbols shared by an L suffix and an S suffix of the same first symbol."""
+        if not self.step:
+            return 0
+        return min(self._run(i), self._run(j), self.cap)
+
+    def _run(self, i: int) -> int:
+        head = self.text[i : i + self.cap]
+        other = np.flatnonzero(head != head[0])
+        return int(other[0]) if len(other) else len(head)
+
+    def _visit(self, queue: Buckets, carry: Carry, at: np.ndarray, value: np.ndarray, symbol: int, wanted: Callable) -> None:
+        before = self.text[np.maximum(at - 1, 0)]
+        some = np.flatnonzero((at > 0) & wanted(before, symbol))
+        some = some[np.argsort(before[some], kind="stable")]
+        to = before[some]
+        queue.push(to, (at[some] - 1) << _BITS | carry(value, to, some))
+
+    def _up(self, seeds: Callable[[int], Iterator[np.ndarray]]) -> None:
+        queue, carry = Buckets(self.folder, self.symbols, self.held), Carry(self.symbols, self.cap, self.step)
+        n = len(self.text)
+        if n:  # the end of the text is smaller than all
+            queue.push(self.text[n - 1 :], np.array([(n - 1) << _BITS]))
+        for symbol in range(self.symbols):
+            last = None
+            for block in queue.blocks(symbol):
+                at, value = block >> _BITS, block & _MASK
+                if last is None:
+                    value[0] = 0
+                last = int(at[-1])
+                self._low.append(at << _BITS | value)
+                self.low_count[symbol] += len(at)
+                self._visit(queue, carry, at, value, symbol, np.greater_equal)
+            fresh = True
+            for block in seeds(symbol):
+                at, value = block >> _BITS, block & _MASK
+                if fresh:
+                    value[0] = 0 if last is None else self.border(last, int(at[0]))
+                fresh = False
+                self._visit(queue, carry, at, value, symbol, np.greater)
+
+    def _down(self) -> None:
+        queue, carry = Buckets(self.folder, self.symbols, self.held), Carry(self.symbols, self.cap, self.step)
+        for symbol in range(self.symbols - 1, -1, -1):
+            last = None
+            for block in queue.blocks(symbol):
+                at, value = block >> _BITS, block & _MASK
+                if last is None:
+                    value[0] = 0
+                last = int(at[-1])
+                self._high.append(at << _BITS | value)
+                self.high_count[symbol] += len(at)
+                self._visit(queue, carry, at, value, symbol, np.less_equal)
+            begin, end = int(self.low_at[symbol]), int(self.low_at[symbol + 1])
+            # a value belongs to a suffix and the smaller one, so it is that of the visit after it
+            ahead = 0 if last is None or begin == end else self.border(int(self.low[end - 1]) >> _BITS, last)
+            for hi in range(end, begin, -_BLOCK):
+                block = np.asarray(self.low[max(begin, hi - _BLOCK) : hi])[::-1]
+                at, own = block >> _BITS, block & _MASK
+                value = np.append(ahead, own[:-1])
+                ahead = int(own[-1])
+                self._visit(queue, carry, at, value, symbol, np.less)
+
+    def ascending(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All suffixes in order, by blocks: positions, and symbols shared with the suffix before."""
+        for symbol in range(self.symbols):
+            begin, end = int(self.low_at[symbol]), int(self.low_at[symbol + 1])
+            last = None
+            for lo in range(begin, end, _BLOCK):
+                block = np.asarray(self.low[lo : min(end, lo + _BLOCK)])
+                last = int(block[-1]) >> _BITS
+                yield block >> _BITS, block & _MASK
+            begin = int(self.high_at[symbol])
+            end = begin + int(self.high_count[symbol])
+            ahead = 0 if last is None or begin == end else self.border(last, int(self.high[end - 1]) >> _BITS)
+            for hi in range(end, begin, -_BLOCK):
+                block = np.asarray(self.high[max(begin, hi - _BLOCK) : hi])[::-1]
+                own = block & _MASK
+                yield block >> _BITS, np.append(ahead, own[:-1])
+                ahead = int(own[-1])
+
+
+def _places(text: np.ndarray, folder: str) -> File:
+    """The positions of seeds: runs of a symbol after a greater and before a greater one."""
+    out = File(folder)
+    start, symbol = np.zeros(0, np.int64), np.zeros(0, text.dtype)
+    for lo in range(0, len(text), _BLOCK):
+        part = np.asarray(text[max(lo - 1, 0) : lo + _BLOCK])
+        new = np.flatnonzero(part[1:] != part[:-1]) + 1 + max(lo - 1, 0)
+        new = np.append(0, new) if not lo else new
+        start, symbol = np.append(start, new), np.append(symbol, np.asarray(text[new]))
+        out.append(start[1:-1][(symbol[:-2] > symbol[1:-1]) & (symbol[1:-1] < symbol[2:])])
+        start, symbol = start[-2:], symbol[-2:]
     return out
 
 
-def _is_seed(small: memoryview, i: int) -> bool:
-    return i > 0 and bool(small[i]) and not small[i - 1]
-
-
-def _sorted_seeds(text: memoryview, small: memoryview, n: int, folder: str, held: int) -> Disk:
-    """The seeds in the order of their suffixes."""
-    places = Disk(folder, "q", (i for i in range(1, n) if _is_seed(small, i)))
-    m = places.size
-    by_symbol = DiskQueue(folder, held)
-    for i in places.view if m else ():
-        by_symbol.push(text[i], i)
-
-    def drain(q: DiskQueue) -> Iterator[int]:
-        while q.peek() is not None:
-            yield q.pop()[1]
-
-    rough = Disk(folder, "q", (i for kind, i, _ in _sweeps(text, small, drain(by_symbol), n, folder, held) if kind == "S" and _is_seed(small, i)))
-    # rough is descending; equal substrings get equal names
-
-    def length(i: int) -> int:
-        j = i + 1
-        while j < n and not _is_seed(small, j):
-            j += 1
-        return j - i + 1 if j < n else n - i
-
-    name, before, named = -1, None, DiskQueue(folder, held)
-    for k in range(rough.size - 1, -1, -1):
-        i = rough.view[k]
-        own = length(i)
-        same = before is not None and own == before[1] and all(text[i + d] == text[before[0] + d] for d in range(own))
-        name += 0 if same else 1
-        before = (i, own)
-        named.push(i, name)
-    rough.close()
-    names = Disk(folder, "q", drain(named))
-    if name + 1 == m:
-        rank = Disk(folder, "q", [0] * m)
-        for k in range(m):
-            rank.view[names.view[k]] = places.view[k]
-        names.close()
-        places.close()
-        return rank
-    inner = suffix_order(names.view, m, folder, held)
-    out = Disk(folder, "q", (places.view[k] for k in inner.view))
-    inner.close()
-    names.close()
-    places.close()
+def _by_symbol(text: np.ndarray, symbols: int, order: Iterator[np.ndarray], folder: str, held: int) -> Buckets:
+    """Tuples in buckets of their first symbols."""
+    out = Buckets(folder, symbols, held)
+    for block in order:
+        first = text[block >> _BITS]
+        turn = np.argsort(first, kind="stable")
+        out.push(first[turn], block[turn])
     return out
 
 
-def _merged(text: memoryview, small: memoryview, n: int, seeds: Disk, folder: str, held: int) -> tuple[Disk, Disk]:
-    """L suffixes ascending and S suffixes descending, each followed by what brought it in."""
-    sweeps = _sweeps(text, small, seeds.view if seeds.size else (), n, folder, held)
-    first = next(sweeps, None)
-
-    def take(kind: str) -> Iterator[int]:
-        nonlocal first
-        while first is not None and first[0] == kind:
-            yield first[1]
-            yield first[2]
-            first = next(sweeps, None)
-
-    return Disk(folder, "q", take("L")), Disk(folder, "q", take("S"))
-
-
-def suffix_order(text: memoryview, n: int, folder: str, held: int = 1 << 18) -> Disk:
-    """The positions of text in the order of their suffixes."""
-    types = _types(text, n, folder)
-    seeds = _sorted_seeds(text, types.view, n, folder, held)
-    low, high = _merged(text, types.view, n, seeds, folder, held)
-
-    def both() -> Iterator[int]:
-        a, b = 0, high.size - 2
-        while a < low.size or b >= 0:
-            if b < 0 or a < low.size and text[low.view[a]] <= text[high.view[b]]:
-                yield low.view[a]
-                a += 2
-            else:
-                yield high.view[b]
-                b -= 2
-
-    out = Disk(folder, "q", both())
-    for x in (types, seeds, low, high):
-        x.close()
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a text in memory, by prefix doubling."""
+    m = len(names)
+    rank, k = np.asarray(names).astype(np.int64), 1
+    while True:
+        key = rank * (m + 1)
+        key[: m - k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        inner = key[order]
+        rank = np.empty(m, np.int64)
+        rank[order] = np.append(0, np.cumsum(inner[1:] != inner[:-1]))
+        if rank[order[-1]] == m - 1 or k >= m:
+            return order
+        k = min(2 * k, m)
+
+
+def _shared(text: np.ndarray, one: np.ndarray, other: np.ndarray, cap: int) -> np.ndarray:
+    """Leading symbols that pairs of suffixes share, up to cap."""
+    n, out, live = len(text), np.zeros(len(one), np.int64), np.arange(len(one))
+    for d in range(cap):
+        live = live[np.maximum(one[live], other[live]) + d < n]
+        live = live[text[one[live] + d] == text[other[live] + d]]
+        if not len(live):
+            break
+        out[live] += 1
     return out
 
 
-def suffixes(text: memoryview, n: int, cap: int, folder: str, held: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """(position, common prefix with the suffix before it, up to cap) in suffix order."""
-    types = _types(text, n, folder)
-    small = types.view
-    seeds = _sorted_seeds(text, small, n, folder, held)
-    low, high = _merged(text, small, n, seeds, folder, held)
-
-    def direct(i: int, j: int) -> int:
-        k, most = 0, min(cap, n - i, n - j)
-        while k < most and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    def carried(order: Disk, step: int) -> Disk:
-        """Values between neighbours of one type."""
-
-        def values() -> Iterator[int]:
-            before = None
-            for k in range(0, order.size, 2) if step > 0 else range(order.size - 2, -1, -2):
-                i, source = order.view[k], order.view[k + 1]
-                if before is None or text[i] != text[before[0]]:
-                    got = 0
-                elif before[1] < n and source < n and text[source] != text[before[1]]:
-                    got = 1  # brought in by suffixes that already differ in their first symbol
-                else:
-                    got = direct(i, before[0])
-                before = (i, source)
-                yield min(got, cap)
-
-        return Disk(folder, "q", values())
-
-    lv, hv = carried(low, 1), carried(high, -1)
-    a, b, before, kind = 0, high.size - 2, None, ""
-    while a < low.size or b >= 0:
-        if b < 0 or a < low.size and text[low.view[a]] <= text[high.view[b]]:
-            i, value, own, a = low.view[a], lv.view[a // 2], "L", a + 2
+def _sorted_seeds(text: np.ndarray, symbols: int, folder: str, held: int) -> Iterator[np.ndarray]:
+    """The positions of the seeds in the order of their suffixes, by blocks."""
+    file = _places(text, folder)
+    places, m = file.done(), file.size
+    if m:
+        rough = _by_symbol(text, symbols, (places[lo : lo + _BLOCK] << _BITS | 1 for lo in range(0, m, _BLOCK)), folder, held)
+        sweeps = Sweeps(text, symbols, rough.blocks, folder, held, 1, 0)
+        named = File(folder)
+        names = named.filled(m, 0)
+        name, tied = -1, 1  # tied: the least value since the last seed
+        for at, value in sweeps.ascending():
+            before = np.asarray(text[np.maximum(at - 1, 0)])
+            k = np.flatnonzero(before > text[at])  # seeds, and some L suffixes
+            where = np.searchsorted(places, at[k])
+            real = places[np.minimum(where, m - 1)] == at[k]
+            k = k[real]
+            if not len(k):
+                tied = min(tied, int(value.min()))
+                continue
+            least = np.minimum.reduceat(value[: k[-1] + 1], np.append(0, k[:-1] + 1))
+            least[0] = min(int(least[0]), tied)
+            number = name + np.cumsum(least == 0)
+            names[where[real]] = number
+            name = int(number[-1])
+            rest = value[k[-1] + 1 :]
+            tied = int(rest.min()) if len(rest) else 1
+        sweeps.close()
+        if name + 1 == m:
+            ranked = File(folder)
+            order = ranked.filled(m, 0)
+            for lo in range(0, m, _BLOCK):
+                own = names[lo : lo + _BLOCK]
+                order[own] = np.arange(lo, lo + len(own))
+            done = ranked.drop
+        elif m <= 8 * held:
+            order, done = _doubled(names), named.out.close
         else:
-            i, value, own, b = high.view[b], hv.view[(high.size - 2 - b) // 2], "S", b - 2
-        yield i, 0 if before is None else value if own == kind else direct(i, before)
-        before, kind = i, own
-    for x in (types, seeds, low, high, lv, hv):
-        x.close()
+            inner = queued.suffix_order(memoryview(names).cast("B").cast("q"), m, folder, held)
+            order, done = np.frombuffer(inner.view, np.int64), inner.close
+        for lo in range(0, m, _BLOCK):
+            yield places[order[lo : lo + _BLOCK]]
+        del order
+        done()
+        named.drop()
+    file.drop()
+
+
+def suffixes(text: np.ndarray, cap: int, folder: str, held: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (positions, symbols shared with the suffix before, up to cap) in suffix order; symbols are small integers."""
+    if not 0 < cap <= _MASK:
+        raise ValueError(f"a cap is from 1 to {_MASK}")
+    if not len(text):
+        return
+    symbols = max(int(text[lo : lo + _BLOCK].max()) for lo in range(0, len(text), _BLOCK)) + 1
+
+    def valued() -> Iterator[np.ndarray]:
+        last = None
+        for at in _sorted_seeds(text, symbols, folder, held):
+            value = _shared(text, np.append(at[0] if last is None else last, at[:-1]), at, cap)
+            last = at[-1]
+            yield at << _BITS | value
+
+    seeds = _by_symbol(text, symbols, valued(), folder, held)
+    sweeps = Sweeps(text, symbols, seeds.blocks, folder, held, cap, 1)
+    yield from sweeps.ascending()
+    sweeps.close()

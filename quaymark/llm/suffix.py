@@ -14,10 +14,8 @@ row; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import tempfile
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +27,11 @@ from . import induced
 from .bitmap import BitMap
 from .common import SpanHash, chunks, ship, table, text_view, written
 
-SIZE, PIECE, SHARD_BYTES = 50, 20, 1 << 20
+SIZE, PIECE = 50, 20
+#: Bytes of distinct runs that a task sorts: some 40 bytes of files and, at most, of memory each.
+SHARD_BYTES = 8 << 20
 _LAST = (1 << 63) - 1
+_BLOCK = 1 << 16
 
 
 def runs(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,88 +102,102 @@ class Shard:
 
     def __init__(self, folder: str, size: int, held: int):
         self.folder, self.size, self.held = folder, size, held
-        self.file = tempfile.NamedTemporaryFile(dir=folder)  # noqa: SIM115
-        self.begin, self.low, self.high, self.m, self.sh, self.n = array("q"), array("q"), array("q"), array("q"), array("q"), 0
-
-    def add(self, m: int, sh: int, seg: bytes, low: int, high: int) -> None:
-        self.begin.append(self.n)
-        for col, v in ((self.low, low), (self.high, high), (self.m, m), (self.sh, sh)):
-            col.append(v)
-        np.append(np.frombuffer(seg, np.uint8).astype(np.uint16) + 1, np.uint16(0)).tofile(self.file)
-        self.n += len(seg) + 1
-
-    def results(self) -> Iterator[tuple[int, int, list[dict]]]:
+        self.file = induced.File(folder, np.uint16)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, m: pa.Array, sh: pa.Array, seg: pa.Array, low: pa.Array, high: pa.Array) -> None:
+        _, offsets, data = seg.buffers()
+        off = np.frombuffer(offsets, np.int32, len(seg) + 1, seg.offset * 4).astype(np.int64)
+        n = np.diff(off)
+        symbols = np.zeros(int(n.sum()) + len(seg), np.uint16)
+        symbols[np.arange(int(n.sum())) + np.repeat(np.arange(len(seg)), n)] = np.frombuffer(data, np.uint8)[off[0] : off[-1]].astype(np.uint16) + 1
+        begin = self.file.size + off[:-1] - off[0] + np.arange(len(seg))
+        self.file.append(symbols)
+        self.parts.append((begin, *(c.to_numpy() for c in (m, sh, low, high))))
+
+    def results(self) -> Iterator[pa.RecordBatch]:
         """Each segment's minimizer and hash with its windows that some of its documents lose: offset, count, smallest document."""
-        self.file.flush()
-        view = np.memmap(self.file.name, np.uint16, "r", shape=(self.n,))
-        symbols = memoryview(view)
-        lost: dict[int, list[tuple[int, int]]] = {}
-        group: list[tuple[int, int]] = []
-
-        def close() -> None:
-            first = min(self.low[s] for s, _ in group)
-            for s, o in group:
-                if self.high[s] > first:
-                    lost.setdefault(s, []).append((o, first))
-
-        for at, shared in induced.suffixes(symbols, self.n, self.size, self.folder, self.held):
-            if group and shared < self.size:
-                close()
-                group = []
-            s = bisect.bisect_right(self.begin, at) - 1
-            end = self.begin[s + 1] if s + 1 < len(self.begin) else self.n
-            if at + self.size < end:
-                group.append((s, at - self.begin[s]))
-        if group:
-            close()
-        for s, marks in lost.items():
-            marks.sort()
-            spans: list[dict] = []
-            for o, first in marks:
-                if spans and spans[-1]["lo"] == first and spans[-1]["o"] + spans[-1]["n"] == o:
-                    spans[-1]["n"] += 1
-                else:
-                    spans.append({"o": o, "n": 1, "lo": first})
-            yield self.m[s], self.sh[s], spans
-        symbols.release()
-        self.file.close()
+        begin, m, sh, low, high = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        symbols, n = self.file.done(), self.file.size
+        end = np.append(begin[1:], n)
+        # places of windows in suffix order, numbered by groups of equal ones, and the least document of each group
+        places, groups, least = (induced.File(self.folder) for _ in range(3))
+        group, pending = -1, _LAST
+        for at, shared in induced.suffixes(symbols, self.size, self.folder, self.held):
+            new = shared < self.size
+            own = group + np.cumsum(new)
+            s = np.searchsorted(begin, at, "right") - 1
+            window = at + self.size < end[s]
+            first = np.flatnonzero(np.append(True, new[1:]))
+            found = np.minimum.reduceat(np.where(window, low[s], _LAST), first)
+            if not new[0]:
+                found[0] = min(int(found[0]), pending)
+            elif group >= 0:
+                least.append(np.array([pending]))
+            least.append(found[:-1])
+            group, pending = int(own[-1]), int(found[-1])
+            places.append(at[window])
+            groups.append(own[window])
+        least.append(np.array([pending]))
+        at, own, by_group = places.done(), groups.done(), least.done()
+        lost = induced.File(self.folder)
+        marks = lost.filled(n, _LAST)
+        for lo in range(0, len(at), _BLOCK):
+            here, doc = at[lo : lo + _BLOCK], by_group[own[lo : lo + _BLOCK]]
+            some = high[np.searchsorted(begin, here, "right") - 1] > doc
+            marks[here[some]] = doc[some]
+        s = 0
+        while s < len(begin):
+            e = max(s + 1, int(np.searchsorted(end, begin[s] + _BLOCK, "right")))
+            yield self._spans(marks[begin[s] : end[e - 1]], begin[s:e] - begin[s], m[s:e], sh[s:e])
+            s = e
+        for f in (self.file, places, groups, least, lost):
+            f.drop()
+
+    @staticmethod
+    def _spans(mark: np.ndarray, begin: np.ndarray, m: np.ndarray, sh: np.ndarray) -> pa.RecordBatch:
+        """Rows of the segments that have marks; no mark is next to another segment's."""
+        edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+        start, stop = np.append(0, edge), np.append(edge, len(mark))
+        lo = mark[start]
+        some = lo != _LAST
+        start, stop, lo = start[some], stop[some], np.asarray(lo[some])
+        s = np.searchsorted(begin, start, "right") - 1
+        own, count = np.unique(s, return_counts=True)
+        spans = pa.StructArray.from_arrays([pa.array((start - begin[s]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(lo)], fields=list(_SPAN))
+        lost = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), spans)
+        return pa.RecordBatch.from_arrays([pa.array(m[own]), pa.array(sh[own]), lost], names=["m", "sh", "lost"])
 
 
 _LOST = "lost array<struct<o:int,n:int,lo:long>>"
+_SPAN = pa.struct([("o", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())])
 
 
 def _sorted(distinct: DataFrame, shards: int, size: int, held: int) -> DataFrame:
     """(m, sh, lost) of distinct segments (m, sh, seg, lo, hi), shard by shard."""
-    kinds = pa.schema([("m", pa.int64()), ("sh", pa.int64()), ("lost", pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
             now, shard = None, None
-
-            def done() -> Iterator[pa.RecordBatch]:
-                rows = []
-                for m, sh, lost in shard.results():
-                    rows.append({"m": m, "sh": sh, "lost": lost})
-                    if len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, kinds)
-
             for batch in batches:
-                for no, m, sh, seg, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if no != now:
+                no = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(no[1:] != no[:-1]) + 1).tolist(), len(no)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if no[a] != now:
                         if shard:
-                            yield from done()
-                        now, shard = no, Shard(folder, size, held)
-                    shard.add(m, sh, seg, low, high)
+                            yield from shard.results()
+                        now, shard = no[a], Shard(folder, size, held)
+                    shard.add(*(c.slice(a, b - a) for c in batch.columns[1:]))
             if shard:
-                yield from done()
+                yield from shard.results()
 
     rows = distinct.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "sh", "seg", "lo", "hi").repartition(shards, "shard").sortWithinPartitions("shard")
     return rows.mapInArrow(run, f"m long, sh long, {_LOST}")
 
 
-def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, held: int = 1 << 17, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, held: int = 1 << 18, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes that stay."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))

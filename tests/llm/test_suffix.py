@@ -1,8 +1,8 @@
 import hashlib
 import random
 import tempfile
-from array import array
 
+import numpy as np
 import pytest
 
 from quaymark.llm import induced, suffix
@@ -11,15 +11,20 @@ from quaymark.llm.common import table
 
 def order(text, cap, held):
     with tempfile.TemporaryDirectory() as folder:
-        return list(induced.suffixes(memoryview(array("q", text)), len(text), cap, folder, held))
+        blocks = induced.suffixes(np.array(text, np.uint16), cap, folder, held)
+        return [pair for at, shared in blocks for pair in zip(at.tolist(), shared.tolist(), strict=True)]
 
 
-@pytest.mark.parametrize("held", [8, 1000])
-def test_suffix_order(held):
+@pytest.mark.parametrize("block", [3, 1 << 16])
+@pytest.mark.parametrize("held", [1, 8, 1000])
+def test_suffix_order(held, block, monkeypatch):
+    """Blocks and queues smaller than the text; names that repeat go to disk-backed queues where held is 1."""
+    monkeypatch.setattr(induced, "_BLOCK", block)
     rng = random.Random(1)
-    for _ in range(150):
+    for turn in range(150):
         n = rng.randrange(0, 70)
-        t = [rng.randrange(rng.choice([1, 2, 3, 9]) + 1) for _ in range(n)]
+        t = [rng.randrange(rng.choice([1, 2, 3, 9]) + 1) for _ in range(n)] * (1 + 2 * (turn % 3 == 0))
+        n = len(t)
         got = order(t, 5, held)
         assert [p for p, _ in got] == sorted(range(n), key=lambda i: t[i:])
         for (p, _), (q, shared) in zip(got, got[1:], strict=False):
@@ -29,6 +34,19 @@ def test_suffix_order(held):
             assert shared == k
 
 
+def test_values_are_carried(monkeypatch):
+    """Only seeds are compared with the text symbol by symbol."""
+    rng = random.Random(2)
+    piece = [rng.randrange(1, 27) for _ in range(300)]
+    t = [x for _ in range(20) for x in [*piece[rng.randrange(100) :], 0]]
+    compared, plain = [], induced._shared
+    monkeypatch.setattr(induced, "_shared", lambda text, one, other, cap: compared.append(len(one)) or plain(text, one, other, cap))
+    got = order(t, 50, 64)
+    assert [p for p, _ in got] == sorted(range(len(t)), key=lambda i: t[i:])
+    assert sum(compared) < len(t) / 2
+    assert sum(shared == 50 for _, shared in got) > len(t) / 2
+
+
 def brute(docs, size=50):
     last = 1 << 63
     first = {}
@@ -63,6 +81,7 @@ def test_matches_brute_force(spark):
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, m int, start int")
     assert rows(suffix.dedup(df)) == brute(docs)
     assert rows(suffix.dedup(df, shard_bytes=2000, held=64)) == brute(docs)
+    assert rows(suffix.dedup(df, shard_bytes=1 << 30, held=64)) == brute(docs)  # eight shards of far more than held
     kept = suffix.dedup(df, keep_text=True).collect()
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in kept)
     assert suffix.dedup(df.limit(0)).collect() == []
