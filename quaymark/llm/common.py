@@ -60,6 +60,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(home)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``written``, after which the driver looks for shuffles that nothing refers to any more, so that executors delete them."""
+    out = written(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores until no column of ``taken`` is called so."""
     while name.lower() in {c.lower() for c in taken}:

@@ -4,8 +4,9 @@ Windows of ``size`` bytes are dealt to shards by their minimizer, the least hash
 windows meet. Minimizers that only one document has are left out, and equal runs of windows are one row, by two hashes of 64 bits,
 with the least and greatest document that has it; a minimizer that very many documents share is met by aggregates and
 splittable joins only. Where all runs of a minimizer are equal, the smallest document keeps them whole. The others' bytes
-go to shards, whose runs are written to a file and put in suffix order by external induced sorting; neighbours that share
-``size`` bytes are one window, and its smallest document keeps it.
+go to shards, whose runs are written to a file and put in suffix order by external induced sorting (``induced``); neighbours
+that share ``size`` bytes are one window, and its smallest document keeps it. Runs are found again in each pass over the texts,
+by bit maps of those that still matter, rather than kept: they are more bytes than the texts.
 
 Defined results: null texts are empty; texts shorter than ``size`` stay whole; long texts are taken whole; documents with
 equal ids, and those with none (which come after all others), take nothing from each other; repeated rows each get their
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import induced
 from .bitmap import BitMap
-from .common import SpanHash, chunks, ship, table, text_view, written
+from .common import SpanHash, chunks, settled, ship, table, text_view
 
 SIZE, PIECE = 50, 20
 #: Bytes of distinct runs that a task sorts: some 40 bytes of files and, at most, of memory each.
@@ -75,26 +76,39 @@ def _minimizers(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "m long, doc long")
 
 
-def _segments(docs: DataFrame, known: BitMap, size: int, k: int, whole: bool) -> DataFrame:
-    """(m, doc, th, start, n, sh) of the runs whose minimizers may be known: where each starts, its windows and hash; with
-    whole its bytes as seg."""
-    names = ["m", "doc", "th", "start", "n", "sh", *["seg"] * whole]
+def _turned(m):
+    """Halves exchanged: a least hash has its chance in the low bits, and bit maps take the high ones."""
+    if isinstance(m, np.ndarray):
+        m = m.view(np.uint64)
+        return (m << np.uint64(32)) | (m >> np.uint64(32))
+    return F.shiftleft(m, 32).bitwiseOR(F.shiftrightunsigned(m, 32))
+
+
+def _segments(docs: DataFrame, size: int, k: int, minimizers: BitMap | None = None, hashes: BitMap | None = None, whole: bool = False) -> DataFrame:
+    """(m, sh, doc, th, start, n) of the runs whose minimizers or hashes may be in a bit map: where each starts, its windows and
+    hash; with whole m, sh and the bytes as seg."""
+    names = ["m", "sh", "seg"] if whole else ["m", "sh", "doc", "th", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, 2):
             data, off = text_view(chunk.column(2))
             d, start, n, m = runs(data, off, size, k)
-            some = np.flatnonzero(known(m))
-            d, start, n, m = d[some], start[some], n[some], m[some]
-            own, end = pa.array(d), start + n + size - 1
-            sh = SpanHash(data)(start, end).view(np.int64) if len(start) else np.zeros(0, np.int64)
-            cols = [pa.array(m), chunk.column(0).take(own), chunk.column(1).take(own), pa.array(start - off[d]), pa.array(n), pa.array(sh)]
+            if minimizers is not None:
+                some = np.flatnonzero(minimizers(_turned(m)))
+                d, start, n, m = d[some], start[some], n[some], m[some]
+            sh = SpanHash(data)(start, start + n + size - 1).view(np.int64) if len(start) else np.zeros(0, np.int64)
+            if hashes is not None:
+                some = np.flatnonzero(hashes(sh))
+                d, start, n, m, sh = d[some], start[some], n[some], m[some], sh[some]
             if whole:
                 raw = data.tobytes()
-                cols.append(pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + n + size - 1).tolist(), strict=True)], pa.binary())]
+            else:
+                own = pa.array(d)
+                cols = [chunk.column(0).take(own), chunk.column(1).take(own), pa.array(start - off[d]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sh), *cols], names=names)
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "m long, doc long, th long, start long, n long, sh long" + ", seg binary" * whole)
+    return docs.select("doc", "th", "text").mapInArrow(run, "m long, sh long, " + ("seg binary" if whole else "doc long, th long, start long, n long"))
 
 
 class Shard:
@@ -201,18 +215,18 @@ def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: in
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes that stay."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    shared = written(_minimizers(rows, size, piece).groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m"))
-    known = BitMap(shared, F.col("m"), 26)
-    segments = written(_segments(rows, known, size, piece, False).join(shared, "m", "left_semi"))
+    shared = settled(_minimizers(rows, size, piece).groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m"))
     # how many different segments a minimizer has; one alone is lost by all documents but its first, whole
-    kinds = written(segments.groupBy("m", "sh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("n").alias("n")))
-    many = written(kinds.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"))
+    found = _segments(rows, size, piece, minimizers=BitMap(shared, _turned(F.col("m")), 26))
+    kinds = settled(found.groupBy("m", "sh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("n").alias("n")))
+    many = settled(kinds.groupBy("m").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1 AND lo < hi").select("m"))
     alone = kinds.where("lo < hi").join(many, "m", "left_anti").select("m", "sh", F.array(F.struct(F.lit(0).alias("o"), F.col("n").cast("int").alias("n"), "lo")).alias("lost"))
-    bytes_ = _segments(rows, BitMap(many, F.col("m"), 26), size, piece, True).groupBy("m", "sh").agg(F.first("seg").alias("seg"))
-    distinct = written(bytes_.join(kinds.join(many, "m", "left_semi"), ["m", "sh"]).select("m", "sh", "seg", "lo", "hi"))
+    bytes_ = _segments(rows, size, piece, minimizers=BitMap(many, _turned(F.col("m")), 26), whole=True).groupBy("m", "sh").agg(F.first("seg").alias("seg"))
+    distinct = settled(bytes_.join(kinds.join(many, "m", "left_semi"), ["m", "sh"]).select("m", "sh", "seg", "lo", "hi"))
     total = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
-    lost = alone.unionAll(_sorted(distinct, max(8, -(-total // shard_bytes)), size, held))
-    each = segments.join(lost, ["m", "sh"]).select("doc", "th", "start", F.explode("lost").alias("x")).where("x.lo < doc")
+    lost = settled(alone.unionAll(_sorted(distinct, max(8, -(-total // shard_bytes)), size, held)))
+    losing = _segments(rows, size, piece, hashes=BitMap(lost, F.col("sh"), 26)).join(lost, ["m", "sh"])
+    each = losing.select("doc", "th", "start", F.explode("lost").alias("x")).where("x.lo < doc")
     spans = each.select("doc", "th", F.struct((F.col("start") + F.col("x.o")).alias("s"), (F.col("start") + F.col("x.o") + F.col("x.n") - 1 + size).alias("e")).alias("span"))
     spans = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
