@@ -188,27 +188,18 @@ _SPAN = pa.struct([("o", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())])
 
 
 def _sorted(distinct: DataFrame, shards: int, size: int, held: int) -> DataFrame:
-    """(m, sh, lost) of distinct segments (m, sh, seg, lo, hi), shard by shard."""
+    """(m, sh, lost) of distinct segments (m, sh, seg, lo, hi); a partition is a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            now, shard = None, None
+            shard = Shard(folder, size, held)
             for batch in batches:
-                no = batch.column(0).to_numpy()
-                cuts = [0, *(np.flatnonzero(no[1:] != no[:-1]) + 1).tolist(), len(no)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if a == b:
-                        continue
-                    if no[a] != now:
-                        if shard:
-                            yield from shard.results()
-                        now, shard = no[a], Shard(folder, size, held)
-                    shard.add(*(c.slice(a, b - a) for c in batch.columns[1:]))
-            if shard:
+                if batch.num_rows:
+                    shard.add(*batch.columns)
+            if shard.parts:
                 yield from shard.results()
 
-    rows = distinct.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "sh", "seg", "lo", "hi").repartition(shards, "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, f"m long, sh long, {_LOST}")
+    return distinct.select("m", "sh", "seg", "lo", "hi").repartition(shards, "m").mapInArrow(run, f"m long, sh long, {_LOST}")
 
 
 def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, held: int = 1 << 18, keep_text: bool = False) -> DataFrame:
