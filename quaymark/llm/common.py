@@ -149,6 +149,12 @@ class SpanHash:
         with np.errstate(over="ignore"):
             return mix((self._sum[end] - self._sum[start]) * self._pinv[start])
 
+    def each(self, k: int) -> np.ndarray:
+        """Those of the spans of k symbols that start at 0, 1 and so on."""
+        n = len(self._sum) - k
+        with np.errstate(over="ignore"):
+            return mix((self._sum[k:] - self._sum[:n]) * self._pinv[:n])
+
 
 def word_spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of each maximal run of word bytes; runs end at document ends."""

@@ -45,20 +45,36 @@ class File:
 
     def done(self) -> np.ndarray:
         self.out.close()
-        return np.memmap(self.name, self.kind, "r", shape=(self.size,)) if self.size else np.zeros(0, self.kind)
+        return np.asarray(np.memmap(self.name, self.kind, "r", shape=(self.size,))) if self.size else np.zeros(0, self.kind)
 
     def filled(self, n: int, value: int) -> np.ndarray:
         """n times value, to be written to at any place."""
         for lo in range(0, n, _BLOCK):
             self.append(np.full(min(_BLOCK, n - lo), value, self.kind))
         self.out.close()
-        return np.memmap(self.name, self.kind, "r+", shape=(n,)) if n else np.zeros(0, self.kind)
+        return np.asarray(np.memmap(self.name, self.kind, "r+", shape=(n,))) if n else np.zeros(0, self.kind)
 
     def drop(self) -> None:
         self.out.close()
         os.remove(self.name)
 
 
+class Rank:
+    """Numbers ascending positions below n: by their bit map, with a count a word."""
+
+    def __init__(self, places: np.ndarray, n: int):
+        self.words = np.zeros((n >> 6) + 1, np.uint64)
+        for lo in range(0, len(places), _BLOCK):
+            own = places[lo : lo + _BLOCK]
+            np.bitwise_or.at(self.words, own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+        self.before = np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words)
+
+    def __call__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the positions are less, and whether it is one of them."""
+        word, bit = self.words[at >> 6], np.uint64(1) << (at & 63).astype(np.uint64)
+        return self.before[at >> 6] + np.bitwise_count(word & (bit - np.uint64(1))), (word & bit) != 0
+
+
 class Buckets:
     """The queue: tuples by symbol, in order of arrival. At most ``held`` are in memory, besides a block that is visited."""
 
@@ -265,17 +281,22 @@ def _by_symbol(text: np.ndarray, symbols: int, order: Iterator[np.ndarray], fold
 
 def _doubled(names: np.ndarray) -> np.ndarray:
     """Suffix order of a text in memory, by prefix doubling."""
-    m = len(names)
-    rank, k = np.asarray(names).astype(np.int64), 1
+    m, k = len(names), 1
+    names = np.asarray(names).astype(np.int64) + 1
+    base, key = int(names.max()) + 1, names
+    while base ** (k + 1) < 1 << 63 and k < m:  # as many names as a key holds
+        key = key * base
+        key[: m - k] += names[k:]
+        k += 1
     while True:
-        key = rank * (m + 1)
-        key[: m - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         inner = key[order]
         rank = np.empty(m, np.int64)
         rank[order] = np.append(0, np.cumsum(inner[1:] != inner[:-1]))
         if rank[order[-1]] == m - 1 or k >= m:
             return order
+        key = rank * (m + 1)
+        key[: m - k] += rank[k:] + 1
         k = min(2 * k, m)
 
 
@@ -299,13 +320,12 @@ def _sorted_seeds(text: np.ndarray, symbols: int, folder: str, held: int) -> Ite
         rough = _by_symbol(text, symbols, (places[lo : lo + _BLOCK] << _BITS | 1 for lo in range(0, m, _BLOCK)), folder, held)
         sweeps = Sweeps(text, symbols, rough.blocks, folder, held, 1, 0)
         named = File(folder)
-        names = named.filled(m, 0)
+        names, rank = named.filled(m, 0), Rank(places, len(text))
         name, tied = -1, 1  # tied: the least value since the last seed
         for at, value in sweeps.ascending():
             before = np.asarray(text[np.maximum(at - 1, 0)])
             k = np.flatnonzero(before > text[at])  # seeds, and some L suffixes
-            where = np.searchsorted(places, at[k])
-            real = places[np.minimum(where, m - 1)] == at[k]
+            where, real = rank(at[k])
             k = k[real]
             if not len(k):
                 tied = min(tied, int(value.min()))
@@ -332,7 +352,7 @@ def _sorted_seeds(text: np.ndarray, symbols: int, folder: str, held: int) -> Ite
             order, done = np.frombuffer(inner.view, np.int64), inner.close
         for lo in range(0, m, _BLOCK):
             yield places[order[lo : lo + _BLOCK]]
-        del order
+        del order, rank
         done()
         named.drop()
     file.drop()

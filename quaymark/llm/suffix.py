@@ -30,9 +30,15 @@ from .common import SpanHash, chunks, settled, ship, table, text_view
 
 SIZE, PIECE = 50, 20
 #: Bytes of distinct runs that a task sorts: some 40 bytes of files and, at most, of memory each.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+#: Shards at least: of few bytes they are small, as all that tasks sort at once is on disk.
+SHARDS = 24
 _LAST = (1 << 63) - 1
 _BLOCK = 1 << 16
+#: Low bits of a span hold its length, the others its start.
+_LENGTH = 31
+#: Bytes of text in a step of a pass: its arrays, of eight bytes each, stay in a core's cache.
+_PASS = 1 << 17
 
 
 def runs(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,9 +47,7 @@ def runs(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarr
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none, none
-    at = np.arange(n - k + 1)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    h = SpanHash(data)(at, at + k)
+    h = SpanHash(data).each(k)
     width = size - k + 1
     least, have = h, 1
     while have * 2 <= width:
@@ -51,20 +55,27 @@ def runs(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarr
         have *= 2
     rest = width - have
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    start = np.flatnonzero(np.arange(len(least)) + size <= off[1:][doc[: len(least)]])
-    if not len(start):
+    # windows that cross an end: some size - 1 of them stand between those of two texts
+    crossing = np.zeros(n + 1, np.int32)
+    np.add.at(crossing, np.maximum(off[1:] - size + 1, off[:-1]), 1)
+    np.add.at(crossing, off[1:], -1)
+    fits = np.cumsum(crossing[: len(least)]) == 0
+    edge = np.append(True, least[1:] != least[:-1])
+    edge[1:] |= ~fits[:-1]
+    first = np.flatnonzero(edge & fits)
+    if not len(first):
         return none, none, none, none
-    m = least[start]
-    new = np.concatenate([[True], (m[1:] != m[:-1]) | (start[1:] != start[:-1] + 1) | (doc[start[1:]] != doc[start[:-1]])])
-    first = np.flatnonzero(new)
-    return doc[start[first]], start[first], np.diff(np.append(first, len(start))), m[first].view(np.int64)
+    edge[:-1] = edge[1:] | ~fits[1:]
+    edge[-1] = True
+    last = np.flatnonzero(edge & fits)
+    return np.searchsorted(off, first, "right") - 1, first, last - first + 1, least[first].view(np.int64)
 
 
 def _minimizers(docs: DataFrame, size: int, k: int) -> DataFrame:
     """(m, doc): the minimizers of each row of docs (doc, th, text), those of a batch once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, 1):
+        for chunk in chunks(batches, 1, _PASS):
             data, off = text_view(chunk.column(1))
             d, _, _, m = runs(data, off, size, k)
             order = np.lexsort((d, m))
@@ -86,11 +97,11 @@ def _turned(m):
 
 def _segments(docs: DataFrame, size: int, k: int, minimizers: BitMap | None = None, hashes: BitMap | None = None, whole: bool = False) -> DataFrame:
     """(m, sh, doc, th, start, n) of the runs whose minimizers or hashes may be in a bit map: where each starts, its windows and
-    hash; with whole m, sh and the bytes as seg."""
-    names = ["m", "sh", "seg"] if whole else ["m", "sh", "doc", "th", "start", "n"]
+    hash; with whole m, sh, doc and the bytes as seg."""
+    names = ["m", "sh", "doc", "seg"] if whole else ["m", "sh", "doc", "th", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, 2):
+        for chunk in chunks(batches, 2, _PASS):
             data, off = text_view(chunk.column(2))
             d, start, n, m = runs(data, off, size, k)
             if minimizers is not None:
@@ -102,13 +113,13 @@ def _segments(docs: DataFrame, size: int, k: int, minimizers: BitMap | None = No
                 d, start, n, m, sh = d[some], start[some], n[some], m[some], sh[some]
             if whole:
                 raw = data.tobytes()
-                cols = [pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + n + size - 1).tolist(), strict=True)], pa.binary())]
+                cols = [chunk.column(0).take(pa.array(d)), pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + n + size - 1).tolist(), strict=True)], pa.binary())]
             else:
                 own = pa.array(d)
                 cols = [chunk.column(0).take(own), chunk.column(1).take(own), pa.array(start - off[d]), pa.array(n)]
             yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sh), *cols], names=names)
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "m long, sh long, " + ("seg binary" if whole else "doc long, th long, start long, n long"))
+    return docs.select("doc", "th", "text").mapInArrow(run, "m long, sh long, " + "doc long, " + ("seg binary" if whole else "th long, start long, n long"))
 
 
 class Shard:
@@ -133,14 +144,19 @@ class Shard:
         """Each segment's minimizer and hash with its windows that some of its documents lose: offset, count, smallest document."""
         begin, m, sh, low, high = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         symbols, n = self.file.done(), self.file.size
-        end = np.append(begin[1:], n)
+        end, rank = np.append(begin[1:], n), induced.Rank(begin, n)
+
+        def owner(at: np.ndarray) -> np.ndarray:
+            less, first = rank(at)
+            return less + first - 1
+
         # places of windows in suffix order, numbered by groups of equal ones, and the least document of each group
         places, groups, least = (induced.File(self.folder) for _ in range(3))
         group, pending = -1, _LAST
         for at, shared in induced.suffixes(symbols, self.size, self.folder, self.held):
             new = shared < self.size
             own = group + np.cumsum(new)
-            s = np.searchsorted(begin, at, "right") - 1
+            s = owner(at)
             window = at + self.size < end[s]
             first = np.flatnonzero(np.append(True, new[1:]))
             found = np.minimum.reduceat(np.where(window, low[s], _LAST), first)
@@ -158,7 +174,7 @@ class Shard:
         marks = lost.filled(n, _LAST)
         for lo in range(0, len(at), _BLOCK):
             here, doc = at[lo : lo + _BLOCK], by_group[own[lo : lo + _BLOCK]]
-            some = high[np.searchsorted(begin, here, "right") - 1] > doc
+            some = high[owner(here)] > doc
             marks[here[some]] = doc[some]
         s = 0
         while s < len(begin):
@@ -202,6 +218,24 @@ def _sorted(distinct: DataFrame, shards: int, size: int, held: int) -> DataFrame
     return distinct.select("m", "sh", "seg", "lo", "hi").repartition(shards, "m").mapInArrow(run, f"m long, sh long, {_LOST}")
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``settled`` that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            home = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            home.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(home, True)
+
+
+def merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of the maximal runs that ascending spans cover."""
+    if not len(spans):
+        return []
+    start = spans >> _LENGTH
+    end = np.maximum.accumulate(start + (spans & ((1 << _LENGTH) - 1)))
+    first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return list(zip(start[first].tolist(), end[np.append(first[1:], len(start)) - 1].tolist(), strict=True))
+
+
 def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, held: int = 1 << 18, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes that stay."""
     ship(docs.sparkSession)
@@ -211,15 +245,21 @@ def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: in
     found = _segments(rows, size, piece, minimizers=BitMap(shared, _turned(F.col("m")), 26))
     kinds = settled(found.groupBy("m", "sh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("n").alias("n")))
     many = settled(kinds.groupBy("m").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1 AND lo < hi").select("m"))
-    alone = kinds.where("lo < hi").join(many, "m", "left_anti").select("m", "sh", F.array(F.struct(F.lit(0).alias("o"), F.col("n").cast("int").alias("n"), "lo")).alias("lost"))
-    bytes_ = _segments(rows, size, piece, minimizers=BitMap(many, _turned(F.col("m")), 26), whole=True).groupBy("m", "sh").agg(F.first("seg").alias("seg"))
-    distinct = settled(bytes_.join(kinds.join(many, "m", "left_semi"), ["m", "sh"]).select("m", "sh", "seg", "lo", "hi"))
+    alone = settled(kinds.where("lo < hi").join(many, "m", "left_anti").select("m", "sh", F.array(F.struct(F.lit(0).alias("o"), F.col("n").cast("int").alias("n"), "lo")).alias("lost")))
+    _drop(shared, kinds)
+    runs_of_many = _segments(rows, size, piece, minimizers=BitMap(many, _turned(F.col("m")), 26), whole=True)
+    distinct = runs_of_many.groupBy("m", "sh").agg(F.first("seg").alias("seg"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    distinct = settled(distinct.join(many, "m", "left_semi").select("m", "sh", "seg", "lo", "hi"))
     total = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
-    lost = settled(alone.unionAll(_sorted(distinct, max(8, -(-total // shard_bytes)), size, held)))
+    ordered = settled(_sorted(distinct, max(SHARDS, -(-total // shard_bytes)), size, held))
+    lost = alone.unionAll(ordered)
+    _drop(many, distinct)
     losing = _segments(rows, size, piece, hashes=BitMap(lost, F.col("sh"), 26)).join(lost, ["m", "sh"])
     each = losing.select("doc", "th", "start", F.explode("lost").alias("x")).where("x.lo < doc")
-    spans = each.select("doc", "th", F.struct((F.col("start") + F.col("x.o")).alias("s"), (F.col("start") + F.col("x.o") + F.col("x.n") - 1 + size).alias("e")).alias("span"))
-    spans = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    # start and length in one number: a text has less than 2 ** 31 bytes
+    spans = each.select("doc", "th", F.shiftleft(F.col("start") + F.col("x.o"), _LENGTH).bitwiseOR((F.col("x.n") - 1 + size).cast("long")).alias("span"))
+    spans = settled(spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list("span")).alias("spans")))
+    _drop(alone, ordered)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +267,11 @@ def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: in
             data, off = text_view(chunk.column(1))
             raw, out = data.tobytes(), [[], [], [], [], []]
             for a, b, own in zip(off[:-1].tolist(), off[1:].tolist(), chunk.column(2).to_pylist(), strict=True):
-                at, kept, gone = 0, [], 0
-                for x in own or ():
-                    if x["s"] > at or not gone:
-                        kept.append(raw[a + at : a + x["s"]])
-                        gone += 1
-                    at = max(at, x["e"])
+                at, kept = 0, []
+                for lo, hi in merged(np.array(own or (), np.int64)):
+                    kept.append(raw[a + at : a + lo])
+                    at = hi
+                gone = len(kept)
                 kept.append(raw[a + at : b])
                 text = b"".join(kept)
                 for col, v in zip(out, (b - a, b - a - len(text), gone, hashlib.sha256(text).hexdigest(), text), strict=True):

@@ -87,6 +87,28 @@ def test_matches_brute_force(spark):
     assert suffix.dedup(df.limit(0)).collect() == []
 
 
+def test_few_bytes_are_many_small_shards(spark, monkeypatch):
+    """What tasks sort at once is on disk: a few large shards of a small table took more of it than the table allows."""
+    dealt, plain = [], suffix._sorted
+    monkeypatch.setattr(suffix, "_sorted", lambda distinct, shards, *a: dealt.append(shards) or plain(distinct, shards, *a))
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcd ") for _ in range(400))
+    docs = [(i, a[rng.randrange(100) : 300 + rng.randrange(100)]) for i in range(20)]
+    assert rows(suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert dealt and min(dealt) >= 24
+
+
+def test_merged_spans():
+    spans = np.sort(np.array([s << suffix._LENGTH | n for s, n in [(0, 50), (10, 40), (60, 50), (60, 50), (110, 60), (120, 5), (171, 50)]]))
+    assert suffix.merged(spans) == [(0, 50), (60, 170), (171, 221)] and suffix.merged(spans[:0]) == []
+
+
+def test_rank():
+    places = np.array([0, 3, 63, 64, 200])
+    less, among = induced.Rank(places, 201)(np.arange(201))
+    assert less.tolist() == np.searchsorted(places, np.arange(201)).tolist() and np.flatnonzero(among).tolist() == places.tolist()
+
+
 def test_given_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id < 1000000")
     assert rows(suffix.dedup(docs)) == brute([tuple(r) for r in docs.collect()])
