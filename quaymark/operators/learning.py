@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import metrics
 
@@ -88,17 +89,21 @@ def ablations(df: DataFrame, columns: list[str], families: dict[str, list[str]],
 def cross_validated(df: DataFrame, pipeline: Pipeline, k: int = 5, fold: str = "fold", parallelism: int = 4) -> DataFrame:
     """fold (0 to k - 1) and its metrics, of models fitted on all other folds; rows have y and their fold's number.
 
-    The weighed table is kept for all fits, which run side by side. Features of a fold are scaled with what the others show.
+    The weighed table is kept for all fits, which run side by side, each followed by its own metrics: a model a fold and no
+    more. Features of a fold are scaled with what the others show.
     """
     rows = balanced(df).persist()
+
+    def one(i: int) -> tuple[list, StructType]:
+        model = pipeline.fit(rows.where(F.col(fold) != i))
+        found = report(probabilities(model, rows.where(F.col(fold) == i)).select("y", "p")).select(F.lit(i).alias("fold"), "*")
+        return found.collect(), found.schema
+
     try:
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=k, foldCol=fold, parallelism=parallelism, collectSubModels=True)
-        models = cv.fit(rows).subModels
-        found, schema = [], None
-        for i in range(k):
-            one = report(probabilities(models[i][0], rows.where(F.col(fold) == i)).select("y", "p")).select(F.lit(i).alias("fold"), "*")
-            found, schema = found + one.collect(), one.schema
-        return df.sparkSession.createDataFrame(found, schema)
+        rows.count()  # kept before the fits start, or each of them would make it
+        with ThreadPool(min(k, parallelism)) as pool:
+            done = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k), chunksize=1)
+        return df.sparkSession.createDataFrame([r for found, _ in done for r in found], done[0][1])
     finally:
         rows.unpersist()
 

@@ -25,3 +25,11 @@ def test_folds_equal_single_fits(spark, sf_dir):
 def test_query(spark, sf_dir):
     got = {r["metric"]: r for r in serving.QUERIES["cross_validation"](spark, sf_dir).collect()}
     assert set(got) == {"accuracy", "precision", "recall", "f1", "roc_auc"} and all(r["n"] == 5 for r in got.values()) and got["roc_auc"]["mean"] > 0.55
+
+
+def test_a_model_a_fold_and_no_more(spark, sf_dir, monkeypatch):
+    """A model of all rows, which nothing reads, was fitted too, after an evaluation of each fold that nothing reads."""
+    fitted, plain = [], learning.LogisticRegression._fit
+    monkeypatch.setattr(learning.LogisticRegression, "_fit", lambda self, rows: fitted.append(self.uid) or plain(self, rows))
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7 + F.col("id") % 2).cast("double").alias("x"))
+    assert learning.cross_validated(rows, learning.logistic(["x"]), 3).count() == 3 and len(fitted) == 3
