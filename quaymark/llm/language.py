@@ -1,7 +1,7 @@
 """Language identification by partial matching: per-language byte context trees of variable order.
 
-A tree of order ``order`` holds, for each language, how often each byte followed each context of 0 to ``order`` bytes in a
-sample of training texts. A byte costs -log2 of c/(n+q) at the longest context that has it, where n counts the context, q
+A tree of order ``order`` holds, for each language, how often each byte followed each context of 0 to ``order`` bytes in
+all training texts. A byte costs -log2 of c/(n+q) at the longest context that has it, where n counts the context, q
 its different followers and c this one; each context passed over costs -log2 of q/(n+q) (escape method C), unseen contexts
 cost nothing, and a byte that no context has costs 8 bits more. Statistics are frozen and symbols aren't excluded, so a
 text's exact code length is a sum over its byte grams. The language with the least code length wins.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import chunks, fold, ship, table, text_view
 
 ORDER = 3
-#: Texts of each language that the trees are built from (expected number of a hashed sample); all grams of these count.
-SAMPLE = 2000
+#: Counts of a language's grams that a task holds before it merges them, and twice those that it holds after.
+HELD = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -116,32 +117,44 @@ class Languages:
         return [self.names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, share, 0.0)
 
 
-def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Languages:
-    """Trees from about ``sample`` rows of each non-null lang (all, if there are fewer), chosen by a hash of doc_id."""
+def fit(docs: DataFrame, order: int = ORDER) -> Languages:
+    """Trees from all rows of each non-null lang."""
     ship(docs.sparkSession)
-    rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Languages({}, order)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+    def out(lang: str, own: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, n = _merged(own)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for chunk in chunks(batches, 1):
             lang = np.array(chunk.column(0).to_pylist(), object)
             for own in sorted(set(lang.tolist())):
                 data, off = text_view(chunk.column(1).filter(pa.array(lang == own)))
-                keys, n = np.unique(grams(data, off, order), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    found = some.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = found.toPandas()  # bounded by the sample
-    trees = {}
-    for lang, own in got.groupby("lang"):
-        trees[str(lang)] = ContextTree(own["gram"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy(), order)
+                found.setdefault(own, []).append(np.unique(grams(data, off, order), return_counts=True))
+                if sum(len(k) for k, _ in found[own]) > HELD:
+                    found[own] = [_merged(found[own])]
+                    if len(found[own][0][0]) > HELD // 2:
+                        yield out(own, found.pop(own))
+        for own in sorted(found):
+            yield out(own, found[own])
+
+    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    got, trees = counts.toArrow(), {}  # at most the kinds of (order + 1)-byte runs
+    for lang in pc.unique(got["lang"]).to_pylist():
+        own = got.filter(pc.equal(got["lang"], lang))
+        trees[lang] = ContextTree(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy(), order)
     return Languages(trees, order)
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.concatenate([n for _, n in found]))
+    return keys, n
+
+
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """(doc_id, lang_pred, score) of each row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
