@@ -15,8 +15,10 @@ class, or none, to learn from, the score is that class, or 0; an empty table giv
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ from .common import SpanHash, chunks, cut, fold, lower_table, ship, table, text_
 THRESHOLD = 0.3
 #: Folds of calibration; labelled rows of a shard; turns over all rows, and how many steps a small table gets at least.
 FOLDS, SHARD, TURNS, STEPS, RATE = 2, 4096, 4, 600, 0.006
+#: Shards that a task trains on at most, if a task a core makes it more.
+RUN = 16
 #: Bins of raw scores among which thresholds are chosen; what a parameter's moves are multiplied by before they are summed.
 BINS, SCALE = 1 << 16, 1 << 16
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 8, 8, (1, 2, 3), (4, 5, 6)
@@ -202,28 +206,42 @@ def _threshold(place: np.ndarray, n: np.ndarray, hit: np.ndarray) -> float:
 
 
 def shards(docs: DataFrame, truth: DataFrame, languages: language.Languages, n: int) -> DataFrame:
-    """(doc_id, y, fold, lang, words) of every row of docs for each of its labels, tokenised, packed and written once; a
-    partition is a shard of some SHARD of ``n`` rows, and holds a document's rows together. A bit map keeps most rows
-    without a label out of the shuffle."""
+    """(shard, doc_id, y, fold, lang, words) of every row of docs for each of its labels, tokenised, packed and written once; a
+    shard has some SHARD of ``n`` rows, a document's rows together. A bit map keeps most rows without a label out of the
+    shuffle; it moves packed texts, which take half the room of their words, and the join finds both sides dealt already."""
     count = max(1, -(-n // SHARD))
     known = BitMap(truth, F.xxhash64("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, 0):
             chunk = chunk.filter(pa.array(known(chunk.column(2).to_numpy())))
+            data, off = text_view(chunk.column(0))
+            text = [zlib.compress(data[lo:hi].tobytes(), 1) for lo, hi in pairwise(off.tolist())]
+            yield pa.RecordBatch.from_arrays([chunk.column(1), pa.array(text, pa.binary())], names=["doc_id", "text"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                own = batch.slice(lo, 64)
+                text = pa.array([zlib.decompress(x) for x in own["text"].to_pylist()], pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays([text, own["shard"], own["doc_id"], own["y"]], names=["text", "shard", "doc_id", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(unpacked(batches), 0):
             text, words = chunk.column(0), []
             for i in range(len(text)):
                 ids, codes, _ = tokens(text.slice(i, 1))
                 codes = codes.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
                 words.append(zlib.compress(np.array([len(ids)], np.int64).tobytes() + ids.astype(np.uint16).tobytes() + codes.tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([chunk.column(1), pa.array(shared.value.predict(text)[0], pa.string()), pa.array(words, pa.binary())], names=["doc_id", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([*chunk.columns[1:], pa.array(shared.value.predict(text)[0], pa.string()), pa.array(words, pa.binary())], names=["shard", "doc_id", "y", "lang", "words"])
 
-    some = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("h", F.xxhash64("doc_id"))
-    found = some.mapInArrow(run, "doc_id long, lang string, words binary").join(truth, "doc_id")
     part = lambda name, n: F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(n)).cast("int")
-    rows = found.select("doc_id", "y", part("part", FOLDS).alias("fold"), "lang", "words").repartitionById(count, part("shard", count))
-    return cut(rows.sortWithinPartitions("doc_id", "y", "words"))  # keeps the partitions
+    dealt = lambda df: df.withColumn("shard", part("shard", count)).repartitionById(count, "shard")
+    some = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("h", F.xxhash64("doc_id"))
+    found = dealt(some.mapInArrow(pack, "doc_id long, text binary")).join(dealt(truth), ["shard", "doc_id"]).select("shard", "doc_id", "y", "text")
+    rows = found.mapInArrow(run, "shard int, doc_id long, y int, lang string, words binary").withColumn("fold", part("part", FOLDS))
+    return cut(rows.sortWithinPartitions("shard", "doc_id", "y", "words"))  # keeps the partitions
 
 
 def _read(batches: list[pa.RecordBatch]) -> tuple[Tokens, pa.Table]:
@@ -237,34 +255,50 @@ def _read(batches: list[pa.RecordBatch]) -> tuple[Tokens, pa.Table]:
     return parts, got.drop_columns(["words"])
 
 
-def advance(rows: DataFrame, nets: dict[int, Net], turn: int, epochs: int, batch: int, share: float) -> dict[int, Net]:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, pa.Table]]:
+    """``_read`` of one shard after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch["shard"].to_numpy()
+        for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []):
+            if held and held[-1]["shard"][0].as_py() != shard[lo]:
+                yield _read(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield _read(held)
+
+
+def advance(rows: DataFrame, nets: dict[int, Net], turn: int, epochs: int, batch: int, share: float, tasks: int) -> dict[int, Net]:
     """The nets after one more turn: each shard trains each net on its own rows but those of the net's fold, and the parameters
     that a shard has used move by the mean, weighed by rows, of how far its users moved them. Sums are of whole numbers, so
-    their order changes nothing."""
+    their order changes nothing; a task adds up those of all its shards, so what is shuffled grows with ``tasks`` only."""
     shared = rows.sparkSession.sparkContext.broadcast({k: net.blocks() for k, net in nets.items()})
     kind = Net()
     names = [f"d{j}" for j in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (batches := [b for b in batches if b.num_rows]):
-            return
-        parts, cols = _read(batches)
-        y, fold_of, first = cols["y"].to_numpy().astype(np.float32), cols["fold"].to_numpy(), int(cols["doc_id"][0].as_py()) % (1 << 32)
-        for k, old in shared.value.items():
-            own = np.flatnonzero(fold_of != k)
-            if not len(own):
-                continue
-            net = kind.moved(old)
-            net.train([parts[i] for i in own], y[own], np.where(y[own] == 1, 0.5 / share, 0.5 / (1 - share)), epochs, batch, [turn, k, first])
-            used = np.zeros(len(old), bool)
-            used[BUCKETS:] = True
-            for i in own:
-                used[parts[i][0].ravel()] = True
-            move = np.rint((net.blocks()[used].astype(float) - old[used]) * len(own) * SCALE).astype(np.int64)
-            at = np.flatnonzero(used).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(np.full(len(at), len(own))), *(pa.array(move[:, j]) for j in range(DIM))], names=["net", "block", "n", *names])
-
-    moves = rows.mapInArrow(run, "net int, block int, n long, " + ", ".join(f"{c} long" for c in names))
+        users = {k: np.zeros(len(old), np.int64) for k, old in shared.value.items()}
+        moves = {k: np.zeros(old.shape, np.int64) for k, old in shared.value.items()}
+        for parts, cols in _whole(batches):
+            y, fold_of, first = cols["y"].to_numpy().astype(np.float32), cols["fold"].to_numpy(), int(cols["doc_id"][0].as_py()) % (1 << 32)
+            for k, old in shared.value.items():
+                own = np.flatnonzero(fold_of != k)
+                if not len(own):
+                    continue
+                net = kind.moved(old)
+                net.train([parts[i] for i in own], y[own], np.where(y[own] == 1, 0.5 / share, 0.5 / (1 - share)), epochs, batch, [turn, k, first])
+                used = np.zeros(len(old), bool)
+                used[BUCKETS:] = True
+                for i in own:
+                    used[parts[i][0].ravel()] = True
+                users[k][used] += len(own)
+                moves[k][used] += np.rint((net.blocks()[used].astype(float) - old[used]) * len(own) * SCALE).astype(np.int64)
+        for k, n in users.items():
+            at = np.flatnonzero(n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[at]), *(pa.array(moves[k][at, j]) for j in range(DIM))], names=["net", "block", "n", *names])
+
+    moves = rows.coalesce(tasks).mapInArrow(run, "net int, block int, n long, " + ", ".join(f"{c} long" for c in names))
     got = moves.groupBy("net", "block").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).toArrow()  # at most all nets' parameters
     out, net_of, at, n = {}, got["net"].to_numpy(), got["block"].to_numpy(), got["n"].to_numpy()
     move = np.column_stack([got[c].to_numpy() for c in names]) / SCALE / n[:, None]
@@ -293,9 +327,11 @@ def fit(docs: DataFrame, labels: DataFrame, languages: language.Languages, label
     nets = {k: net for k in [*apart, FOLDS]}
     batch = min(64, max(16, n // 8))
     epochs = max(TURNS, -(-STEPS * batch // n))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // (RUN * SHARD)))
     for turn in range(TURNS):
+        gc.collect()  # Python's dead frames hold the driver's
         docs.sparkSession.sparkContext._jvm.System.gc()  # shuffles that nothing refers to any more go
-        nets = advance(rows, nets, turn, -(-epochs // TURNS), batch, counts[1] / n)
+        nets = advance(rows, nets, turn, -(-epochs // TURNS), batch, counts[1] / n, tasks)
     net = nets[FOLDS]
     shared = docs.sparkSession.sparkContext.broadcast(nets)
 
