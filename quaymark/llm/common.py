@@ -143,7 +143,9 @@ class SpanHash:
         self._pinv = _powers("pinv", _PINV, n + 1)
         with np.errstate(over="ignore"):
             self._sum = np.zeros(n + 1, np.uint64)
-            np.cumsum(values[data] * _powers("p", _P, n + 1)[:n], out=self._sum[1:])
+            own = values[data]
+            own *= _powers("p", _P, n + 1)[:n]
+            np.cumsum(own, out=self._sum[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -151,9 +153,15 @@ class SpanHash:
 
     def each(self, k: int) -> np.ndarray:
         """Those of the spans of k symbols that start at 0, 1 and so on."""
+        return mix(self.raw(k))
+
+    def raw(self, k: int) -> np.ndarray:
+        """``each`` before the finaliser."""
         n = len(self._sum) - k
         with np.errstate(over="ignore"):
-            return mix((self._sum[k:] - self._sum[:n]) * self._pinv[:n])
+            out = self._sum[k:] - self._sum[:n]
+            out *= self._pinv[:n]
+        return out
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

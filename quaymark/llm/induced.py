@@ -122,11 +122,16 @@ class Buckets:
                     yield got[lo : lo + _BLOCK]
 
 
+#: Floor of the binary logarithm of the numbers up to a block's length.
+_LOG = (np.frexp(np.arange((1 << 16) + 2).astype(np.float64))[1] - 1).astype(np.int8)
+
+
 class Carry:
-    """Least values between tuples of a bucket."""
+    """Least values between tuples of a bucket. Values of which the cap is 1 are counted; others that fit are taken as bytes."""
 
     def __init__(self, symbols: int, cap: int, step: int):
         self.cap, self.step, self.least = cap, step, np.zeros(symbols, np.int64)
+        self.kind = np.uint8 if cap < 256 else np.int64
 
     def __call__(self, value: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Values of the tuples that those at places ``at`` of a block of visited values bring in; symbol is theirs, ascending."""
@@ -134,24 +139,41 @@ class Carry:
             np.minimum(self.least, value.min(), out=self.least)
             return value[:0]
         first = np.append(True, symbol[1:] != symbol[:-1])
-        got = np.minimum.accumulate(value)[at]
-        got[first] = np.minimum(got[first], self.least[symbol[first]])
+        return np.minimum((self._ones if self.cap == 1 else self._least)(value, symbol, at, first, np.append(first[1:], True)) + self.step, self.cap)
+
+    def _ones(self, value: np.ndarray, symbol: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        zeros = np.cumsum(value == 0, dtype=np.int32)
+        here = zeros[at]
+        before = np.append(0, here[:-1])
+        before[first] = 0
+        got = (here == before).astype(np.int64)
+        got[first] &= self.least[symbol[first]]
+        if zeros[-1]:
+            self.least[:] = 0
+        self.least[symbol[last]] = here[last] == zeros[-1]
+        return got
+
+    def _least(self, value: np.ndarray, symbol: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        value = value.astype(self.kind)
+        got = np.empty(len(at), np.int64)
+        start = at[first]
+        # of what was visited before each symbol's first, and after its last
+        got[first] = np.minimum(np.minimum.accumulate(value)[start], self.least[symbol[first]])
         later = np.flatnonzero(~first)
         if len(later):
-            lo, hi = at[later - 1] + 1, at[later]
-            level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1  # floor of the binary logarithm of the range's length
-            table = value
-            for k in range(int(level.max()) + 1):
-                if k:
-                    half = 1 << (k - 1)
-                    table = np.minimum(table[:-half], table[half:])
-                own = np.flatnonzero(level == k)
-                got[later[own]] = np.minimum(table[lo[own]], table[hi[own] + 1 - (1 << k)])
-        since = np.append(np.minimum.accumulate(value[::-1])[::-1], self.cap)
-        last = np.append(first[1:], True)
+            lo, hi = at[later - 1] + 1, at[later] + 1
+            level = _LOG[hi - lo] if len(value) < len(_LOG) else (np.frexp((hi - lo).astype(np.float64))[1] - 1).astype(np.int8)
+            table = np.empty((int(level.max()) + 1, len(value)), self.kind)
+            table[0] = value
+            for k in range(1, len(table)):
+                half = 1 << (k - 1)
+                np.minimum(table[k - 1, :-half], table[k - 1, half:], out=table[k, :-half])
+            flat, row = table.reshape(-1), level * np.int64(len(value))
+            got[later] = np.minimum(flat[row + lo], flat[row + hi - (np.int64(1) << level)])
+        since = np.append(np.minimum.accumulate(value[::-1])[::-1], self.kind(min(self.cap, np.iinfo(self.kind).max)))
         np.minimum(self.least, since[0], out=self.least)
         self.least[symbol[last]] = since[at[last] + 1]
-        return np.minimum(got + self.step, self.cap)
+        return got
 
 
 class Sweeps:
@@ -280,7 +302,7 @@ def _by_symbol(text: np.ndarray, symbols: int, order: Iterator[np.ndarray], fold
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a text in memory, by prefix doubling."""
+    """Suffix order of a text in memory, by prefix doubling of those that are still equal."""
     m, k = len(names), 1
     names = np.asarray(names).astype(np.int64) + 1
     base, key = int(names.max()) + 1, names
@@ -288,28 +310,46 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         key = key * base
         key[: m - k] += names[k:]
         k += 1
+    at, order, rank = np.arange(m), np.arange(m), np.empty(m, np.int64)
     while True:
-        order = np.argsort(key)
-        inner = key[order]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.append(0, np.cumsum(inner[1:] != inner[:-1]))
-        if rank[order[-1]] == m - 1 or k >= m:
+        turn = np.argsort(key)
+        i, key = order[at[turn]], key[turn]
+        order[at] = i
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(head, len(at)))
+        rank[i] = np.repeat(at[head], count)  # equal ones have the place of the first
+        at = at[np.repeat(count > 1, count)]
+        if not len(at) or k >= m:
             return order
-        key = rank * (m + 1)
-        key[: m - k] += rank[k:] + 1
+        i = order[at]
+        key = rank[i] * (m + 1)
+        inside = np.flatnonzero(i + k < m)
+        key[inside] += rank[i[inside] + k] + 1
         k = min(2 * k, m)
 
 
 def _shared(text: np.ndarray, one: np.ndarray, other: np.ndarray, cap: int) -> np.ndarray:
     """Leading symbols that pairs of suffixes share, up to cap."""
     n, out, live = len(text), np.zeros(len(one), np.int64), np.arange(len(one))
-    for d in range(cap):
-        live = live[np.maximum(one[live], other[live]) + d < n]
-        live = live[text[one[live] + d] == text[other[live] + d]]
-        if not len(live):
-            break
+    some = 8 // text.itemsize
+    if n >= some and text.flags.c_contiguous and text.dtype.kind == "u":  # eight bytes at a time
+        wide, ends = np.ndarray((n - some + 1,), np.uint64, text, 0, (text.itemsize,)), []
+        while len(live):
+            i, j = one[live] + out[live], other[live] + out[live]
+            near = np.maximum(i, j) > n - some
+            if near.any():
+                ends.append(live[near])
+                live, i, j = live[~near], i[~near], j[~near]
+            x = wide[i] ^ wide[j]
+            out[live] += np.where(x == 0, some, np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64) // (8 * text.itemsize))
+            live = live[(x == 0) & (out[live] < cap)]
+        live = np.concatenate(ends) if ends else live
+    while len(live):
+        i, j = one[live] + out[live], other[live] + out[live]
+        live = live[(np.maximum(i, j) < n) & (out[live] < cap)]
+        live = live[text[one[live] + out[live]] == text[other[live] + out[live]]]
         out[live] += 1
-    return out
+    return np.minimum(out, cap)
 
 
 def _sorted_seeds(text: np.ndarray, symbols: int, folder: str, held: int) -> Iterator[np.ndarray]:

@@ -3,9 +3,10 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quaymark.llm import induced, suffix
+from quaymark.llm import bitmap, induced, suffix
 from quaymark.llm.common import table
 
 
@@ -87,6 +88,57 @@ def test_matches_brute_force(spark):
     assert suffix.dedup(df.limit(0)).collect() == []
 
 
+def made(texts, seed=4):
+    """Documents of phrases of few words, so that many windows are shared in part; some are copies, and ids repeat."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))) for _ in range(12)]
+    phrases = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(8)]
+    docs = [(rng.randrange(texts), " ".join(rng.choice(phrases) for _ in range(rng.randrange(1, 6)))) for _ in range(texts)]
+    return docs + [(texts + i, docs[i % 7][1]) for i in range(20)]
+
+
+def test_full_bit_maps(spark, monkeypatch):
+    """Bit maps that let nearly all runs pass change no result: a copy's run may pass before that of its first document."""
+    docs = made(60)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(bitmap, "PLACES", 8)
+    monkeypatch.setattr(bitmap, "MOST", 8)
+    assert bitmap.places(10**9) == 8
+    assert rows(suffix.dedup(df)) == brute(docs)
+
+
+def test_maps_follow_the_input():
+    """A map of a fixed size is full at some size, and then all runs are shuffled and sorted."""
+    assert bitmap.places(10**5) == bitmap.PLACES
+    for n in (2 * 10**6, 10**7):
+        assert 1 / 32 <= n / 2 ** bitmap.places(n) <= 1 / 16
+    assert bitmap.places(10**12) == bitmap.MOST
+
+
+def test_equal_runs_are_one_row():
+    """Equal runs of a task are one row before they are shuffled, with their least and greatest document."""
+    got = suffix._grouped(np.array([[1, 7, 5, 5, 3], [2, 8, 4, 4, 1], [1, 7, 2, 9, 3], [1, 7, 6, 6, 3]]))
+    assert sorted(got.tolist()) == [[1, 7, 2, 9, 3], [2, 8, 4, 4, 1]]
+
+
+def test_repeated_segments():
+    """A segment that comes twice is sorted once, with its least document, whichever comes first."""
+    one, other = b"x" + bytes(range(60)), b"y" + bytes(range(60))
+    with tempfile.TemporaryDirectory() as folder:
+        shard = suffix.Shard(folder, 50, 64)
+        for sh, seg, lo, hi in [(1, one, 8, 8), (2, other, 5, 5), (1, one, 3, 4), (1, one, 9, 9)]:
+            shard.add(pa.array([7]), pa.array([sh]), pa.array([seg], pa.binary()), pa.array([lo]), pa.array([hi]))
+        assert shard.file.size == 2 * 62
+        got = {r["sh"]: [tuple(x.values()) for x in r["lost"]] for b in shard.results() for r in b.to_pylist()}
+    assert got == {1: [(0, 12, 3)], 2: [(1, 11, 3)]}
+
+
+def test_spans_of_a_text_across_batches(spark):
+    spans = [(d, th, s) for d in range(3) for th in (d, -1) for s in range(700 * d + 1)]
+    got = suffix._by_text(spark.createDataFrame(spans, "doc long, th long, span long").repartition(7)).collect()
+    assert sorted((r["doc"], r["th"], r["spans"]) for r in got) == sorted((d, th, list(range(700 * d + 1))) for d in range(3) for th in (d, -1))
+
+
 def test_few_bytes_are_many_small_shards(spark, monkeypatch):
     """What tasks sort at once is on disk: a few large shards of a small table took more of it than the table allows."""
     dealt, plain = [], suffix._sorted
