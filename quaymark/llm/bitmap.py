@@ -54,6 +54,10 @@ class BitMap:
     def _share(self, spark: SparkSession, bits: np.ndarray, places: int) -> None:
         self.places, self.shared = places, spark.sparkContext.broadcast(bits)
 
+    def drop(self) -> None:
+        """Deletes its copies, each of which is a file of an executor or the driver, once nothing reads it any more."""
+        self.shared.destroy()
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each hash may be one of the column's."""
         at = (hashes.view(np.uint64) >> np.uint64(64 - self.places)).astype(np.int64)

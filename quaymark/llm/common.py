@@ -157,7 +157,7 @@ class SpanHash:
 
     def raw(self, k: int) -> np.ndarray:
         """``each`` before the finaliser."""
-        n = len(self._sum) - k
+        n = max(0, len(self._sum) - k)
         with np.errstate(over="ignore"):
             out = self._sum[k:] - self._sum[:n]
             out *= self._pinv[:n]

@@ -3,8 +3,8 @@
 Windows of ``size`` bytes are dealt to shards by their minimizer, the least hash of their ``k``-byte pieces, so equal
 windows meet. Minimizers that occur once are left out, and equal runs of windows are one row, by two hashes of 64 bits, with the
 least and greatest document that has it: once in each task, then in buckets of minimizers. A run that very many documents share is
-met by these and by splittable joins only. Where all runs of a minimizer are equal, the smallest document keeps them whole. The
-others' bytes, from their smallest documents, go to shards, whose runs are written to a file and put in suffix order by external
+met by these and by splittable joins only. A run that shares neither side of its minimizer (``_sides``) with another shares no
+window with any, and its smallest document keeps it whole. The others' bytes, from their smallest documents, go to shards, whose runs are written to a file and put in suffix order by external
 induced sorting (``induced``); neighbours that share ``size`` bytes are one window, and its smallest document keeps it. Runs are
 found again in each pass over the texts, by bit maps of those that still matter, rather than kept: they are more bytes than the texts.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap, induced
 from .bitmap import BitMap
-from .common import SpanHash, chunks, settled, ship, table, text_view
+from .common import SpanHash, chunks, mix, settled, ship, table, text_view
 
 SIZE, PIECE = 50, 20
 #: Bytes of distinct runs that a task sorts: some 40 bytes of files and, at most, of memory each.
@@ -57,13 +57,14 @@ def _order(spans: SpanHash, k: int) -> np.ndarray:
     return h
 
 
-def runs(data: np.ndarray, off: np.ndarray, size: int, k: int, spans: SpanHash | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first window, number of windows and minimizer of each maximal run of windows with one minimizer."""
+def runs(data: np.ndarray, off: np.ndarray, size: int, k: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first window, number of windows and minimizer of each maximal run of windows with one minimizer; order has the
+    hashes of all pieces, if they are at hand."""
     none = np.zeros(0, np.int64)
     own = np.flatnonzero(np.diff(off) >= size)
     if not len(own):
         return none, none, none, none
-    least, have = _order(spans or SpanHash(data), k), 1
+    least, have = _order(SpanHash(data), k) if order is None else order, 1
     width = size - k + 1
     while have * 2 <= width:
         least = np.minimum(least[: len(least) - have], least[have:])
@@ -156,18 +157,62 @@ def _shared(docs: DataFrame, size: int, k: int, bits: int, places: int) -> BitMa
 
 
 def _grouped(rows: np.ndarray) -> np.ndarray:
-    """Rows of turned minimizer, hash, least and greatest document, windows: one for each minimizer and hash."""
+    """Rows of turned minimizer, hash, least and greatest document, and what follows: one for each minimizer and hash."""
     turn = np.argsort(rows[:, 1])
     t, sh = rows[turn, 0], rows[turn, 1]
     first = np.flatnonzero(np.append(True, (sh[1:] != sh[:-1]) | (t[1:] != t[:-1])))
     lo, hi = np.minimum.reduceat(rows[turn, 2], first), np.maximum.reduceat(rows[turn, 3], first)
-    return np.stack([t[first], sh[first], lo, hi, rows[turn[first], 4]], axis=1)
+    return np.column_stack([t[first], sh[first], lo, hi, rows[turn[first], 4:]])
+
+
+#: Of a run in which the minimizer's piece is more than once.
+_SEVERAL = -1
+
+
+def _sides(spans: SpanHash, order: np.ndarray, size: int, k: int, start: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Two hashes of 32 bits of the minimizer's piece in each run with half of the rest of a window to its left, and to its right;
+    0 where the run does not reach as far. A window has one of them whole, so runs with an equal window have an equal one."""
+    width, half = size - k + 1, (size - k) // 2
+    pieces, least = np.lib.stride_tricks.sliding_window_view(order, width), m.view(np.uint64)[:, None]
+    head, tail = pieces[start] == least, pieces[start + n - 1] == least
+    at = start + head.argmax(axis=1)
+    one = (n <= width) & (head.sum(axis=1) == 1) & (tail.sum(axis=1) == 1) & (start + n - 1 + tail.argmax(axis=1) == at)
+    left, right = (at - half >= start), (at + k + half <= start + n + size - 1)
+    low, high = np.where(left, at - half, at), np.where(right, at + k + half, at + k)
+    sides = (np.where(left, spans(low, at + k) >> np.uint64(32) | np.uint64(1), 0) << np.uint64(32)) | np.where(right, spans(at, high) >> np.uint64(32) | np.uint64(1), 0)
+    return np.where(one, sides.view(np.int64), _SEVERAL)
+
+
+def _meet(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether runs of turned minimizers, ascending, may have a window of another run, of another document."""
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    of = np.diff(np.append(first, len(t)))
+
+    def over(ufunc: np.ufunc, x: np.ndarray) -> np.ndarray:
+        return np.repeat(ufunc.reduceat(x, first), of)
+
+    others = np.repeat(of > 1, of) & (over(np.minimum, lo) < over(np.maximum, hi))
+    out = others & over(np.logical_or, sides == _SEVERAL)
+    some = np.flatnonzero(others & ~out)
+    if len(some):
+        both = sides[some].view(np.uint64)
+        side = np.append(both >> np.uint64(32) << np.uint64(1), (both & np.uint64(0xFFFFFFFF)) << np.uint64(1) | np.uint64(1))
+        row = np.append(some, some)[side > 1]
+        key = mix(t[row].view(np.uint64) + mix(side[side > 1]))
+        turn = np.argsort(key)
+        row, key = row[turn], key[turn]
+        if len(row):
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(head, len(row)))
+            met = (count > 1) & (np.minimum.reduceat(lo[row], head) < np.maximum.reduceat(hi[row], head))
+            out[row[np.repeat(met, count)]] = True
+    return out
 
 
 def _kinds(docs: DataFrame, size: int, k: int, bits: int, places: int, minimizers: BitMap) -> DataFrame:
-    """(m, sh, lo, n, many) of the distinct runs that documents may lose bytes of: many if their minimizer has others too, else
-    all documents but the least lose them whole. Equal runs are one row before they are shuffled. A row of each bucket has the
-    bits of those that are its minimizer's only ones, of the others in their least document, and of the others of several documents."""
+    """(m, sh, lo, n, many) of the distinct runs that documents may lose bytes of: many if another may have some of their windows,
+    else all documents but the least lose them whole. Equal runs are one row before they are shuffled. A row of each bucket has
+    the bits of those that are not many, of those that are in their least document, and of those that several documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -181,13 +226,15 @@ def _kinds(docs: DataFrame, size: int, k: int, bits: int, places: int, minimizer
         for chunk in chunks(batches, 1, _PASS):
             data, off = text_view(chunk.column(1))
             spans = SpanHash(data)
-            d, start, n, m = runs(data, off, size, k, spans)
+            order = _order(spans, k)
+            d, start, n, m = runs(data, off, size, k, order)
             t = _turned(m)
             some = _among(minimizers, t, _own(t), bits) if len(t) else d
             if len(some):
                 d, start, n = d[some], start[some], n[some]
                 doc = chunk.column(0).to_numpy()[d]
-                held.append(np.stack([t[some].view(np.int64), spans(start, start + n + size - 1).view(np.int64), doc, doc, n], axis=1))
+                sides = _sides(spans, order, size, k, start, n, m[some])
+                held.append(np.stack([t[some].view(np.int64), spans(start, start + n + size - 1).view(np.int64), doc, doc, n, sides], axis=1))
                 count += len(some)
             if count >= _HELD // 4:
                 yield packed()
@@ -196,13 +243,11 @@ def _kinds(docs: DataFrame, size: int, k: int, bits: int, places: int, minimizer
             yield packed()
 
     def settle(rows: pa.Table) -> pa.Table:
-        all_ = _grouped(_gathered(rows, np.int64).reshape(-1, 5))
+        all_ = _grouped(_gathered(rows, np.int64).reshape(-1, 6))
         all_ = all_[np.argsort(all_[:, 0])]
-        t, sh, lo, hi, n = all_.T
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        of = np.diff(np.append(first, len(t)))
-        lost = np.repeat(np.minimum.reduceat(lo, first) < np.maximum.reduceat(hi, first), of)
-        t, sh, lo, hi, n, many = (c[lost] for c in (t, sh, lo, hi, n, np.repeat(of > 1, of)))
+        t, sh, lo, hi, n, sides = np.ascontiguousarray(all_.T)
+        many = _meet(t, lo, hi, sides)
+        t, sh, lo, hi, n, many = (c[many | (lo < hi)] for c in (t, sh, lo, hi, n, many))
         t = t.view(np.uint64)
         more = many & (lo < hi)
         parts = _piece(t[~many], sh[~many], bits, places), _piece(t[many], sh[many], bits, places, lo[many]), _piece(t[more], sh[more], bits, places)
@@ -223,7 +268,7 @@ def _found(docs: DataFrame, size: int, k: int, columns: Callable[..., list[pa.Ar
         for chunk in chunks(batches, 2, _PASS):
             data, off = text_view(chunk.column(2))
             spans = SpanHash(data)
-            d, start, n, m = runs(data, off, size, k, spans)
+            d, start, n, m = runs(data, off, size, k, _order(spans, k))
             if len(d):
                 sh = spans(start, start + n + size - 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(columns(data, off, chunk.column(0), chunk.column(1), d, start, n, m, sh), names=names)
@@ -425,22 +470,32 @@ def dedup(docs: DataFrame, size: int = SIZE, piece: int = PIECE, shard_bytes: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark, bits, places = docs.sparkSession, min(14, max(4, (total // _BUCKET).bit_length())), bitmap.places(total // _RARE)
-    kinds = settled(_kinds(rows, size, piece, bits, places, _shared(rows, size, piece, bits, bitmap.places(total // _RARE, 1))))
+    shared = _shared(rows, size, piece, bits, bitmap.places(total // _RARE, 1))
+    spark.sparkContext._jvm.System.gc()  # the minimizers' shuffle goes before that of the runs comes
+    kinds = settled(_kinds(rows, size, piece, bits, places, shared))
+    shared.drop()
     total = kinds.where("many").agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
     pieces = kinds.where("bits IS NOT NULL").select("bucket", "bits").toArrow()
     alone, first, more = (BitMap.of_pieces(spark, pieces, places, part, 3) for part in range(3))
     distinct = _segments(rows, size, piece, bits, first, more)
     ordered = settled(_sorted(distinct, max(SHARDS, -(-total // shard_bytes)), size, held))
-    # a run that is its minimizer's only one is lost whole
+    first.drop()
+    more.drop()
+    # a run that shares no window with another is lost whole
     lost = kinds.where("NOT many").select("m", "sh", "lo", F.lit(None).cast(_LOST.split(" ", 1)[1]).alias("lost"))
     lost = lost.unionAll(ordered.select("m", "sh", F.lit(None).cast("long").alias("lo"), "lost"))
-    losing = _places(rows, size, piece, bits, alone, BitMap(ordered, F.col("sh"), bitmap.places(ordered.count()))).join(lost, ["m", "sh"])
+    ranked = BitMap(ordered, F.col("sh"), bitmap.places(ordered.count()))
+    losing = _places(rows, size, piece, bits, alone, ranked).join(lost, ["m", "sh"])
     whole = F.array(F.struct(F.lit(0).alias("o"), "n", "lo"))
     each = losing.select("doc", "th", "start", F.explode(F.coalesce("lost", whole)).alias("x")).where("x.lo < doc")
     # start and length in one number: a text has less than 2 ** 31 bytes
     spans = each.select("doc", "th", F.shiftleft((F.col("start") + F.col("x.o")).cast("long"), _LENGTH).bitwiseOR((F.col("x.n") - 1 + size).cast("long")).alias("span"))
     spans = settled(_by_text(spans))
+    alone.drop()
+    ranked.drop()
+    del losing, each, lost, distinct
     _drop(kinds, ordered)
+    spark.sparkContext._jvm.System.gc()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

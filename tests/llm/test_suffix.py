@@ -115,6 +115,43 @@ def test_maps_follow_the_input():
     assert bitmap.places(10**12) == bitmap.MOST
 
 
+def test_only_runs_that_meet_are_sorted(spark, monkeypatch):
+    """Runs of one minimizer that differ on both of its sides share no window: sorting all of them took a third of the work."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common, tail = word(22), word(60)
+    docs = [(i, word(60) + common + word(60)) for i in range(12)]  # apart
+    met = [(100 + i, word(60) + common + tail) for i in range(3)]  # equal from the common piece on
+    taken, plain = [], suffix._sorted
+
+    def counted(distinct, *a):
+        taken.extend(bytes(r["seg"]).decode() for r in distinct.collect())
+        return plain(distinct, *a)
+
+    monkeypatch.setattr(suffix, "_sorted", counted)
+    for some in (docs, docs + met):
+        taken.clear()
+        assert rows(suffix.dedup(spark.createDataFrame(some, "doc_id long, text string"))) == brute(some)
+        assert not any(s in t for s in taken for _, t in docs)
+    assert taken
+
+
+def test_minimizer_sides(spark):
+    """Against brute force: runs that end near the minimizer, and those that have its piece more than once."""
+    rng = random.Random(7)
+    period = "abcdefghijklmnopqrstuvw"
+    docs = made(80) + [(200 + i, period * rng.randrange(1, 9) + made(7, i)[0][1][: rng.randrange(60)]) for i in range(12)]
+    for n in range(50, 80, 3):
+        docs += [(300 + n, docs[3][1][10 : 10 + n]), (400 + n, docs[5][1][:n] + docs[3][1][:n])]
+    assert rows(suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs)
+
+
+@pytest.mark.parametrize("n", [0, 3, 15, 20, 49, 50])
+def test_one_short_text(spark, n):
+    docs = [(1, "x" * n)]
+    assert rows(suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 def test_equal_runs_are_one_row():
     """Equal runs of a task are one row before they are shuffled, with their least and greatest document."""
     got = suffix._grouped(np.array([[1, 7, 5, 5, 3], [2, 8, 4, 4, 1], [1, 7, 2, 9, 3], [1, 7, 6, 6, 3]]))
